@@ -1,0 +1 @@
+"""Empty on purpose: every load is a full batch refresh, so there is no stream, watermark or state to build."""
