@@ -38,7 +38,10 @@ def epoch_s_to_date(c: Column | str) -> Column:
 
 
 def format_date_key(c: Column | str) -> Column:
-    return F.date_format(as_column(c), DATE_KEY_FORMAT)
+    """The day as eight digits, by arithmetic: no formatter, no session zone."""
+    c = as_column(c)
+    number = F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c)
+    return F.lpad(number.cast("string"), 8, "0")
 
 
 def parse_date_key(c: Column | str, fmt: str = DATE_KEY_FORMAT) -> Column:

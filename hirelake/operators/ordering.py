@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hirelake.operators.skew import heavy_keys, left_join_default
+from hirelake.sources.csv import SEQ
 from hirelake.sources.staging import stage
 
 LIST_LIMIT = 100_000
-_FIXED_WIDTH = {"long", "integer", "short", "byte", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz"}
+_FIXED_WIDTH = (
+    "long", "integer", "short", "byte", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz",
+)
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], keep: str = "first") -> DataFrame:
@@ -35,13 +39,16 @@ def dedupe(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], keep: st
 
 
 def sequential_id(df: DataFrame, order_by: Sequence[str], names: Sequence[str] = ("seq",)) -> DataFrame:
-    """Number the rows 1..n along `order_by` and put the number in each of `names`.
+    """Number the rows 1..n along `order_by`, a total order, and put the number in each of `names`.
 
-    Rows are range-partitioned and sorted, each keeps its block and its place in the block, and
-    the result is staged; a row's number is then its place plus the rows of all earlier blocks.
-    The driver sees one count per block.
+    In file order a row is numbered by its place in its file split plus the rows of all earlier
+    splits, without moving any row. For any other order the rows are range-partitioned, sorted
+    and staged, and the sorted blocks take the role of the splits.
     """
-    spark = df.sparkSession
+    if list(order_by) == [SEQ] and isinstance(df.schema[SEQ].dataType, StructType):
+        runs = _file_runs(df)
+        if runs is not None:
+            return _numbered(df, runs, {"file": "_seq.file", "block": "_seq.block"}, "_seq.row", names)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = (
         df.repartitionByRange(*order_by)
@@ -49,18 +56,35 @@ def sequential_id(df: DataFrame, order_by: Sequence[str], names: Sequence[str] =
         .withColumns({"_block": F.spark_partition_id(), "_place": place})
     )
     staged = stage(placed, "numbered")
-    sizes = staged.groupBy("_block").agg((F.max("_place") + 1).alias("rows")).orderBy("_block").collect()
-    starts, total = [], 0
-    for block, rows in sizes:
-        starts.append((block, total))
-        total += rows
-    first = F.broadcast(spark.createDataFrame(starts, "_block int, _start long"))
-    number = F.col("_start") + F.col("_place") + 1
-    return (
-        staged.join(first, "_block", "left")
-        .withColumns({name: number for name in names})
-        .drop("_block", "_place", "_start")
+    runs = staged.groupBy("_block").agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("rows"))
+    return _numbered(staged, runs, {"_block": "_block"}, "_place", names).drop("_block", "_place")
+
+
+def _file_runs(df: DataFrame) -> DataFrame | None:
+    """First row and row count per file split, or None when rows have been taken out of the files."""
+    place = F.col("_seq.row")
+    runs = df.groupBy(F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block")).agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("rows")
     )
+    whole = F.col("last") - F.col("first") + 1 == F.col("rows")
+    return runs.drop("last") if runs.filter(~whole).isEmpty() else None
+
+
+def _numbered(
+    df: DataFrame, runs: DataFrame, keys: Mapping[str, str], place: str, names: Sequence[str]
+) -> DataFrame:
+    """Row numbers from `runs`, which has one row per input split or sorted block.
+
+    The driver plans every split and block as a task anyway, so a table with one short row for
+    each is small enough for the one window that adds them up and for broadcasting.
+    """
+    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first") + 1
+    shifts = runs.select(*[F.col(k).alias(f"_run_{k}") for k in keys], shift.alias("_shift"))
+    same_run = [F.col(path) == F.col(f"_run_{k}") for k, path in keys.items()]
+    joined = df.join(F.broadcast(shifts), same_run, "left")
+    number = F.col(place) + F.col("_shift")
+    return joined.withColumns({n: number for n in names}).drop("_shift", *[f"_run_{k}" for k in keys])
 
 
 def collect_list_by_key(
@@ -74,16 +98,15 @@ def collect_list_by_key(
     rows = df.filter(F.col(key).isNotNull()).select(
         F.col(key), F.col(col).alias("_item"), F.struct(*order_by).alias("_order")
     )
-    longest = rows.groupBy(key).count().agg(F.max("count")).first()[0]
-    if longest is None or longest <= max_items:
-        parted = rows.withColumn("_part", F.lit(0))
+    items = F.sort_array(F.collect_list(F.struct("_order", "_item"))).alias("_sorted")
+    longest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if longest <= max_items:
+        lists = rows.groupBy(key).agg(items).withColumn("_part", F.lit(0))
     else:
         numbered = sequential_id(rows, [key, "_order"], ["_number"])
         starts = numbered.groupBy(key).agg(F.min("_number").alias("_first"))
-        parted = left_join_default(
-            numbered, starts, [key], heavy=heavy_keys(numbered, {"key": [key]})["key"], salt_by=["_number"]
-        ).withColumn("_part", F.floor((F.col("_number") - F.col("_first")) / max_items).cast("int"))
-    lists = parted.groupBy(key, "_part").agg(
-        F.sort_array(F.collect_list(F.struct("_order", "_item"))).alias("_sorted")
-    )
+        heavy = heavy_keys(numbered, {"key": [key]})["key"]
+        placed = left_join_default(numbered, starts, [key], heavy=heavy, salt_by=["_number"])
+        part = F.floor((F.col("_number") - F.col("_first")) / max_items).cast("int")
+        lists = placed.withColumn("_part", part).groupBy(key, "_part").agg(items)
     return lists.select(key, F.col("_sorted._item").alias(col), "_part")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.functions.values import to_double
+from hirelake.functions.values import doubles
 from hirelake.operators.quantiles import exact_quantiles
 
 
@@ -55,17 +55,17 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         return lambda c: F.lit(quartiles[c][i]).cast("double")
 
     return _per_column(
-        df,
+        doubles(df, cols),
         cols,
         {
-            "values": lambda c: F.count(to_double(c)),
-            "mean": lambda c: F.avg(to_double(c)),
-            "std": lambda c: F.stddev_samp(to_double(c)),
-            "min": lambda c: F.min(to_double(c)),
+            "values": F.count,
+            "mean": F.avg,
+            "std": F.stddev_samp,
+            "min": F.min,
             "q25": at(0),
             "median": at(1),
             "q75": at(2),
-            "max": lambda c: F.max(to_double(c)),
+            "max": F.max,
         },
     )
 
@@ -96,13 +96,13 @@ def benefits_count(df: DataFrame, key: str = "job_id", col: str = "type", mode:
     """Benefits per key: list lengths when `col` holds lists, else 1 for every key there is.
 
     `mode` can be `length` or `presence`; `auto` goes by the column's type. A list that goes on
-    over several rows of one key counts as one.
+    over several rows of one key counts as one. Null keys are left out.
     """
     is_list = col in df.columns and isinstance(df.schema[col].dataType, T.ArrayType)
+    keyed = df.filter(F.col(key).isNotNull())
     if mode == "length" or (mode == "auto" and is_list):
-        return df.groupBy(key).agg(F.sum(F.size(col)).alias("benefits_count"))
-    present = df.filter(F.col(key).isNotNull()).select(key).distinct()
-    return present.withColumn("benefits_count", F.lit(1).cast("bigint"))
+        return keyed.groupBy(key).agg(F.sum(F.size(col)).alias("benefits_count"))
+    return keyed.select(key).distinct().withColumn("benefits_count", F.lit(1).cast("bigint"))
 
 
 def profile_table(df: DataFrame) -> DataFrame:
@@ -111,13 +111,13 @@ def profile_table(df: DataFrame) -> DataFrame:
     quartiles = exact_quantiles(df, numeric, (0.25, 0.5, 0.75))
 
     def figure(make):
-        return lambda c: (make(to_double(c)) if c in numeric else F.lit(None)).cast("double")
+        return lambda c: (make(c) if c in numeric else F.lit(None)).cast("double")
 
     def quartile(i):
         return lambda c: F.lit(quartiles[c][i] if c in numeric else None).cast("double")
 
     return _per_column(
-        df,
+        doubles(df, numeric),
         df.columns,
         {
             "data_type": lambda c: F.lit(types[c]),

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from hirelake.fixed_values import IQR_FACTOR, UNKNOWN
 from hirelake.functions.money import clip_upper_const
-from hirelake.functions.values import to_double
+from hirelake.functions.values import doubles, to_double
 
-SORT_LIMIT = 500_000
+SORT_LIMIT = 200_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -34,79 +34,73 @@ class _Piece:
     size: int
 
     def values(self):
-        value = to_double(self.col)
-        inside = value.isNotNull()
+        value = F.col(self.col)
         if self.low is not None:
-            inside = inside & (value > self.low)
+            value = F.when(F.col(self.col) > self.low, value)
         if self.high is not None:
-            inside = inside & (value < self.high)
-        return F.when(inside, value)
+            value = F.when(F.col(self.col) < self.high, value)
+        return value
 
 
 def _one_row(df: DataFrame, exprs: list) -> list:
     return list(df.agg(*[e.alias(f"c{i}") for i, e in enumerate(exprs)]).first())
 
 
+def _pivots(df: DataFrame, ranks: dict[_Piece, set[int]], accuracy: int) -> dict[_Piece, list[float]]:
+    """Values of each piece that a sketch puts closely around the wanted ranks."""
+
+    def shares(piece: _Piece) -> list[float]:
+        around = {(r - piece.base) / piece.size + shift / accuracy for r in ranks[piece] for shift in (-2, 2)}
+        return sorted({min(1.0, max(0.0, share)) for share in around})
+
+    sketches = [F.percentile_approx(p.values(), shares(p), accuracy) for p in ranks]
+    return {p: sorted(set(values)) for p, values in zip(ranks, _one_row(df, sketches))}
+
+
 def _narrow(df: DataFrame, wanted: dict, sort_limit: int, accuracy: int, found: dict) -> dict:
-    """Shrink the piece of every wanted (column, rank); ranks that fall on a pivot are found."""
-    wide = {target: piece for target, piece in wanted.items() if piece.size > sort_limit}
-    targets = list(wide)
-    pivots_of = _one_row(
-        df,
-        [
-            F.percentile_approx(
-                wide[t].values(),
-                [
-                    min(1.0, max(0.0, (t[1] - wide[t].base) / wide[t].size + shift / accuracy))
-                    for shift in (-2, 2)
-                ],
-                accuracy,
-            )
-            for t in targets
-        ],
-    )
-    counts = []
-    for t, (a, b) in zip(targets, pivots_of):
-        values = wide[t].values()
-        counts += [F.count(F.when(c, 1)) for c in (values < a, values <= a, values < b, values <= b)]
-    counted = iter(_one_row(df, counts))
-    narrowed = {t: p for t, p in wanted.items() if t not in wide}
-    for t, (a, b) in zip(targets, pivots_of):
-        piece, rank = wide[t], t[1]
-        below_a, upto_a, below_b, upto_b = (piece.base + next(counted) for _ in range(4))
-        if rank < below_a:
-            narrowed[t] = _Piece(piece.col, piece.low, a, piece.base, below_a - piece.base)
-        elif rank < upto_a:
-            found[t] = a
-        elif rank < below_b:
-            narrowed[t] = _Piece(piece.col, a, b, upto_a, below_b - upto_a)
-        elif rank < upto_b:
-            found[t] = b
-        else:
-            narrowed[t] = _Piece(piece.col, b, piece.high, upto_b, piece.base + piece.size - upto_b)
+    """Shrink the piece of every wanted (column, rank); ranks that fall on a pivot are found.
+
+    A pivot is a value of its piece and belongs to none of the new pieces, so each pass shrinks them.
+    """
+    ranks: dict[_Piece, set[int]] = {}
+    for (_, rank), piece in wanted.items():
+        if piece.size > sort_limit:
+            ranks.setdefault(piece, set()).add(rank)
+    pivots = _pivots(df, ranks, accuracy)
+    tests = [t for p in ranks for x in pivots[p] for t in (p.values() < x, p.values() <= x)]
+    counted = iter(_one_row(df, [F.count_if(t) for t in tests]))
+    borders = {p: [(x, p.base + next(counted), p.base + next(counted)) for x in pivots[p]] for p in ranks}
+    narrowed = {}
+    for target, piece in wanted.items():
+        if piece not in ranks:
+            narrowed[target] = piece
+            continue
+        low, base = piece.low, piece.base
+        for value, below, upto in [*borders[piece], (piece.high, piece.base + piece.size, None)]:
+            if target[1] < below:
+                narrowed[target] = _Piece(piece.col, low, value, base, below - base)
+                break
+            if target[1] < upto:
+                found[target] = value
+                break
+            low, base = value, upto
     return narrowed
 
 
-def values_at_ranks(
+def _values_at_ranks(
     df: DataFrame, wanted: dict[tuple[str, int], _Piece], sort_limit: int, accuracy: int
 ) -> dict[tuple[str, int], float]:
     found: dict[tuple[str, int], float] = {}
     while any(p.size > sort_limit for p in wanted.values()):
         wanted = _narrow(df, wanted, sort_limit, accuracy, found)
-    pieces = list(dict.fromkeys(wanted.values()))
-    if pieces:
+    if wanted:
         # Every piece holds at most `sort_limit` values, so these lists are bounded.
+        pieces = list(dict.fromkeys(wanted.values()))
         lists = df.agg(
             *[F.sort_array(F.collect_list(p.values())).alias(f"v{i}") for i, p in enumerate(pieces)]
         )
-        targets = list(wanted)
-        picked = lists.select(
-            *[
-                F.get(f"v{pieces.index(wanted[t])}", F.lit(t[1] - wanted[t].base)).alias(f"t{i}")
-                for i, t in enumerate(targets)
-            ]
-        ).first()
-        found.update(zip(targets, picked))
+        picks = [F.get(f"v{pieces.index(p)}", F.lit(rank - p.base)) for (_, rank), p in wanted.items()]
+        found.update(zip(wanted, lists.select(*[x.alias(f"t{i}") for i, x in enumerate(picks)]).first()))
     return found
 
 
@@ -125,13 +119,14 @@ def exact_quantiles(
     cols = list(cols)
     if not cols:
         return {}
-    counts = dict(zip(cols, _one_row(df, [F.count(to_double(c)) for c in cols])))
+    df = doubles(df, cols)
+    counts = dict(zip(cols, _one_row(df, [F.count(c) for c in cols])))
     whole = {c: _Piece(c, None, None, 0, counts[c]) for c in cols}
     position = {(c, q): q * (counts[c] - 1) for c in cols if counts[c] for q in qs}
     wanted = {
         (c, rank): whole[c] for (c, _), p in position.items() for rank in (math.floor(p), math.ceil(p))
     }
-    at = values_at_ranks(df, wanted, sort_limit, accuracy)
+    at = _values_at_ranks(df, wanted, sort_limit, accuracy)
 
     def quantile(c: str, q: float) -> float | None:
         if not counts[c]:

@@ -83,10 +83,9 @@ def clean_jobs(
         df = df.withColumns(
             {"normalized_salary": salary, **{c: v for c, v in known.items() if c in df.columns}}
         )
-    df = sequential_id(df, order_by, ROW_NUMBERS)
-    if "normalized_salary" in df.columns:
+        # Capped before the rows are numbered, so its passes read three columns of the source.
         df = iqr_cap(df, ["normalized_salary"], k)
-    return df.drop(SEQ)
+    return sequential_id(df, order_by, ROW_NUMBERS).drop(SEQ)
 
 
 def clean_jobs_notebook(df: DataFrame, order_by: Sequence[str] = (SEQ,), k: float = IQR_FACTOR) -> DataFrame:
@@ -94,8 +93,7 @@ def clean_jobs_notebook(df: DataFrame, order_by: Sequence[str] = (SEQ,), k: floa
     df = _repair_job_columns(df)
     codes = [c for c in ("currency", "pay_period") if c in df.columns]
     df = df.withColumns({c: replace_null_with_unknown(c) for c in codes})
-    df = sequential_id(df, order_by, ROW_NUMBERS)
-    return iqr_cap(df, ["normalized_salary"], k).drop(SEQ)
+    return sequential_id(iqr_cap(df, ["normalized_salary"], k), order_by, ROW_NUMBERS).drop(SEQ)
 
 
 def _unified_salary(df: DataFrame):

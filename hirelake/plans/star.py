@@ -15,7 +15,7 @@ from hirelake.fixed_values import (
     LOCATION_COLUMNS,
     UNKNOWN,
 )
-from hirelake.functions.dates import format_date_key, parse_date_key
+from hirelake.functions.dates import date_parts, format_date_key
 from hirelake.functions.money import annualize_salary, clip_upper_const, currency_to_usd
 from hirelake.functions.values import (
     cast_bool_nonzero,
@@ -28,7 +28,7 @@ from hirelake.functions.values import (
 )
 from hirelake.operators.ordering import dedupe
 from hirelake.operators.profile import benefits_count
-from hirelake.operators.projection import filter_valid_dates, resolve_column, select_existing
+from hirelake.operators.projection import resolve_column, select_existing
 from hirelake.operators.skew import HeavyKeys, heavy_keys, left_join_default
 from hirelake.sources.csv import SEQ
 from hirelake.sources.layers import require_columns
@@ -95,15 +95,14 @@ def dim_location(dim_company: DataFrame) -> DataFrame:
 
 
 def dim_time(jobs: DataFrame) -> DataFrame:
-    """One row per listing day. Days lie between 1677 and 2262, so there are at most 213,504 rows."""
+    """One row per listing day. Days lie between 1677 and 2262, so there are at most 213,504 rows.
+
+    Days are made distinct as dates; every one of them has a key that reads back as that date.
+    """
     if "original_listed_time" not in jobs.columns:
         return jobs.sparkSession.createDataFrame([], DIM_TIME_SCHEMA)
-    listed = jobs.filter(F.col("original_listed_time").isNotNull())
-    keys = listed.select(format_date_key("original_listed_time").alias("time_key")).distinct()
-    day = parse_date_key("time_key")
-    return filter_valid_dates(keys, "time_key").select(
-        "time_key", F.year(day).alias("year"), F.month(day).alias("month"), F.dayofmonth(day).alias("day")
-    )
+    days = jobs.select(F.to_date("original_listed_time").alias("_day")).na.drop().distinct()
+    return date_parts(days.select(format_date_key("_day").alias("time_key"), "_day"), "_day").drop("_day")
 
 
 def fact_company_join(jobs: DataFrame, dim_company: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
@@ -120,7 +119,7 @@ def fact_benefits_join(
         return jobs.withColumn("benefits_count", F.lit(0).cast("bigint"))
     counts = benefits_count(benefits, mode=mode)
     return left_join_default(
-        jobs, counts, ["job_id"], {"benefits_count": 0}, heavy=heavy, salt_by=_salt_columns(jobs)
+        jobs, counts, ["job_id"], {"benefits_count": 0}, False, heavy, salt_by=_salt_columns(jobs)
     )
 
 
