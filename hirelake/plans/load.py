@@ -34,8 +34,8 @@ class Layers:
         return cls(*[f"{name}_{suffix}" for name in LAYERS])
 
 
-def load_raw(spark: SparkSession, paths: Mapping[str, str], namespace: str, multi_line: bool = True) -> dict[str, int]:
-    tables = read_csv_tables(spark, paths, RAW_SCHEMAS, multi_line=multi_line)
+def load_raw(spark: SparkSession, paths: Mapping[str, str], namespace: str, csv_mode: str = "whole") -> dict[str, int]:
+    tables = read_csv_tables(spark, paths, RAW_SCHEMAS, mode=csv_mode)
     return layers.load_raw_replace(tables, namespace)
 
 
@@ -86,7 +86,7 @@ def run_pipeline(
     run_id: str,
     force: bool = False,
     names: Layers = Layers(),
-    multi_line: bool = True,
+    csv_mode: str = "whole",
 ) -> DataFrame:
     """Load what is missing, rebuild the star schema, and return the manifest of the run.
 
@@ -96,7 +96,7 @@ def run_pipeline(
     layers.create_namespaces(spark, (names.raw, names.cleaned, names.model), warehouse)
     layers.run_if_needed(
         force or layers.needs_extraction(spark, names.raw, RAW_TABLES),
-        lambda: load_raw(spark, paths, names.raw, multi_line),
+        lambda: load_raw(spark, paths, names.raw, csv_mode),
     )
     copies = layers.run_if_needed(
         force or layers.needs_cleaning(spark, names.cleaned, CLEANED_TABLES),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from hirelake.fixed_values import NA_TOKENS
 from hirelake.functions.values import to_double
+from hirelake.sources.split_csv import read_records
 
 SEQ = "_seq"
 
@@ -42,15 +43,20 @@ def cast_by_schema(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     return df.withColumns({c: _typed(c, t) for c, t in wanted.items() if c in df.columns})
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, mode: str = "whole") -> DataFrame:
     """A CSV file, or a folder of them, as text columns plus `_seq`, the row's place in the input.
 
-    Columns are matched by header name, never by position. Quoted line breaks need
-    `multi_line`, with which one file is read by one task; give large tables as many files,
-    or pass `multi_line=False` for files without quoted line breaks, which Spark then splits.
+    Columns are matched by header name, never by position. `mode` says how line breaks in quoted
+    fields are dealt with: `whole` reads each file in one task and suits many files of ordinary
+    size; `split` cuts files of any size at records; `lines` is for files without such breaks.
     """
-    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"'}
+    options = {"header": True, "multiLine": mode != "lines", "quote": '"', "escape": '"'}
     df = spark.read.options(**options).csv(path)
+    if mode == "split":
+        schema = ", ".join(f"`{c}` string" for c in df.columns)
+        parsed = F.from_csv("text", F.lit(schema), {k: str(x).lower() for k, x in options.items()})
+        place = F.struct("file", "block", F.col("record").alias("row"))
+        return read_records(spark, path).select(parsed.alias("_row"), place.alias(SEQ)).select("_row.*", SEQ)
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -86,11 +92,11 @@ def read_csv_tables(
     schemas: Mapping[str, T.StructType | str] | None = None,
     na_tokens: Iterable[str] = NA_TOKENS,
     strict: bool = True,
-    multi_line: bool = True,
+    mode: str = "whole",
 ) -> dict[str, DataFrame]:
     """Table name to typed frame with a `_seq` column for the row order of the files."""
     tables = {}
     for table, path in require_files(spark, paths, strict).items():
-        df = na_tokens_to_null(read_csv(spark, path, multi_line), na_tokens)
+        df = na_tokens_to_null(read_csv(spark, path, mode), na_tokens)
         tables[table] = cast_by_schema(df, schemas[table]) if schemas and table in schemas else df
     return tables
