@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.fixed_values import CLEANED_TABLES, LAYERS, RAW_TABLES
+from hirelake.fixed_values import CLEANED_TABLES, LAYERS, MODEL_TABLES, RAW_TABLES
 from hirelake.plans import cleaning, star
 from hirelake.sources import layers
 from hirelake.sources.csv import read_csv_tables
@@ -39,10 +39,13 @@ def load_raw(spark: SparkSession, paths: Mapping[str, str], namespace: str, csv_
     return layers.load_raw_replace(tables, namespace)
 
 
-def load_cleaned(spark: SparkSession, names: Layers, files: str, run_id: str) -> dict[str, str]:
-    """Clean and store every table, then copy the stored tables to parquet; returns the copies' paths."""
-    for table in CLEANED_TABLES:
-        layers.replace_table(CLEANERS[table](layers.scan_table(spark, names.raw, table)), names.cleaned, table)
+def load_cleaned(spark: SparkSession, names: Layers) -> dict[str, int]:
+    raw = {t: layers.scan_table(spark, names.raw, t) for t in CLEANED_TABLES}
+    return layers.side_by_side(raw, lambda t, df: layers.replace_table(CLEANERS[t](df), names.cleaned, t))
+
+
+def copy_cleaned(spark: SparkSession, names: Layers, files: str, run_id: str) -> dict[str, str]:
+    """Copy the stored cleaned tables to parquet files of this run; returns their paths."""
     stored = {
         t: layers.scan_table(spark, names.cleaned, t)
         for t in CLEANED_TABLES
@@ -87,25 +90,28 @@ def run_pipeline(
     force: bool = False,
     names: Layers = Layers(),
     csv_mode: str = "whole",
+    copies: bool = True,
 ) -> DataFrame:
     """Load what is missing, rebuild the star schema, and return the manifest of the run.
 
     Raw and cleaned are loaded only when a table of theirs is missing or empty, or with
-    `force`; the star schema is rebuilt every time.
+    `force`; the star schema is rebuilt every time. `copies=False` leaves out the parquet
+    copies of freshly cleaned tables and the CSV copies of the star schema.
     """
     layers.create_namespaces(spark, (names.raw, names.cleaned, names.model), warehouse)
     layers.run_if_needed(
         force or layers.needs_extraction(spark, names.raw, RAW_TABLES),
         lambda: load_raw(spark, paths, names.raw, csv_mode),
     )
-    copies = layers.run_if_needed(
+    cleaned = layers.run_if_needed(
         force or layers.needs_cleaning(spark, names.cleaned, CLEANED_TABLES),
-        lambda: load_cleaned(spark, names, f"{warehouse}/cleaned_files", run_id),
+        lambda: load_cleaned(spark, names),
     )
-    counts = load_model(spark, names)
-    stored = {t: layers.scan_table(spark, names.model, t) for t, rows in counts.items() if rows}
-    backups = layers.write_csv_backup(stored, f"{warehouse}/model_backup/{run_id}")
-    for table in CLEANED_TABLES:
-        if table in (copies or {}):
-            counts[table] = layers.scan_table(spark, names.cleaned, table).count()
-    return layers.run_manifest(spark, run_id, counts, {**(copies or {}), **backups})
+    counts = {**load_model(spark, names), **(cleaned or {})}
+    files: dict[str, str] = {}
+    if copies:
+        if cleaned:
+            files |= copy_cleaned(spark, names, f"{warehouse}/cleaned_files", run_id)
+        model = {t: layers.scan_table(spark, names.model, t) for t in MODEL_TABLES if counts[t]}
+        files |= layers.write_csv_backup(model, f"{warehouse}/model_backup/{run_id}")
+    return layers.run_manifest(spark, run_id, counts, files)

@@ -14,7 +14,7 @@ _SKILL_ROWS = "(SELECT count(*) FROM v_skills_industries)"
 
 
 def _store(v: Views, layer: str, names) -> int:
-    return sum(layers.replace_table(getattr(v, n), layer, n) for n in names)
+    return sum(layers.load_raw_replace({n: getattr(v, n) for n in names}, layer).values())
 
 
 def _frame(v: Views, rows: list, schema: str):

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from hirelake.fixed_values import CLEANED_TABLES
 from hirelake.functions.dates import format_date_key
 from hirelake.operators import skew
 from hirelake.plans import cleaning, load, star
@@ -199,6 +198,4 @@ def run_layers(v):
     raw = {name: df.drop("_seq") for name, df in v.raw().items()}
     paths = layers.write_csv_backup(raw, f"{warehouse}/source")
     names = load.Layers.with_suffix(uuid.uuid4().hex[:12])
-    manifest = load.run_pipeline(v.spark, paths, warehouse, "run_1", names=names)
-    assert set(CLEANED_TABLES) <= {row.table_name for row in manifest.collect()}
-    return manifest.select("table_name", "row_count")
+    return load.run_pipeline(v.spark, paths, warehouse, "run_1", names=names).select("table_name", "row_count")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,16 @@ from pyspark.sql import types as T
 
 from hirelake.fixed_values import CLEANED_TABLES, RAW_TABLES
 
+Item, Result = TypeVar("Item"), TypeVar("Result")
+
+
+def side_by_side(items: Mapping[str, Item], job: Callable[[str, Item], Result]) -> dict[str, Result]:
+    """Run one Spark job per table at the same time, so that small tables fill the gaps of large ones."""
+    if not items:
+        return {}
+    with ThreadPoolExecutor(len(items)) as pool:
+        return dict(zip(items, pool.map(job, items.keys(), items.values())))
+
 
 def create_namespaces(spark: SparkSession, names: Iterable[str], warehouse: str | None = None) -> DataFrame:
     """Create the layers that are absent, check that each is there, and list them."""
@@ -53,27 +65,37 @@ def replace_table(df: DataFrame, namespace: str, table: str, skip_empty: bool =
 
 
 def load_raw_replace(tables: Mapping[str, DataFrame], namespace: str) -> dict[str, int]:
-    return {name: replace_table(df, namespace, name, skip_empty=False) for name, df in tables.items()}
+    return side_by_side(tables, lambda name, df: replace_table(df, namespace, name, skip_empty=False))
+
+
+def _write_nonempty(
+    tables: Mapping[str, DataFrame], path_of: Callable[[str], str], write: Callable[[DataFrame, str], None]
+) -> dict[str, str]:
+    def job(name: str, df: DataFrame) -> str | None:
+        if df.isEmpty():
+            return None
+        write(df, path_of(name))
+        return path_of(name)
+
+    return {name: path for name, path in side_by_side(tables, job).items() if path}
 
 
 def write_parquet_run(tables: Mapping[str, DataFrame], base: str, run_id: str) -> dict[str, str]:
     """Each non-empty table to `<base>/<run_id>/<table>_cleaned.parquet`."""
-    paths = {}
-    for name, df in tables.items():
-        if not df.isEmpty():
-            paths[name] = f"{base}/{run_id}/{name}_cleaned.parquet"
-            df.write.mode("overwrite").parquet(paths[name])
-    return paths
+    return _write_nonempty(
+        tables,
+        lambda name: f"{base}/{run_id}/{name}_cleaned.parquet",
+        lambda df, path: df.write.mode("overwrite").parquet(path),
+    )
 
 
 def write_csv_backup(tables: Mapping[str, DataFrame], directory: str) -> dict[str, str]:
     """Each non-empty table to the folder `<directory>/<table>.csv`, with a header."""
-    paths = {}
-    for name, df in tables.items():
-        if not df.isEmpty():
-            paths[name] = f"{directory}/{name}.csv"
-            df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(paths[name])
-    return paths
+    return _write_nonempty(
+        tables,
+        lambda name: f"{directory}/{name}.csv",
+        lambda df, path: df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path),
+    )
 
 
 def rowcount_validate(spark: SparkSession, namespace: str, table: str, expected: int) -> int:
