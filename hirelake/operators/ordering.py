@@ -13,6 +13,7 @@ from hirelake.sources.csv import SEQ
 from hirelake.sources.staging import stage
 
 LIST_LIMIT = 100_000
+BROADCAST_ROWS = 1_000_000
 _FIXED_WIDTH = (
     "long", "integer", "short", "byte", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz",
 )
@@ -46,9 +47,10 @@ def sequential_id(df: DataFrame, order_by: Sequence[str], names: Sequence[str] =
     and staged, and the sorted blocks take the role of the splits.
     """
     if list(order_by) == [SEQ] and isinstance(df.schema[SEQ].dataType, StructType):
-        runs = _file_runs(df)
-        if runs is not None:
-            return _numbered(df, runs, {"file": "_seq.file", "block": "_seq.block"}, "_seq.row", names)
+        runs, count, whole = _file_runs(df)
+        if whole:
+            keys = {"file": "_seq.file", "block": "_seq.block"}
+            return _numbered(df, runs, keys, "_seq.row", names, broadcast=count <= BROADCAST_ROWS)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = (
         df.repartitionByRange(*order_by)
@@ -57,32 +59,33 @@ def sequential_id(df: DataFrame, order_by: Sequence[str], names: Sequence[str] =
     )
     staged = stage(placed, "numbered")
     runs = staged.groupBy("_block").agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("rows"))
-    return _numbered(staged, runs, {"_block": "_block"}, "_place", names).drop("_block", "_place")
+    # At most one block per shuffle partition, so always small.
+    return _numbered(staged, runs, {"_block": "_block"}, "_place", names, broadcast=True).drop("_block", "_place")
 
 
-def _file_runs(df: DataFrame) -> DataFrame | None:
-    """First row and row count per file split, or None when rows have been taken out of the files."""
+def _file_runs(df: DataFrame) -> tuple[DataFrame, int, bool]:
+    """First row and row count per file split, their number, and whether each split is without gaps."""
     place = F.col("_seq.row")
     runs = df.groupBy(F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block")).agg(
         F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("rows")
     )
-    whole = F.col("last") - F.col("first") + 1 == F.col("rows")
-    return runs.drop("last") if runs.filter(~whole).isEmpty() else None
+    gap = F.col("last") - F.col("first") + 1 != F.col("rows")
+    count, gaps = runs.agg(F.count(F.lit(1)), F.count_if(gap)).first()
+    return runs.drop("last"), count, gaps == 0
 
 
 def _numbered(
-    df: DataFrame, runs: DataFrame, keys: Mapping[str, str], place: str, names: Sequence[str]
+    df: DataFrame, runs: DataFrame, keys: Mapping[str, str], place: str, names: Sequence[str], broadcast: bool
 ) -> DataFrame:
-    """Row numbers from `runs`, which has one row per input split or sorted block.
+    """Row numbers from `runs`, which has one short row per input split or sorted block.
 
-    The driver plans every split and block as a task anyway, so a table with one short row for
-    each is small enough for the one window that adds them up and for broadcasting.
+    The driver plans each of them as a task, so one window can add them up.
     """
     earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first") + 1
     shifts = runs.select(*[F.col(k).alias(f"_run_{k}") for k in keys], shift.alias("_shift"))
     same_run = [F.col(path) == F.col(f"_run_{k}") for k, path in keys.items()]
-    joined = df.join(F.broadcast(shifts), same_run, "left")
+    joined = df.join(F.broadcast(shifts) if broadcast else shifts, same_run, "left")
     number = F.col(place) + F.col("_shift")
     return joined.withColumns({n: number for n in names}).drop("_shift", *[f"_run_{k}" for k in keys])
 

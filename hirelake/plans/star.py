@@ -41,13 +41,14 @@ def company_employee_join(
     employee_counts: DataFrame | None,
     order_by: Sequence[str] = (SEQ,),
     heavy: HeavyKeys | None = None,
+    salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Companies with their last employee count, 0 where there is none."""
     wanted = ("company_id", "employee_count")
     if employee_counts is None or not set(wanted) <= set(employee_counts.columns):
         return companies.withColumn("employee_count", F.lit(0).cast("bigint"))
     last = dedupe(employee_counts.select(*wanted, *order_by), ["company_id"], order_by, "last").select(*wanted)
-    joined = left_join_default(companies, last, ["company_id"], heavy=heavy)
+    joined = left_join_default(companies, last, ["company_id"], heavy=heavy, salt_by=salt_by)
     return joined.withColumn("employee_count", cast_numeric_coerce("employee_count"))
 
 
@@ -56,6 +57,7 @@ def company_industry_join(
     industries: DataFrame | None,
     order_by: Sequence[str] = (SEQ,),
     heavy: HeavyKeys | None = None,
+    salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Companies with their first industry, `Unknown` where there is none."""
     if industries is not None:
@@ -65,7 +67,9 @@ def company_industry_join(
         return companies.withColumn("industry", F.lit(UNKNOWN))
     wanted = ("company_id", "industry")
     first = dedupe(industries.select(*wanted, *order_by), ["company_id"], order_by, "first").select(*wanted)
-    return left_join_default(companies, first, ["company_id"], {"industry": UNKNOWN}, heavy=heavy)
+    return left_join_default(
+        companies, first, ["company_id"], {"industry": UNKNOWN}, heavy=heavy, salt_by=salt_by
+    )
 
 
 def dim_company(
@@ -77,8 +81,10 @@ def dim_company(
 ) -> DataFrame:
     require_columns(companies, ["company_id", "name"])
     heavy = heavy_keys(companies, {"company": ["company_id"]})["company"]
-    base = company_employee_join(companies, employee_counts, counts_order, heavy)
-    base = company_industry_join(base, industries, industries_order, heavy)
+    # One salt for both joins, so the second finds the rows where the first left them.
+    salt_by = companies.columns
+    base = company_employee_join(companies, employee_counts, counts_order, heavy, salt_by)
+    base = company_industry_join(base, industries, industries_order, heavy, salt_by)
     dim = select_existing(base, DIM_COMPANY_COLUMNS).withColumn("company_key", prefix_key("company_id", "name"))
     as_text = [c for c in ("company_size", "industry", "country", "name") if c in dim.columns]
     return dim.withColumns({c: cast_string_nulltoken(c) for c in as_text})

@@ -1,4 +1,9 @@
-"""The raw job-posting tables as views of the given tables, in SQL that Spark and DuckDB both read."""
+"""The raw job-posting tables as views of the given tables, in SQL that Spark and DuckDB both read.
+
+Every view holds all rows of its table. Some ids are moved out of reach (negative job ids, company
+ids beyond all companies), so that there are jobs and companies without any related row, as well as
+related rows without a job or company.
+"""
 
 from __future__ import annotations
 
@@ -55,23 +60,24 @@ FROM {events}""",
     "v_industries": (
         "orders",
         """
-SELECT o_custkey AS company_id,
+SELECT CASE WHEN o_custkey % 6 = 0 THEN o_custkey + 1000000000000 ELSE o_custkey END AS company_id,
  CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE 'Industry ' || CAST(o_orderkey % 23 AS STRING) END AS industry,
  o_orderkey AS _seq
-FROM {orders} WHERE o_custkey % 6 <> 0""",
+FROM {orders}""",
     ),
     "v_benefits": (
         "lineitem",
         """
-SELECT l_orderkey AS job_id,
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey ELSE -l_orderkey END AS job_id,
  CASE WHEN l_partkey % 40 = 0 THEN NULL ELSE l_returnflag || '-' || l_linestatus END AS type,
  l_linenumber % 2 AS inferred, l_linenumber, l_partkey, l_suppkey, l_extendedprice
-FROM {lineitem} WHERE l_orderkey % 3 = 0""",
+FROM {lineitem}""",
     ),
     "v_salaries": (
         "lineitem",
         """
-SELECT l_orderkey AS job_id, l_linenumber, l_partkey, l_suppkey,
+SELECT CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey ELSE -l_orderkey END AS job_id,
+ l_linenumber, l_partkey, l_suppkey,
  CASE WHEN l_partkey % 17 = 0 THEN NULL WHEN l_linenumber % 4 = 0 THEN l_extendedprice ELSE NULL END AS med_salary,
  CASE WHEN l_partkey % 17 = 0 THEN NULL WHEN l_linenumber % 4 IN (1, 2) THEN l_extendedprice * 0.5
   ELSE NULL END AS min_salary,
@@ -79,7 +85,7 @@ SELECT l_orderkey AS job_id, l_linenumber, l_partkey, l_suppkey,
  CASE WHEN l_suppkey % 5 = 0 THEN 'monthly' WHEN l_suppkey % 5 = 1 THEN 'YEARLY'
   WHEN l_suppkey % 5 = 2 THEN 'HOURLY' ELSE NULL END AS pay_period,
  CASE WHEN l_suppkey % 7 = 0 THEN 'EUR' ELSE 'USD' END AS currency
-FROM {lineitem} WHERE l_orderkey % 2 = 0""",
+FROM {lineitem}""",
     ),
     "v_skills_industries": ("part", "SELECT p_brand AS skill_abr, min(p_name) AS skill_name FROM {part} GROUP BY p_brand"),
 }

@@ -55,7 +55,8 @@ def replace_table(df: DataFrame, namespace: str, table: str, skip_empty: bool =
     rows = spark.read.schema(df.schema).parquet(folder).count()
     if rows == 0 and skip_empty:
         return 0
-    if spark.catalog.tableExists(target) and spark.table(target).schema == df.schema:
+    columns = df.schema.simpleString()
+    if spark.catalog.tableExists(target) and spark.table(target).schema.simpleString() == columns:
         spark.sql(f"ALTER TABLE {target} SET LOCATION '{folder}'")
         spark.catalog.refreshTable(target)
     else:

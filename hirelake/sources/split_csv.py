@@ -34,8 +34,7 @@ def _pieces(lines: DataFrame) -> DataFrame:
     carried = splits.select(*_SPLIT, F.coalesce(F.sum("quotes").over(in_file), F.lit(0)).alias("carried"))
     in_split = Window.partitionBy(*_SPLIT).orderBy("row")
     before = F.coalesce(F.sum("quotes").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # One row per file split, which the driver plans as tasks anyway.
-    starts = lines.withColumn("before", before).join(F.broadcast(carried), list(_SPLIT))
+    starts = lines.withColumn("before", before).join(carried, list(_SPLIT))
     begins = ((F.col("before") + F.col("carried")) % 2 == 0).cast("bigint")
     records = starts.withColumn("begins", begins).withColumn("record", F.sum("begins").over(in_split))
     text = F.array_join(F.sort_array(F.collect_list(F.struct("row", "value")))["value"], "\n")
@@ -48,8 +47,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     ends = pieces.groupBy(*_SPLIT).agg(F.max("record").alias("last"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     owner = F.last(F.when(F.col("last") > 0, F.struct("block", "last")), ignorenulls=True).over(earlier)
-    ends = F.broadcast(ends.select(*_SPLIT, "last", owner.alias("owner")))
-    placed = pieces.join(ends, list(_SPLIT))
+    placed = pieces.join(ends.select(*_SPLIT, "last", owner.alias("owner")), list(_SPLIT))
     inner = placed.filter("record > 0 AND record < last").select(*_SPLIT, "record", "text")
     of_owner = F.when(F.col("record") == 0, F.col("owner")).otherwise(F.struct("block", F.col("record").alias("last")))
     parts = placed.filter("record = 0 OR record = last").select(
