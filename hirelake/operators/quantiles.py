@@ -9,10 +9,10 @@ rows, and the exactness does not hang on the sketch, only the number of passes d
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.fixed_values import IQR_FACTOR, UNKNOWN
@@ -33,7 +33,7 @@ class _Piece:
     base: int
     size: int
 
-    def values(self):
+    def values(self) -> Column:
         value = F.col(self.col)
         if self.low is not None:
             value = F.when(F.col(self.col) > self.low, value)
@@ -42,22 +42,30 @@ class _Piece:
         return value
 
 
+Targets = dict[tuple[str, int], _Piece]
+
+
 def _one_row(df: DataFrame, exprs: list) -> list:
     return list(df.agg(*[e.alias(f"c{i}") for i, e in enumerate(exprs)]).first())
 
 
-def _pivots(df: DataFrame, ranks: dict[_Piece, set[int]], accuracy: int) -> dict[_Piece, list[float]]:
-    """Values of each piece that a sketch puts closely around the wanted ranks."""
+def _around(shares: Iterable[float], accuracy: int) -> list[float]:
+    """Shares just below and above each given one, by twice the sketch's error."""
+    return sorted({min(1.0, max(0.0, s + shift / accuracy)) for s in shares for shift in (-2, 2)})
 
-    def shares(piece: _Piece) -> list[float]:
-        around = {(r - piece.base) / piece.size + shift / accuracy for r in ranks[piece] for shift in (-2, 2)}
-        return sorted({min(1.0, max(0.0, share)) for share in around})
 
-    sketches = [F.percentile_approx(p.values(), shares(p), accuracy) for p in ranks]
-    return {p: sorted(set(values)) for p, values in zip(ranks, _one_row(df, sketches))}
+def _pivots(df: DataFrame, ranks: dict[_Piece, set[int]], accuracy: int) -> dict[_Piece, list[float]]:
+    """Values of each piece that a sketch puts closely around the wanted ranks."""
+    sketches = [
+        F.percentile_approx(p.values(), _around([(r - p.base) / p.size for r in ranks[p]], accuracy), accuracy)
+        for p in ranks
+    ]
+    return dict(zip(ranks, _one_row(df, sketches)))
 
 
-def _narrow(df: DataFrame, wanted: dict, sort_limit: int, accuracy: int, found: dict) -> dict:
+def _narrow(
+    df: DataFrame, wanted: Targets, sort_limit: int, accuracy: int, found: dict, known: dict[_Piece, list[float]]
+) -> Targets:
     """Shrink the piece of every wanted (column, rank); ranks that fall on a pivot are found.
 
     A pivot is a value of its piece and belongs to none of the new pieces, so each pass shrinks them.
@@ -66,7 +74,9 @@ def _narrow(df: DataFrame, wanted: dict, sort_limit: int, accuracy: int, found:
     for (_, rank), piece in wanted.items():
         if piece.size > sort_limit:
             ranks.setdefault(piece, set()).add(rank)
-    pivots = _pivots(df, ranks, accuracy)
+    unknown = {p: r for p, r in ranks.items() if p not in known}
+    pivots = known | (_pivots(df, unknown, accuracy) if unknown else {})
+    pivots = {p: sorted(set(pivots[p])) for p in ranks}
     tests = [t for p in ranks for x in pivots[p] for t in (p.values() < x, p.values() <= x)]
     counted = iter(_one_row(df, [F.count_if(t) for t in tests]))
     borders = {p: [(x, p.base + next(counted), p.base + next(counted)) for x in pivots[p]] for p in ranks}
@@ -88,11 +98,11 @@ def _narrow(df: DataFrame, wanted: dict, sort_limit: int, accuracy: int, found:
 
 
 def _values_at_ranks(
-    df: DataFrame, wanted: dict[tuple[str, int], _Piece], sort_limit: int, accuracy: int
+    df: DataFrame, wanted: Targets, sort_limit: int, accuracy: int, known: dict[_Piece, list[float]]
 ) -> dict[tuple[str, int], float]:
     found: dict[tuple[str, int], float] = {}
     while any(p.size > sort_limit for p in wanted.values()):
-        wanted = _narrow(df, wanted, sort_limit, accuracy, found)
+        wanted = _narrow(df, wanted, sort_limit, accuracy, found, known)
     if wanted:
         # Every piece holds at most `sort_limit` values, so these lists are bounded.
         pieces = list(dict.fromkeys(wanted.values()))
@@ -120,13 +130,16 @@ def exact_quantiles(
     if not cols:
         return {}
     df = doubles(df, cols)
-    counts = dict(zip(cols, _one_row(df, [F.count(c) for c in cols])))
+    # The first pass needs no ranks yet: a quantile is itself the share to look around.
+    first = _one_row(df, [f for c in cols for f in (F.count(c), F.percentile_approx(c, _around(qs, accuracy), accuracy))])
+    counts = dict(zip(cols, first[::2]))
     whole = {c: _Piece(c, None, None, 0, counts[c]) for c in cols}
+    known = {whole[c]: pivots for c, pivots in zip(cols, first[1::2]) if counts[c]}
     position = {(c, q): q * (counts[c] - 1) for c in cols if counts[c] for q in qs}
     wanted = {
         (c, rank): whole[c] for (c, _), p in position.items() for rank in (math.floor(p), math.ceil(p))
     }
-    at = _values_at_ranks(df, wanted, sort_limit, accuracy)
+    at = _values_at_ranks(df, wanted, sort_limit, accuracy, known)
 
     def quantile(c: str, q: float) -> float | None:
         if not counts[c]:

@@ -64,7 +64,7 @@ def array_type_branch(v):
     return counted[0].unionByName(counted[1])
 
 
-@query("SELECT DISTINCT job_id, 1 AS benefits_count FROM v_benefits")
+@query("SELECT DISTINCT job_id, CAST(1 AS BIGINT) AS benefits_count FROM v_benefits")
 def benefit_presence(v):
     return profile.benefits_count(v.benefits, mode="presence")
 
