@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.fixed_values import CLEANED_TABLES, LAYERS, MODEL_TABLES, RAW_TABLES
+from hirelake.fixed_values import CLEANED_TABLES, LAYERS, MODEL_TABLES, RAW_KEYS, RAW_TABLES
 from hirelake.plans import cleaning, star
 from hirelake.sources import layers
 from hirelake.sources.csv import read_csv_tables
@@ -34,8 +34,14 @@ class Layers:
         return cls(*[f"{name}_{suffix}" for name in LAYERS])
 
 
-def load_raw(spark: SparkSession, paths: Mapping[str, str], namespace: str, csv_mode: str = "whole") -> dict[str, int]:
+def load_raw(
+    spark: SparkSession, paths: Mapping[str, str], namespace: str, csv_mode: str = "auto", cluster: int | None = None
+) -> dict[str, int]:
+    """Files to raw tables, given a number in `cluster` range-clustered by key into that many parts."""
     tables = read_csv_tables(spark, paths, RAW_SCHEMAS, mode=csv_mode)
+    if cluster:
+        keyed = {t: df for t, df in tables.items() if RAW_KEYS[t] in df.columns}
+        tables |= {t: layers.layout_by_key(df, [RAW_KEYS[t]], cluster) for t, df in keyed.items()}
     return layers.load_raw_replace(tables, namespace)
 
 
@@ -89,19 +95,21 @@ def run_pipeline(
     run_id: str,
     force: bool = False,
     names: Layers = Layers(),
-    csv_mode: str = "whole",
+    csv_mode: str = "auto",
     copies: bool = True,
+    cluster: int | None = None,
 ) -> DataFrame:
     """Load what is missing, rebuild the star schema, and return the manifest of the run.
 
     Raw and cleaned are loaded only when a table of theirs is missing or empty, or with
     `force`; the star schema is rebuilt every time. `copies=False` leaves out the parquet
-    copies of freshly cleaned tables and the CSV copies of the star schema.
+    copies of freshly cleaned tables and the CSV copies of the star schema. `cluster` lays the
+    raw tables out by key, for readers that filter them by it.
     """
     layers.create_namespaces(spark, (names.raw, names.cleaned, names.model), warehouse)
     layers.run_if_needed(
         force or layers.needs_extraction(spark, names.raw, RAW_TABLES),
-        lambda: load_raw(spark, paths, names.raw, csv_mode),
+        lambda: load_raw(spark, paths, names.raw, csv_mode, cluster),
     )
     cleaned = layers.run_if_needed(
         force or layers.needs_cleaning(spark, names.cleaned, CLEANED_TABLES),

@@ -14,6 +14,7 @@ from hirelake.functions.values import to_double
 from hirelake.sources.split_csv import read_records
 
 SEQ = "_seq"
+WHOLE_FILE_LIMIT = 1 << 30
 
 
 def na_tokens_to_null(df: DataFrame, tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
@@ -43,13 +44,31 @@ def cast_by_schema(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     return df.withColumns({c: _typed(c, t) for c, t in wanted.items() if c in df.columns})
 
 
-def read_csv(spark: SparkSession, path: str, mode: str = "whole") -> DataFrame:
+def _files(spark: SparkSession, path: str) -> DataFrame | None:
+    """Path and size of the files at `path`, from the listing alone; None when there is no such path."""
+    try:
+        return spark.read.format("binaryFile").load(path).select("path", "length")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _mode(spark: SparkSession, path: str) -> str:
+    files = _files(spark, path)
+    large = files is not None and not files.filter(F.col("length") > WHOLE_FILE_LIMIT).isEmpty()
+    return "split" if large else "whole"
+
+
+def read_csv(spark: SparkSession, path: str, mode: str = "auto") -> DataFrame:
     """A CSV file, or a folder of them, as text columns plus `_seq`, the row's place in the input.
 
     Columns are matched by header name, never by position. `mode` says how line breaks in quoted
-    fields are dealt with: `whole` reads each file in one task and suits many files of ordinary
-    size; `split` cuts files of any size at records; `lines` is for files without such breaks.
+    fields are dealt with: `whole` reads each file in one task; `split` cuts files of any size at
+    records; `auto` splits when some file is larger than 1 GiB; `lines` is for files without such
+    breaks.
     """
+    mode = _mode(spark, path) if mode == "auto" else mode
     options = {"header": True, "multiLine": mode != "lines", "quote": '"', "escape": '"'}
     df = spark.read.options(**options).csv(path)
     if mode == "split":
@@ -65,21 +84,11 @@ def read_csv(spark: SparkSession, path: str, mode: str = "whole") -> DataFrame:
     return df.withColumn(SEQ, place)
 
 
-def _found(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
-
-
 def require_files(spark: SparkSession, paths: Mapping[str, str], strict: bool = True) -> dict[str, str]:
     """Those of `paths` that exist; `strict` raises on the first that does not."""
     present = {}
     for table, path in paths.items():
-        if _found(spark, path):
+        if _files(spark, path) is not None:
             present[table] = path
         elif strict:
             raise FileNotFoundError(f"no CSV for table {table}: {path}")
@@ -92,7 +101,7 @@ def read_csv_tables(
     schemas: Mapping[str, T.StructType | str] | None = None,
     na_tokens: Iterable[str] = NA_TOKENS,
     strict: bool = True,
-    mode: str = "whole",
+    mode: str = "auto",
 ) -> dict[str, DataFrame]:
     """Table name to typed frame with a `_seq` column for the row order of the files."""
     tables = {}

@@ -184,14 +184,14 @@ def stored(spark, names, table):
     return sorted(map(repr, layers.scan_table(spark, names.model, table).collect()))
 
 
-@pytest.mark.parametrize("csv_mode", ["whole", "split"])
-def test_second_run_skips_loading_and_gives_equal_tables(spark, tmp_path, csv_mode):
+@pytest.mark.parametrize("csv_mode, cluster", [("auto", None), ("split", 3)])
+def test_second_run_skips_loading_and_gives_equal_tables(spark, tmp_path, csv_mode, cluster):
     raw = {name: df.drop("_seq") for name, df in Views(spark, FOLDER).raw().items()}
     paths = layers.write_csv_backup(raw, str(tmp_path / "source"))
     names = load.Layers.with_suffix(uuid.uuid4().hex[:8])
 
     def run(run_id, **kwargs):
-        manifest = load.run_pipeline(spark, paths, str(tmp_path / "wh"), run_id, names=names, csv_mode=csv_mode, **kwargs)
+        manifest = load.run_pipeline(spark, paths, str(tmp_path / "wh"), run_id, names=names, csv_mode=csv_mode, cluster=cluster, **kwargs)
         return {r.table_name: r for r in manifest.collect()}
 
     first = run("r1")

@@ -70,6 +70,21 @@ def test_split_files_give_the_same_records_as_whole_files(spark, tmp_path, split
     assert [r.text or "" for r in whole][:150] == [t for _, t, _ in messy_records(150)]
 
 
+def test_large_files_are_split(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "t.csv").write_text('id,text\n1,"a\nb"\n')
+
+    def plan():
+        df = csv.read_csv(spark, str(tmp_path))
+        df.explain()
+        return capsys.readouterr().out, df.drop("_seq").collect()
+
+    whole, rows = plan()
+    monkeypatch.setattr(csv, "WHOLE_FILE_LIMIT", 4)
+    split, same_rows = plan()
+    assert "FileScan csv" in whole and "FileScan text" in split
+    assert rows == same_rows == [("1", "a\nb")]
+
+
 @pytest.mark.parametrize("mode", ["whole", "split", "lines"])
 def test_rows_are_numbered_in_file_order(spark, tmp_path, mode):
     for part in range(3):
