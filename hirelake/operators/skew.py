@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HEAVY = 2_000
-SKETCH_ITEMS = 16_384
+MAX_HEAVY = 10_000
+SKETCH_ITEMS = 65_536
 MAX_SALTS = 4_096
 _HASHABLE = {"long", "integer", "short", "byte", "string", "date", "boolean", "timestamp", "timestamp_ntz"}
 
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Hashes of the key values worth splitting, and into how many salts each is split."""
+    """Hashes of the key values worth splitting, by the number of salts each is split into."""
 
-    hashes: tuple[int, ...] = ()
-    salts: int = 1
+    tiers: Mapping[int, tuple[int, ...]] = field(default_factory=dict)
 
+    def __bool__(self) -> bool:
+        return bool(self.tiers)
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def salts(self, keys: Sequence[str]) -> Column:
+        """Number of salts of a row's key, 1 for a key that is not heavy."""
+        key_hash, salts = F.xxhash64(*keys), F.lit(1).cast("bigint")
+        for count, hashes in self.tiers.items():
+            salts = F.when(key_hash.isin(*hashes), F.lit(count).cast("bigint")).otherwise(salts)
+        return salts
 
 
 def heavy_keys(
@@ -34,13 +40,14 @@ def heavy_keys(
 
     The answer comes from a mergeable frequent-items sketch of bounded size. It steers only the
     layout of a join: a key missed or listed by mistake changes no result. The default share is
-    twice an average shuffle partition.
+    twice an average shuffle partition. A key gets about as many salts, rounded up to a power of
+    two, as average partitions would hold its rows.
     """
     names = [n for n, keys in key_sets.items() if _can_hash(df, keys)]
     found = {n: HeavyKeys() for n in key_sets}
     if not names:
         return found
-    partitions = _partitions(df)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = share or max(2 / partitions, 1 / MAX_HEAVY)
     hashed = df.select(*[F.xxhash64(*key_sets[n]).alias(f"h{i}") for i, n in enumerate(names)])
     sketches = [
@@ -49,11 +56,13 @@ def heavy_keys(
     ]
     total, *tops = hashed.agg(F.count(F.lit(1)), *sketches).first()
     for name, top in zip(names, tops):
-        heavy = [item for item in top or () if item["count"] > share * total]
-        if heavy:
-            largest = max(item["count"] for item in heavy) / total
-            salts = min(MAX_SALTS, max(2, round(largest * partitions)))
-            found[name] = HeavyKeys(tuple(item["item"] for item in heavy), salts)
+        tiers: dict[int, tuple[int, ...]] = {}
+        for key_hash, count in top or ():
+            if count > share * total:
+                average_partitions = max(2, math.ceil(count / total * partitions))
+                salts = min(MAX_SALTS, 1 << (average_partitions - 1).bit_length())
+                tiers[salts] = (*tiers.get(salts, ()), key_hash)
+        found[name] = HeavyKeys(tiers)
     return found
 
 
@@ -61,10 +70,6 @@ def _can_hash(df: DataFrame, keys: Sequence[str]) -> bool:
     return all(df.schema[k].dataType.typeName() in _HASHABLE for k in keys)
 
 
-def _is_heavy(heavy: HeavyKeys, keys: Sequence[Column]) -> Column:
-    return F.xxhash64(*keys).isin(*heavy.hashes)
-
-
 def left_join_default(
     left: DataFrame,
     right: DataFrame,
@@ -89,15 +94,11 @@ def left_join_default(
     pairs = {k: f"_right_{k}" for k in keys}
     other = right.withColumnsRenamed(pairs)
     same_types = all(left.schema[k].dataType == right.schema[k].dataType for k in keys)
-    if heavy and heavy.hashes and same_types:
-        last = heavy.salts - 1
-        left_heavy = _is_heavy(heavy, [F.col(k) for k in keys])
-        salt = F.pmod(F.xxhash64(*(salt_by or left.columns)), F.lit(heavy.salts))
-        left = left.withColumn("_salt", F.when(left_heavy, salt).otherwise(F.lit(0)))
-        right_heavy = _is_heavy(heavy, [F.col(c) for c in pairs.values()])
-        every = F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))
-        zero = F.array(F.lit(0).cast("bigint"))
-        other = other.withColumn("_right_salt", F.explode(F.when(right_heavy, every).otherwise(zero)))
+    if heavy and same_types:
+        salt = F.pmod(F.xxhash64(*(salt_by or left.columns)), heavy.salts(keys))
+        left = left.withColumn("_salt", F.when(heavy.salts(keys) > 1, salt).otherwise(F.lit(0)))
+        every = F.sequence(F.lit(0).cast("bigint"), heavy.salts(list(pairs.values())) - 1)
+        other = other.withColumn("_right_salt", F.explode(every))
         pairs["_salt"] = "_right_salt"
     equal = [
         F.col(a).eqNullSafe(F.col(b)) if null_safe and a != "_salt" else F.col(a) == F.col(b)

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from hirelake.fixed_values import CLEANED_TABLES, LAYERS, MODEL_TABLES, RAW_KEYS, RAW_TABLES
+from hirelake.operators.ordering import sequential_id
 from hirelake.plans import cleaning, star
 from hirelake.sources import layers
-from hirelake.sources.csv import read_csv_tables
+from hirelake.sources.csv import SEQ, read_csv_tables
 from hirelake.sources.schemas import RAW_SCHEMAS
 
 CLEANERS = {
@@ -46,8 +47,17 @@ def load_raw(
 
 
 def load_cleaned(spark: SparkSession, names: Layers) -> dict[str, int]:
-    raw = {t: layers.scan_table(spark, names.raw, t) for t in CLEANED_TABLES}
-    return layers.side_by_side(raw, lambda t, df: layers.replace_table(CLEANERS[t](df), names.cleaned, t))
+    """Clean and store every table; from here on `_seq` is a plain row number.
+
+    A number is shorter to shuffle than a place in a file, and aggregates on it can hash.
+    """
+
+    def job(table: str, raw: DataFrame) -> int:
+        if table != "jobs" and SEQ in raw.columns:
+            raw = sequential_id(raw, [SEQ], [SEQ])
+        return layers.replace_table(CLEANERS[table](raw), names.cleaned, table)
+
+    return layers.side_by_side({t: layers.scan_table(spark, names.raw, t) for t in CLEANED_TABLES}, job)
 
 
 def copy_cleaned(spark: SparkSession, names: Layers, files: str, run_id: str) -> dict[str, str]:

@@ -72,7 +72,7 @@ def read_csv(spark: SparkSession, path: str, mode: str = "auto") -> DataFrame:
     options = {"header": True, "multiLine": mode != "lines", "quote": '"', "escape": '"'}
     df = spark.read.options(**options).csv(path)
     if mode == "split":
-        schema = ", ".join(f"`{c}` string" for c in df.columns)
+        schema = ", ".join("`{}` string".format(c.replace("`", "``")) for c in df.columns)
         parsed = F.from_csv("text", F.lit(schema), {k: str(x).lower() for k, x in options.items()})
         place = F.struct("file", "block", F.col("record").alias("row"))
         return read_records(spark, path).select(parsed.alias("_row"), place.alias(SEQ)).select("_row.*", SEQ)

@@ -203,6 +203,10 @@ def test_second_run_skips_loading_and_gives_equal_tables(spark, tmp_path, csv_mo
     numbers = layers.scan_table(spark, names.cleaned, "jobs").agg(F.min("job_id_modify"), F.max("job_id_modify"), F.count_distinct("job_id_modify")).first()
     assert tuple(numbers) == (1, first["fact_jobs"].row_count, first["fact_jobs"].row_count)
 
+    counts = layers.scan_table(spark, names.cleaned, "employee_counts")
+    assert dict(counts.dtypes)["_seq"] == "bigint"
+    assert counts.agg(F.min("_seq"), F.max("_seq")).first() == (1, raw["employee_counts"].count())
+
     second = run("r2")
     assert "jobs" not in second and {t: stored(spark, names, t) for t in MODEL_TABLES} == tables
     forced = run("r3", force=True)
