@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from hirelake.functions.values import doubles
 from hirelake.operators.quantiles import exact_quantiles
+from hirelake.sources.layers import side_by_side
 
 
 def _per_column(df: DataFrame, cols: Sequence[str], fields: Mapping[str, object]) -> DataFrame:
@@ -135,5 +136,5 @@ def profile_table(df: DataFrame) -> DataFrame:
 
 
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
-    profiles = [profile_table(df).select(F.lit(n).alias("table_name"), "*") for n, df in tables.items()]
-    return reduce(DataFrame.unionByName, profiles)
+    profiles = side_by_side(tables, lambda name, df: profile_table(df).select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, profiles.values())

@@ -1,8 +1,7 @@
 """The raw job-posting tables as views of the given tables, in SQL that Spark and DuckDB both read.
 
-Every view holds all rows of its table. Some ids are moved out of reach (negative job ids, company
-ids beyond all companies), so that there are jobs and companies without any related row, as well as
-related rows without a job or company.
+Every view holds all rows of its table. Some ids are made negative, so that there are jobs and
+companies without any related row, as well as related rows without a job or company.
 """
 
 from __future__ import annotations
@@ -60,7 +59,7 @@ FROM {events}""",
     "v_industries": (
         "orders",
         """
-SELECT CASE WHEN o_custkey % 6 = 0 THEN o_custkey + 1000000000000 ELSE o_custkey END AS company_id,
+SELECT CASE WHEN o_custkey % 6 = 0 THEN -o_custkey ELSE o_custkey END AS company_id,
  CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE 'Industry ' || CAST(o_orderkey % 23 AS STRING) END AS industry,
  o_orderkey AS _seq
 FROM {orders}""",

@@ -9,7 +9,9 @@ from hirelake.fixed_values import FACT_COLUMNS, MODEL_TABLES
 from hirelake.operators import skew
 from hirelake.plans import cleaning, load, star
 from hirelake.queries.bindings import BENEFITS_ORDER, Views
+from hirelake.queries.oracle import statement
 from hirelake.sources import layers
+from tests.compare import difference, oracle_connection
 
 FOLDER = "/root/testdata/sf0.001"
 JOBS = "job_id bigint, company_id bigint, title string, views bigint, remote_allowed boolean, original_listed_time timestamp_ntz"
@@ -121,7 +123,9 @@ def test_salary_comes_from_the_salaries_table(spark):
 
 
 def test_only_missing_salary_columns_are_filled(spark):
-    jobs = spark.createDataFrame([(10, 1, "a", 100.0)], "job_id bigint, company_id bigint, title string, normalized_salary double")
+    jobs = spark.createDataFrame(
+        [(10, 1, "a", 100.0)], "job_id bigint, company_id bigint, title string, normalized_salary double"
+    )
     salaries = spark.createDataFrame(
         [(10, 50.0, "EUR", 1)], "job_id bigint, normalized_salary double, currency string, _seq int"
     )
@@ -191,7 +195,8 @@ def test_second_run_skips_loading_and_gives_equal_tables(spark, tmp_path, csv_mo
     names = load.Layers.with_suffix(uuid.uuid4().hex[:8])
 
     def run(run_id, **kwargs):
-        manifest = load.run_pipeline(spark, paths, str(tmp_path / "wh"), run_id, names=names, csv_mode=csv_mode, cluster=cluster, **kwargs)
+        how = {"names": names, "csv_mode": csv_mode, "cluster": cluster, **kwargs}
+        manifest = load.run_pipeline(spark, paths, str(tmp_path / "wh"), run_id, **how)
         return {r.table_name: r for r in manifest.collect()}
 
     first = run("r1")
@@ -200,9 +205,17 @@ def test_second_run_skips_loading_and_gives_equal_tables(spark, tmp_path, csv_mo
     assert first["fact_jobs"].row_count == raw["jobs"].count()
     assert (tmp_path / "wh/cleaned_files/r1/jobs_cleaned.parquet").exists()
     assert (tmp_path / "wh/model_backup/r1/fact_jobs.csv").exists()
-    numbers = layers.scan_table(spark, names.cleaned, "jobs").agg(F.min("job_id_modify"), F.max("job_id_modify"), F.count_distinct("job_id_modify")).first()
+    number = F.col("job_id_modify")
+    jobs = layers.scan_table(spark, names.cleaned, "jobs")
+    numbers = jobs.agg(F.min(number), F.max(number), F.count_distinct(number)).first()
     assert tuple(numbers) == (1, first["fact_jobs"].row_count, first["fact_jobs"].row_count)
 
+    connection = oracle_connection(FOLDER)
+    parts = ("d_company", "d_location", "d_time", "f_jobs")
+    for table, part in zip(MODEL_TABLES, parts):
+        found = layers.scan_table(spark, names.model, table)
+        assert difference(found, connection, statement(f"SELECT * FROM {part}")) is None
+
     counts = layers.scan_table(spark, names.cleaned, "employee_counts")
     assert dict(counts.dtypes)["_seq"] == "bigint"
     assert counts.agg(F.min("_seq"), F.max("_seq")).first() == (1, raw["employee_counts"].count())
