@@ -56,9 +56,6 @@ def unify_salary(med: Column | str, lo: Column | str, hi: Column | str) -> Colum
 
 
 def clip_upper_const(c: Column | str, cap: float | None) -> Column:
-    """Values above `cap` become `cap`; nulls stay null, and NaN is read as null."""
-    c = as_column(c)
-    if cap is None:
-        return c
-    value = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-    return F.when(value > cap, F.lit(float(cap))).otherwise(value)
+    """The value as a double, at most `cap`, if there is one; nulls stay null, and NaN is read as null."""
+    value = F.nanvl(as_column(c).cast("double"), F.lit(None).cast("double"))
+    return value if cap is None else F.when(value > cap, F.lit(float(cap))).otherwise(value)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hirelake.operators.skew import heavy_keys, left_join_default
+from hirelake.operators.skew import HeavyKeys, heavy_keys, left_join_default
 from hirelake.sources.csv import SEQ
 from hirelake.sources.staging import stage
 
@@ -93,23 +93,34 @@ def _numbered(
 def collect_list_by_key(
     df: DataFrame, key: str, col: str, order_by: Sequence[str], max_items: int = LIST_LIMIT
 ) -> DataFrame:
-    """One ordered list of `col` per key: columns key, `col`, `_part`. Null items stay, null keys go.
+    """Ordered lists of `col`: columns key, `col`, `_part`. Null items stay, null keys go.
 
-    A list longer than `max_items` goes on in further rows of the same key, `_part` 1, 2 and so
-    on, so no task ever holds more than `max_items` items of one key.
+    A row is one part of a key's list: parts have `max_items` items, the last one the rest, and
+    are numbered from 0. That holds at all sizes. Keys that a sketch finds to be long are numbered
+    by a range sort first, so no task needs to hold their whole lists; all other keys are
+    gathered at once. A key the sketch missed only takes more memory.
     """
     rows = df.filter(F.col(key).isNotNull()).select(
         F.col(key), F.col(col).alias("_item"), F.struct(*order_by).alias("_order")
     )
     items = F.sort_array(F.collect_list(F.struct("_order", "_item"))).alias("_sorted")
-    longest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if longest <= max_items:
-        lists = rows.groupBy(key).agg(items).withColumn("_part", F.lit(0))
-    else:
-        numbered = sequential_id(rows, [key, "_order"], ["_number"])
-        starts = numbered.groupBy(key).agg(F.min("_number").alias("_first"))
-        heavy = heavy_keys(numbered, {"key": [key]})["key"]
-        placed = left_join_default(numbered, starts, [key], heavy=heavy, salt_by=["_number"])
-        part = F.floor((F.col("_number") - F.col("_first")) / max_items).cast("int")
-        lists = placed.withColumn("_part", part).groupBy(key, "_part").agg(items)
-    return lists.select(key, F.col("_sorted._item").alias(col), "_part")
+    long = heavy_keys(rows, {"key": [key]}, least=max_items)["key"]
+    parts = _plain_lists(rows.filter(long.salts([key]) == 1) if long else rows, key, items, max_items)
+    if long:
+        parts = parts.unionByName(_numbered_lists(rows.filter(long.salts([key]) > 1), key, items, max_items, long))
+    return parts.select(key, F.col("_sorted._item").alias(col), "_part")
+
+
+def _plain_lists(rows: DataFrame, key: str, items: Column, max_items: int) -> DataFrame:
+    whole = rows.groupBy(key).agg(items)
+    starts = F.sequence(F.lit(0), F.floor((F.size("_sorted") - 1) / max_items).cast("int"))
+    part = F.slice("_sorted", F.col("_part") * max_items + 1, F.lit(max_items))
+    return whole.withColumn("_part", F.explode(starts)).withColumn("_sorted", part)
+
+
+def _numbered_lists(rows: DataFrame, key: str, items: Column, max_items: int, long: HeavyKeys) -> DataFrame:
+    numbered = sequential_id(rows, [key, "_order"], ["_number"])
+    starts = numbered.groupBy(key).agg(F.min("_number").alias("_first"))
+    placed = left_join_default(numbered, starts, [key], heavy=long, salt_by=["_number"])
+    part = F.floor((F.col("_number") - F.col("_first")) / max_items).cast("int")
+    return placed.withColumn("_part", part).groupBy(key, "_part").agg(items)

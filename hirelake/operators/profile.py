@@ -96,11 +96,14 @@ def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def benefits_count(df: DataFrame, key: str = "job_id", col: str = "type", mode: str = "auto") -> DataFrame:
     """Benefits per key: list lengths when `col` holds lists, else 1 for every key there is.
 
-    `mode` can be `length` or `presence`; `auto` goes by the column's type. A list that goes on
-    over several rows of one key counts as one. Null keys are left out.
+    `mode` can be `length`, `presence`, or `rows`, which counts a table with one row per benefit as
+    if it had been gathered to lists; `auto` goes by the column's type. A list that goes on over
+    several rows of one key counts as one. Null keys are left out.
     """
     is_list = col in df.columns and isinstance(df.schema[col].dataType, T.ArrayType)
     keyed = df.filter(F.col(key).isNotNull())
+    if mode == "rows":
+        return keyed.groupBy(key).agg(F.count(F.lit(1)).alias("benefits_count"))
     if mode == "length" or (mode == "auto" and is_list):
         return keyed.groupBy(key).agg(F.sum(F.size(col)).alias("benefits_count"))
     return keyed.select(key).distinct().withColumn("benefits_count", F.lit(1).cast("bigint"))

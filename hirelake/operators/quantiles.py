@@ -2,7 +2,7 @@
 
 A quantile needs one or two values at known ranks. They are found by narrowing: a mergeable
 sketch proposes two values around each rank, one counting pass decides exactly which piece
-holds the rank, and this repeats until the piece is small enough to sort. No pass shuffles
+holds the rank, and this repeats until all pieces of a call are small enough to sort together. No pass shuffles
 rows, and the exactness does not hang on the sketch, only the number of passes does.
 """
 
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from hirelake.fixed_values import IQR_FACTOR, UNKNOWN
 from hirelake.functions.money import clip_upper_const
@@ -70,9 +71,10 @@ def _narrow(
 
     A pivot is a value of its piece and belongs to none of the new pieces, so each pass shrinks them.
     """
+    pieces = set(wanted.values())
     ranks: dict[_Piece, set[int]] = {}
     for (_, rank), piece in wanted.items():
-        if piece.size > sort_limit:
+        if piece.size > max(1, sort_limit // len(pieces)):
             ranks.setdefault(piece, set()).add(rank)
     unknown = {p: r for p, r in ranks.items() if p not in known}
     pivots = known | (_pivots(df, unknown, accuracy) if unknown else {})
@@ -101,10 +103,10 @@ def _values_at_ranks(
     df: DataFrame, wanted: Targets, sort_limit: int, accuracy: int, known: dict[_Piece, list[float]]
 ) -> dict[tuple[str, int], float]:
     found: dict[tuple[str, int], float] = {}
-    while any(p.size > sort_limit for p in wanted.values()):
+    while sum(p.size for p in set(wanted.values())) > max(sort_limit, len(set(wanted.values()))):
         wanted = _narrow(df, wanted, sort_limit, accuracy, found, known)
     if wanted:
-        # Every piece holds at most `sort_limit` values, so these lists are bounded.
+        # All pieces together hold at most `sort_limit` values, or one each, so the row is bounded.
         pieces = list(dict.fromkeys(wanted.values()))
         lists = df.agg(
             *[F.sort_array(F.collect_list(p.values())).alias(f"v{i}") for i, p in enumerate(pieces)]
@@ -182,7 +184,7 @@ def iqr_cap(
 
 def median_impute(df: DataFrame, col: str, default: float = 0) -> DataFrame:
     """Nulls become the column's median, cut to a whole number; a text column gets `Unknown`."""
-    if df.schema[col].dataType.typeName() not in ("double", "float", "long", "integer", "short"):
+    if not isinstance(df.schema[col].dataType, NumericType):
         return df.withColumn(col, F.coalesce(F.col(col), F.lit(UNKNOWN)))
     (median,) = exact_quantiles(df, [col], [0.5])[col]
     filled = F.coalesce(to_double(col), F.lit(float(default if median is None else median)))

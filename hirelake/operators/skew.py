@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 MAX_HEAVY = 10_000
 SKETCH_ITEMS = 65_536
 MAX_SALTS = 4_096
-_HASHABLE = {"long", "integer", "short", "byte", "string", "date", "boolean", "timestamp", "timestamp_ntz"}
+_FLOATS = {"double", "float"}
+_HASHABLE = {
+    "long", "integer", "short", "byte", "string", "date", "boolean", "timestamp", "timestamp_ntz", "decimal", *_FLOATS,
+}
 
 
 @dataclass(frozen=True)
@@ -25,7 +28,7 @@ class HeavyKeys:
     def __bool__(self) -> bool:
         return bool(self.tiers)
 
-    def salts(self, keys: Sequence[str]) -> Column:
+    def salts(self, keys: Sequence[str | Column]) -> Column:
         """Number of salts of a row's key, 1 for a key that is not heavy."""
         key_hash, salts = F.xxhash64(*keys), F.lit(1).cast("bigint")
         for count, hashes in self.tiers.items():
@@ -34,20 +37,21 @@ class HeavyKeys:
 
 
 def heavy_keys(
-    df: DataFrame, key_sets: Mapping[str, Sequence[str]], share: float | None = None
+    df: DataFrame, key_sets: Mapping[str, Sequence[str]], share: float | None = None, least: int | None = None
 ) -> dict[str, HeavyKeys]:
     """Find, in one pass and without a shuffle of rows, the keys with more than their share of rows.
 
     The answer comes from a mergeable frequent-items sketch of bounded size. It steers only the
     layout of a join: a key missed or listed by mistake changes no result. The default share is
-    twice an average shuffle partition. A key gets about as many salts, rounded up to a power of
+    twice an average shuffle partition; `least` asks for keys with more rows than that instead. A key gets about as many salts, rounded up to a power of
     two, as average partitions would hold its rows.
     """
     names = [n for n, keys in key_sets.items() if _can_hash(df, keys)]
     found = {n: HeavyKeys() for n in key_sets}
     if not names:
         return found
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    partitions = int(setting) if setting.isdigit() else df.sparkSession.sparkContext.defaultParallelism
     share = share or max(2 / partitions, 1 / MAX_HEAVY)
     hashed = df.select(*[F.xxhash64(*key_sets[n]).alias(f"h{i}") for i, n in enumerate(names)])
     sketches = [
@@ -58,7 +62,7 @@ def heavy_keys(
     for name, top in zip(names, tops):
         tiers: dict[int, tuple[int, ...]] = {}
         for key_hash, count in top or ():
-            if count > share * total:
+            if count > (share * total if least is None else least):
                 average_partitions = max(2, math.ceil(count / total * partitions))
                 salts = min(MAX_SALTS, 1 << (average_partitions - 1).bit_length())
                 tiers[salts] = (*tiers.get(salts, ()), key_hash)
@@ -93,11 +97,12 @@ def left_join_default(
         raise ValueError(f"columns on both sides of the join: {sorted(clash)}")
     pairs = {k: f"_right_{k}" for k in keys}
     other = right.withColumnsRenamed(pairs)
-    same_types = all(left.schema[k].dataType == right.schema[k].dataType for k in keys)
-    if heavy and same_types:
+    if heavy:
+        # Hashed as the left side's type, in which the heavy keys were found.
+        as_left = [F.col(pairs[k]).try_cast(left.schema[k].dataType) for k in keys]
         salt = F.pmod(F.xxhash64(*(salt_by or left.columns)), heavy.salts(keys))
         left = left.withColumn("_salt", F.when(heavy.salts(keys) > 1, salt).otherwise(F.lit(0)))
-        every = F.sequence(F.lit(0).cast("bigint"), heavy.salts(list(pairs.values())) - 1)
+        every = F.sequence(F.lit(0).cast("bigint"), heavy.salts(as_left) - 1)
         other = other.withColumn("_right_salt", F.explode(every))
         pairs["_salt"] = "_right_salt"
     equal = [

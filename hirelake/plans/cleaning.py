@@ -51,7 +51,7 @@ def _repair_job_columns(df: DataFrame) -> DataFrame:
     repairs = {
         "zip_code": lambda c: replace_missing_token(zip_to_string(c)),
         "formatted_experience_level": replace_missing_token,
-        "original_listed_time": epoch_fallback_parse if _has_text(df, "original_listed_time") else epoch_ms_to_ts,
+        "original_listed_time": _listing_time(df),
         "company_id": lambda c: cast_int_trunc(fill_constant(to_double(c), -1.0)),
         "views": lambda c: cast_int_trunc(fill_constant(to_double(c), 0.0)),
         "remote_allowed": cast_bool_nonzero,
@@ -63,15 +63,14 @@ def _has_text(df: DataFrame, col: str) -> bool:
     return col in df.columns and _is_text(df, col)
 
 
-def clean_jobs(
+def clean_job_values(
     df: DataFrame,
-    order_by: Sequence[str] = (SEQ,),
     rates: Mapping[str, float] = CLEANING_RATES,
     factors: Mapping[str, float] = PERIODS_PER_YEAR,
     annualize: bool = True,
     k: float = IQR_FACTOR,
 ) -> DataFrame:
-    """`annualize=False` trusts the salary column to be a yearly figure already."""
+    """Cleaned jobs before the rows are numbered, for readers that need no number."""
     df = _repair_job_columns(df)
     if "normalized_salary" in df.columns:
         salary = to_double("normalized_salary")
@@ -83,9 +82,35 @@ def clean_jobs(
         df = df.withColumns(
             {"normalized_salary": salary, **{c: v for c, v in known.items() if c in df.columns}}
         )
-        # Capped before the rows are numbered, so its passes read three columns of the source.
         df = iqr_cap(df, ["normalized_salary"], k)
-    return sequential_id(df, order_by, ROW_NUMBERS).drop(SEQ)
+    return df
+
+
+def clean_jobs(
+    df: DataFrame,
+    order_by: Sequence[str] = (SEQ,),
+    rates: Mapping[str, float] = CLEANING_RATES,
+    factors: Mapping[str, float] = PERIODS_PER_YEAR,
+    annualize: bool = True,
+    k: float = IQR_FACTOR,
+) -> DataFrame:
+    """`annualize=False` trusts the salary column to be a yearly figure already.
+
+    Values come before numbers, so the passes for the cap read three columns of the source.
+    """
+    return sequential_id(clean_job_values(df, rates, factors, annualize, k), order_by, ROW_NUMBERS).drop(SEQ)
+
+
+def listing_times(df: DataFrame) -> DataFrame:
+    """Jobs with their listing time repaired and nothing else done."""
+    df = normalize_columns(df)
+    if "original_listed_time" not in df.columns:
+        return df
+    return df.withColumn("original_listed_time", _listing_time(df)("original_listed_time"))
+
+
+def _listing_time(df: DataFrame):
+    return epoch_fallback_parse if _has_text(df, "original_listed_time") else epoch_ms_to_ts
 
 
 def clean_jobs_notebook(df: DataFrame, order_by: Sequence[str] = (SEQ,), k: float = IQR_FACTOR) -> DataFrame:
@@ -93,7 +118,8 @@ def clean_jobs_notebook(df: DataFrame, order_by: Sequence[str] = (SEQ,), k: floa
     df = _repair_job_columns(df)
     codes = [c for c in ("currency", "pay_period") if c in df.columns]
     df = df.withColumns({c: replace_null_with_unknown(c) for c in codes})
-    return sequential_id(iqr_cap(df, ["normalized_salary"], k), order_by, ROW_NUMBERS).drop(SEQ)
+    salaries = [c for c in ("normalized_salary",) if c in df.columns]
+    return sequential_id(iqr_cap(df, salaries, k), order_by, ROW_NUMBERS).drop(SEQ)
 
 
 def _unified_salary(df: DataFrame):
@@ -122,13 +148,13 @@ def clean_salaries_notebook(df: DataFrame, k: float = IQR_FACTOR) -> DataFrame:
     """The exploratory variant: source columns stay, each is capped on its own, nothing is annualised."""
     df = normalize_columns(df)
     df = df.withColumn("raw_salary", _unified_salary(df))
-    return iqr_cap(df, ["max_salary", "med_salary", "min_salary", "raw_salary"], k)
+    return iqr_cap(df, [c for c in ("max_salary", "med_salary", "min_salary", "raw_salary") if c in df.columns], k)
 
 
 def clean_benefits(
     df: DataFrame, order_by: Sequence[str] = (SEQ,), max_items: int = LIST_LIMIT
 ) -> DataFrame:
-    """One list of benefit types per job; `_part` numbers the rows of a list longer than `max_items`."""
+    """Benefit types per job in order; a row is one part of a job's list, with up to `max_items` of them."""
     df = drop_columns_if_exist(normalize_columns(df), ["inferred"])
     if "job_id" not in df.columns or "type" not in df.columns:
         return df

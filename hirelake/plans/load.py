@@ -13,6 +13,7 @@ from hirelake.plans import cleaning, star
 from hirelake.sources import layers
 from hirelake.sources.csv import SEQ, read_csv_tables
 from hirelake.sources.schemas import RAW_SCHEMAS
+from hirelake.sources.staging import releasing
 
 CLEANERS = {
     "jobs": cleaning.clean_jobs,
@@ -43,21 +44,31 @@ def load_raw(
     if cluster:
         keyed = {t: df for t, df in tables.items() if RAW_KEYS[t] in df.columns}
         tables |= {t: layers.layout_by_key(df, [RAW_KEYS[t]], cluster) for t, df in keyed.items()}
-    return layers.load_raw_replace(tables, namespace)
+    return _checked(spark, namespace, layers.load_raw_replace(tables, namespace))
 
 
-def load_cleaned(spark: SparkSession, names: Layers) -> dict[str, int]:
+def _checked(spark: SparkSession, namespace: str, counts: dict[str, int]) -> dict[str, int]:
+    """The counts, after each stored table was found to have as many rows; 0 is a table left as it was."""
+    for table, rows in counts.items():
+        if rows:
+            layers.rowcount_validate(spark, namespace, table, rows)
+    return counts
+
+
+def load_cleaned(spark: SparkSession, names: Layers, skip_empty: bool = True) -> dict[str, int]:
     """Clean and store every table; from here on `_seq` is a plain row number.
 
     A number is shorter to shuffle than a place in a file, and aggregates on it can hash.
+    `skip_empty` keeps the older rows of a table that comes out empty.
     """
 
     def job(table: str, raw: DataFrame) -> int:
         if table != "jobs" and SEQ in raw.columns:
             raw = sequential_id(raw, [SEQ], [SEQ])
-        return layers.replace_table(CLEANERS[table](raw), names.cleaned, table)
+        return layers.replace_table(CLEANERS[table](raw), names.cleaned, table, skip_empty)
 
-    return layers.side_by_side({t: layers.scan_table(spark, names.raw, t) for t in CLEANED_TABLES}, job)
+    raw = {t: layers.scan_table(spark, names.raw, t) for t in CLEANED_TABLES}
+    return _checked(spark, names.cleaned, layers.side_by_side(raw, job))
 
 
 def copy_cleaned(spark: SparkSession, names: Layers, files: str, run_id: str) -> dict[str, str]:
@@ -70,7 +81,7 @@ def copy_cleaned(spark: SparkSession, names: Layers, files: str, run_id: str) ->
     return layers.write_parquet_run(stored, files, run_id)
 
 
-def load_model(spark: SparkSession, names: Layers) -> dict[str, int]:
+def load_model(spark: SparkSession, names: Layers, skip_empty: bool = True) -> dict[str, int]:
     """Each dimension is stored before the fact reads it, so nothing is computed twice."""
 
     def cleaned(table: str) -> DataFrame | None:
@@ -79,7 +90,7 @@ def load_model(spark: SparkSession, names: Layers) -> dict[str, int]:
         return layers.scan_table(spark, names.cleaned, table)
 
     def store(table: str, df: DataFrame) -> DataFrame:
-        counts[table] = layers.replace_table(df, names.model, table)
+        counts[table] = layers.replace_table(df, names.model, table, skip_empty)
         return layers.scan_table(spark, names.model, table) if counts[table] else df
 
     counts: dict[str, int] = {}
@@ -95,7 +106,7 @@ def load_model(spark: SparkSession, names: Layers) -> dict[str, int]:
     location = store("dim_location", star.dim_location(company))
     time = store("dim_time", star.dim_time(jobs))
     store("fact_jobs", star.fact_jobs(jobs, company, location, time, cleaned("benefits"), cleaned("salaries")))
-    return counts
+    return _checked(spark, names.model, counts)
 
 
 def run_pipeline(
@@ -114,8 +125,14 @@ def run_pipeline(
     Raw and cleaned are loaded only when a table of theirs is missing or empty, or with
     `force`; the star schema is rebuilt every time. `copies=False` leaves out the parquet
     copies of freshly cleaned tables and the CSV copies of the star schema. `cluster` lays the
-    raw tables out by key, for readers that filter them by it.
+    raw tables out by key, for readers that filter them by it. Tables that come out empty keep
+    their older rows, but not with `force`. What was staged on the way is removed at the end.
     """
+    with releasing(spark):
+        return _run(spark, paths, warehouse, run_id, force, names, csv_mode, copies, cluster)
+
+
+def _run(spark, paths, warehouse, run_id, force, names, csv_mode, copies, cluster) -> DataFrame:
     layers.create_namespaces(spark, (names.raw, names.cleaned, names.model), warehouse)
     layers.run_if_needed(
         force or layers.needs_extraction(spark, names.raw, RAW_TABLES),
@@ -123,9 +140,9 @@ def run_pipeline(
     )
     cleaned = layers.run_if_needed(
         force or layers.needs_cleaning(spark, names.cleaned, CLEANED_TABLES),
-        lambda: load_cleaned(spark, names),
+        lambda: load_cleaned(spark, names, skip_empty=not force),
     )
-    counts = {**load_model(spark, names), **(cleaned or {})}
+    counts = {**load_model(spark, names, skip_empty=not force), **(cleaned or {})}
     files: dict[str, str] = {}
     if copies:
         if cleaned:

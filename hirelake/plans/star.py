@@ -79,12 +79,10 @@ def dim_company(
     counts_order: Sequence[str] = (SEQ,),
     industries_order: Sequence[str] = (SEQ,),
 ) -> DataFrame:
+    """One row per company row; both joined tables are reduced to one row per company first."""
     require_columns(companies, ["company_id", "name"])
-    heavy = heavy_keys(companies, {"company": ["company_id"]})["company"]
-    # One salt for both joins, so the second finds the rows where the first left them.
-    salt_by = companies.columns
-    base = company_employee_join(companies, employee_counts, counts_order, heavy, salt_by)
-    base = company_industry_join(base, industries, industries_order, heavy, salt_by)
+    base = company_employee_join(companies, employee_counts, counts_order)
+    base = company_industry_join(base, industries, industries_order)
     dim = select_existing(base, DIM_COMPANY_COLUMNS).withColumn("company_key", prefix_key("company_id", "name"))
     as_text = [c for c in ("company_size", "industry", "country", "name") if c in dim.columns]
     return dim.withColumns({c: cast_string_nulltoken(c) for c in as_text})
@@ -101,10 +99,7 @@ def dim_location(dim_company: DataFrame) -> DataFrame:
 
 
 def dim_time(jobs: DataFrame) -> DataFrame:
-    """One row per listing day. Days lie between 1677 and 2262, so there are at most 213,504 rows.
-
-    Days are made distinct as dates; every one of them has a key that reads back as that date.
-    """
+    """One row per listing day, made distinct as dates, each with a key that reads back as that date."""
     if "original_listed_time" not in jobs.columns:
         return jobs.sparkSession.createDataFrame([], DIM_TIME_SCHEMA)
     days = jobs.select(F.to_date("original_listed_time").alias("_day")).na.drop().distinct()
@@ -149,14 +144,11 @@ def fact_location_join(
 
 
 def fk_nullify(
-    fact: DataFrame, fk: str, dim: DataFrame, key: str, bounded: bool = False, heavy: HeavyKeys | None = None
+    fact: DataFrame, fk: str, dim: DataFrame, key: str, heavy: HeavyKeys | None = None
 ) -> DataFrame:
-    """Null the foreign keys that the dimension does not have.
-
-    `bounded` says that the dimension's size has a fixed limit, which allows broadcasting it.
-    """
+    """Null the foreign keys that the dimension does not have; Spark decides by size how to join."""
     known = dim.select(F.col(key).alias(fk)).distinct().withColumn("_known", F.lit(True))
-    joined = left_join_default(fact, F.broadcast(known) if bounded else known, [fk], null_safe=False, heavy=heavy)
+    joined = left_join_default(fact, known, [fk], null_safe=False, heavy=heavy)
     return joined.withColumn(fk, F.when(F.col("_known"), F.col(fk))).select(*fact.columns)
 
 
@@ -211,23 +203,22 @@ def fact_jobs(
     """One row per job and company match.
 
     The place of a job is its company's, so the location key is attached to the companies,
-    before they meet the far larger jobs.
+    before they meet the far larger jobs. Only the company of a job can be a hot key here; jobs
+    have an id each, and what is joined to them by it has one row per id.
     """
     require_columns(jobs, ["job_id", "company_id", "title"])
     jobs = select_existing(jobs, FACT_JOB_COLUMNS)
-    heavy = heavy_keys(jobs, {"company": ["company_id"], "job": ["job_id"]})
+    heavy = heavy_keys(jobs, {"company": ["company_id"]})["company"]
     companies = select_existing(dim_company, ("company_id", "company_key", *LOCATION_COLUMNS))
-    places = [c for c in LOCATION_COLUMNS if c in companies.columns]
-    crowded = heavy_keys(companies, {"place": places})["place"] if places else None
-    companies = fact_location_join(companies, dim_location, crowded)
-    fact = fact_company_join(jobs, companies, heavy["company"])
-    fact = fact_benefits_join(fact, benefits, benefits_mode, heavy["job"])
+    companies = fact_location_join(companies, dim_location)
+    fact = fact_company_join(jobs, companies, heavy)
+    fact = fact_benefits_join(fact, benefits, benefits_mode)
     if "original_listed_time" in fact.columns:
         fact = fact.withColumn("time_key", format_date_key("original_listed_time"))
-        fact = fk_nullify(fact, "time_key", dim_time, "time_key", bounded=True)
+        fact = fk_nullify(fact, "time_key", dim_time, "time_key")
     else:
         fact = fact.withColumn("time_key", F.lit(None).cast("string"))
-    fact = _normalize_salary(fact_salary_fallback(fact, salaries, salaries_order, heavy["job"]))
+    fact = _normalize_salary(fact_salary_fallback(fact, salaries, salaries_order))
     fact = select_existing(fact, FACT_COLUMNS)
     finals = {"views": cast_numeric_coerce, "remote_allowed": cast_bool_nonzero}
     return fact.withColumns({c: f(c) for c, f in finals.items() if c in fact.columns})
@@ -237,18 +228,19 @@ def star_rollup(fact: DataFrame, dim_company: DataFrame, dim_time: DataFrame) ->
     """Jobs, views and mean non-zero salary by year, month, industry and country.
 
     The fact is first reduced to one row per company and day, so the joins see no large group.
-    Salaries are summed as decimals, which makes the mean independent of the order of rows.
+    Salaries are summed as decimals of six places, which makes the mean independent of the order
+    of rows; a salary beyond 10^22 counts as unknown.
     """
     paid = F.col("normalized_salary") != 0
     per_day = fact.groupBy("company_key", "time_key").agg(
         F.count(F.lit(1)).alias("jobs"),
         F.sum("views").alias("views"),
-        F.sum(F.when(paid, F.col("normalized_salary").cast("decimal(18,4)"))).alias("salaries"),
+        F.sum(F.when(paid, F.col("normalized_salary").try_cast("decimal(28,6)"))).alias("salaries"),
         F.count_if(paid).alias("paid_jobs"),
     )
     order = ["industry", "country"]
     companies = dedupe(dim_company.select("company_key", *order), ["company_key"], order)
-    days = F.broadcast(dim_time.select("time_key", "year", "month"))
+    days = dim_time.select("time_key", "year", "month")
     joined = left_join_default(per_day, companies, ["company_key"], null_safe=False)
     joined = left_join_default(joined, days, ["time_key"], null_safe=False)
     paid_jobs = F.sum("paid_jobs")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from hirelake.fixed_values import MODEL_TABLES
 from hirelake.functions.dates import format_date_key
 from hirelake.operators import skew
 from hirelake.plans import cleaning, load, star
@@ -29,15 +30,19 @@ def _benefits(v: Views):
     return cleaning.clean_benefits(v.benefits, BENEFITS_ORDER)
 
 
+def _listed(v: Views):
+    return cleaning.listing_times(v.jobs.select("job_id", "original_listed_time"))
+
+
 def _dim_company(v: Views):
     return star.dim_company(_companies(v), v.employee_counts, cleaning.clean_industries(v.industries))
 
 
 def _star(v: Views):
-    """The fact and its dimensions; the company dimension is staged because three tables read it."""
-    jobs, company = _jobs(v), stage(_dim_company(v), "dim_company")
-    location, time = star.dim_location(company), star.dim_time(jobs)
-    return star.fact_jobs(jobs, company, location, time, _benefits(v)), company, time
+    """The fact and its dimensions, from the tables as they are: benefits are counted, not listed."""
+    jobs, company = cleaning.clean_job_values(v.jobs), _dim_company(v)
+    location, time = star.dim_location(company), star.dim_time(_listed(v))
+    return star.fact_jobs(jobs, company, location, time, v.benefits, benefits_mode="rows"), company, time
 
 
 # Joins
@@ -69,9 +74,7 @@ def fact_company_join(v):
 
 @query("""SELECT job_id, coalesce(items, 0) AS benefits_count FROM v_jobs LEFT JOIN c_benefits USING (job_id)""")
 def fact_benefits_join(v):
-    jobs = v.jobs.select("job_id")
-    heavy = skew.heavy_keys(jobs, {"job": ["job_id"]})["job"]
-    return star.fact_benefits_join(jobs, _benefits(v), heavy=heavy)
+    return star.fact_benefits_join(v.jobs.select("job_id"), v.benefits, mode="rows")
 
 
 @query("""SELECT job_id, company_key, d.country || d.state AS location_key
@@ -96,10 +99,10 @@ def fact_salary_fallback(v):
 @query("""SELECT job_id, CASE WHEN day(original_listed_time) <= 20 THEN strftime(original_listed_time, '%Y%m%d') END
  AS time_key FROM c_jobs""")
 def fk_nullify(v):
-    jobs = stage(_jobs(v), "jobs")
+    jobs = _listed(v)
     keyed = jobs.select("job_id", format_date_key("original_listed_time").alias("time_key"))
     early = star.dim_time(jobs).filter("day <= 20")
-    return star.fk_nullify(keyed, "time_key", early, "time_key", bounded=True)
+    return star.fk_nullify(keyed, "time_key", early, "time_key")
 
 
 # Cleaned tables
@@ -167,7 +170,7 @@ def dim_location(v):
 
 @query("SELECT * FROM d_time")
 def dim_time(v):
-    return star.dim_time(_jobs(v))
+    return star.dim_time(_listed(v))
 
 
 @query("SELECT * FROM f_jobs")
@@ -177,7 +180,7 @@ def fact_jobs(v):
 
 @query("""SELECT t.year, t.month, d.industry, d.country, count(*) AS jobs, CAST(sum(f.views) AS BIGINT) AS views,
  count(*) FILTER (normalized_salary <> 0) AS paid_jobs,
- CAST(sum(CAST(normalized_salary AS DECIMAL(18, 4))) FILTER (normalized_salary <> 0) AS DOUBLE)
+ CAST(sum(CAST(normalized_salary AS DECIMAL(28, 6))) FILTER (normalized_salary <> 0) AS DOUBLE)
   / nullif(count(*) FILTER (normalized_salary <> 0), 0) AS avg_salary
  FROM f_jobs f LEFT JOIN d_company d ON f.company_key = d.company_key LEFT JOIN d_time t ON f.time_key = t.time_key
  GROUP BY ALL""")
@@ -185,17 +188,40 @@ def star_rollup(v):
     return star.star_rollup(*_star(v))
 
 
-@query("""SELECT 'dim_company' AS table_name, count(*) AS row_count FROM d_company
-UNION ALL SELECT 'dim_location', count(*) FROM d_location UNION ALL SELECT 'dim_time', count(*) FROM d_time
-UNION ALL SELECT 'fact_jobs', count(*) FROM f_jobs
-UNION ALL SELECT 'jobs', count(*) FROM c_jobs UNION ALL SELECT 'salaries', count(*) FROM c_salaries
-UNION ALL SELECT 'benefits', count(*) FROM c_benefits
-UNION ALL SELECT 'employee_counts', count(*) FROM c_employee_counts
-UNION ALL SELECT 'industries', count(*) FROM c_industries UNION ALL SELECT 'companies', count(*) FROM c_companies""")
-def run_layers(v):
-    """The whole load from CSV files, in layers of its own; the manifest without its paths."""
+# Every column of the four star tables, put into rows of one shape.
+_CONTENTS = """SELECT 'fact_jobs' AS table_name, job_id AS id, company_key AS key_1, location_key AS key_2,
+ time_key AS key_3, title || '|' || currency || '|' || pay_period AS label, CAST(views AS DOUBLE) AS number_1,
+ CAST(benefits_count AS DOUBLE) AS number_2, normalized_salary AS number_3, remote_allowed AS flag FROM {fact_jobs}
+UNION ALL SELECT 'dim_company', company_id, company_key, country, state,
+ name || '|' || company_size || '|' || industry || '|' || city || '|' || zip_code, CAST(employee_count AS DOUBLE),
+ NULL, NULL, NULL FROM {dim_company}
+UNION ALL SELECT 'dim_location', NULL, location_key, country, state, city || '|' || zip_code, NULL, NULL, NULL, NULL
+ FROM {dim_location}
+UNION ALL SELECT 'dim_time', NULL, time_key, NULL, NULL, NULL, CAST(year AS DOUBLE), CAST(month AS DOUBLE),
+ CAST(day AS DOUBLE), NULL FROM {dim_time}
+UNION ALL SELECT table_name, row_count, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {counts}"""
+_COUNTS = " UNION ALL ".join(
+    f"SELECT 'rows of {table}' AS table_name, count(*) AS row_count FROM {part}"
+    for table, part in {
+        "dim_company": "d_company", "dim_location": "d_location", "dim_time": "d_time", "fact_jobs": "f_jobs",
+        "jobs": "c_jobs", "salaries": "c_salaries", "benefits": "c_benefits", "companies": "c_companies",
+        "employee_counts": "c_employee_counts", "industries": "c_industries",
+    }.items()
+)
+
+
+@query(
+    _CONTENTS.format(
+        fact_jobs="f_jobs", dim_company="d_company", dim_location="d_location", dim_time="d_time", counts=f"({_COUNTS})"
+    )
+)
+def run_pipeline(v):
+    """The whole load from CSV files, in layers of its own: the stored star schema and the counts of its manifest."""
     warehouse = fresh_path(v.spark, "warehouse")
     raw = {name: df.drop("_seq") for name, df in v.raw().items()}
     paths = layers.write_csv_backup(raw, f"{warehouse}/source")
     names = load.Layers.with_suffix(uuid.uuid4().hex[:12])
-    return load.run_pipeline(v.spark, paths, warehouse, "run_1", names=names).select("table_name", "row_count")
+    manifest = load.run_pipeline(v.spark, paths, warehouse, "run_1", names=names)
+    tables = {t: layers.scan_table(v.spark, names.model, t) for t in MODEL_TABLES}
+    label = F.concat(F.lit("rows of "), "table_name").alias("table_name")
+    return v.spark.sql(_CONTENTS, **tables, counts=manifest.select(label, "row_count"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -12,14 +11,14 @@ _SETTING = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
 
 
-def build_session(app: str, cores: str | int = "*", partitions: int = 8) -> SparkSession:
+def build_session(app: str, cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and timing; on a cluster the caller brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -32,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master.split("[")[0] != "local":
         raise RuntimeError(f"{_SETTING} must name a folder that every executor can reach")
     if context.applicationId not in _local_dirs:
         _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="hirelake-")

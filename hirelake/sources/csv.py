@@ -60,22 +60,39 @@ def _mode(spark: SparkSession, path: str) -> str:
     return "split" if large else "whole"
 
 
+def _from_records(records: DataFrame, names: list[str], header: list[str | None]) -> DataFrame:
+    """Parse the text of records; a file with another header than the given one fails the read.
+
+    A comma ends the last field as a line break does in a file: at the end of a text the parser adds
+    a quote to a field that has text after its closing quote. The empty field behind it goes.
+    """
+    ddl = ", ".join("`{}` string".format(c.replace("`", "``")) for c in names)
+    options = {"multiLine": "true", "quote": '"', "escape": '"', "lineSep": "\n"}
+    place = F.struct("file", "block", F.col("record").alias("row"))
+    rows = records.select("record", F.from_csv(F.concat("text", F.lit(",")), F.lit(ddl), options).alias("_row"), place.alias(SEQ))
+    found = F.array(*[F.col("_row").getField(c) for c in names])
+    wanted = F.array(*[F.lit(c).cast("string") for c in header])
+    problem = F.concat(F.lit("header differs from that of the other files: "), F.col(f"{SEQ}.file"))
+    skipped = F.when(found.eqNullSafe(wanted), F.lit(False)).otherwise(F.raise_error(problem).cast("boolean"))
+    return rows.filter(F.when(F.col("record") == -2, skipped).otherwise(True)).select("_row.*", SEQ)
+
+
 def read_csv(spark: SparkSession, path: str, mode: str = "auto") -> DataFrame:
     """A CSV file, or a folder of them, as text columns plus `_seq`, the row's place in the input.
 
-    Columns are matched by header name, never by position. `mode` says how line breaks in quoted
-    fields are dealt with: `whole` reads each file in one task; `split` cuts files of any size at
-    records; `auto` splits when some file is larger than 1 GiB; `lines` is for files without such
-    breaks.
+    All files of a folder must have the header of the first, or reading fails. `mode` says how
+    line breaks in quoted fields are dealt with: `whole` reads each file in one task; `split` cuts
+    files of any size at records, with the same result or an error; `auto` splits when some file
+    is larger than 1 GiB; `lines` is for files without such breaks.
     """
     mode = _mode(spark, path) if mode == "auto" else mode
-    options = {"header": True, "multiLine": mode != "lines", "quote": '"', "escape": '"'}
-    df = spark.read.options(**options).csv(path)
+    options = {"multiLine": mode != "lines", "quote": '"', "escape": '"'}
+    df = spark.read.options(header=True, **options).csv(path)
     if mode == "split":
-        schema = ", ".join("`{}` string".format(c.replace("`", "``")) for c in df.columns)
-        parsed = F.from_csv("text", F.lit(schema), {k: str(x).lower() for k, x in options.items()})
-        place = F.struct("file", "block", F.col("record").alias("row"))
-        return read_records(spark, path).select(parsed.alias("_row"), place.alias(SEQ)).select("_row.*", SEQ)
+        header = spark.read.options(**options).csv(path).first()
+        return _from_records(read_records(spark, path), df.columns, list(header or []))
+    if len(df.inputFiles()) > 1:
+        df = spark.read.options(header=True, enforceSchema=False, **options).schema(df.schema).csv(path)
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from hirelake.fixed_values import CLEANED_TABLES, RAW_TABLES
 
+_FOLDER = "hirelake.folder"
 Item, Result = TypeVar("Item"), TypeVar("Result")
 
 
@@ -21,7 +23,8 @@ def side_by_side(items: Mapping[str, Item], job: Callable[[str, Item], Result])
     if not items:
         return {}
     with ThreadPoolExecutor(len(items)) as pool:
-        return dict(zip(items, pool.map(job, items.keys(), items.values())))
+        started = [pool.submit(copy_context().run, job, name, item) for name, item in items.items()]
+        return {name: one.result() for name, one in zip(items, started)}
 
 
 def create_namespaces(spark: SparkSession, names: Iterable[str], warehouse: str | None = None) -> DataFrame:
@@ -43,28 +46,45 @@ def scan_table(spark: SparkSession, namespace: str, table: str) -> DataFrame:
 def replace_table(df: DataFrame, namespace: str, table: str, skip_empty: bool = True) -> int:
     """Write `df` as the new content of a table and return its row count.
 
-    The rows go to a folder of their own, and only a complete folder is put in the old one's
-    place, so a failed write leaves the table as it was and `df` may read the table it replaces.
-    With `skip_empty` an empty result leaves the older table in place.
+    The rows go to a folder of their own, and the catalog's entry, a view of that folder, is
+    replaced in one step once it is complete, whether the columns changed or not. So there is no
+    moment without a table, a failed write leaves the old one, and `df` may read the table it
+    replaces. With `skip_empty` an empty result leaves the older table in place. Superseded
+    folders stay readable for running queries until `vacuum`.
     """
     spark = df.sparkSession
     target = f"{namespace}.{table.lower()}"
-    base = spark.catalog.getDatabase(namespace).locationUri.rstrip("/")
-    folder = f"{base}/{table.lower()}/{uuid.uuid4().hex}"
+    folder = f"{_table_folder(spark, namespace, table)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     rows = spark.read.schema(df.schema).parquet(folder).count()
     if rows == 0 and skip_empty:
+        _remove(spark, folder)
         return 0
-    columns = df.schema.simpleString()
-    if spark.catalog.tableExists(target) and spark.table(target).schema.simpleString() == columns:
-        spark.sql(f"ALTER TABLE {target} SET LOCATION '{folder}'")
-        spark.catalog.refreshTable(target)
-    else:
-        spark.sql(f"DROP TABLE IF EXISTS {target}")
-        spark.catalog.createTable(target, path=folder, source="parquet", schema=df.schema)
+    spark.sql(f"CREATE OR REPLACE VIEW {target} TBLPROPERTIES ('{_FOLDER}' = '{folder}') AS SELECT * FROM parquet.`{folder}`")
     return rows
 
 
+def _table_folder(spark: SparkSession, namespace: str, table: str) -> str:
+    return f"{spark.catalog.getDatabase(namespace).locationUri.rstrip('/')}/{table.lower()}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def vacuum(spark: SparkSession, namespace: str, table: str) -> list[str]:
+    """Remove the folders of a table's earlier contents; call it when nothing reads them any more."""
+    properties = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {namespace}.{table.lower()}").collect()}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_table_folder(spark, namespace, table))
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    current = properties[_FOLDER].rsplit("/", 1)[-1]
+    old = [status.getPath().toString() for status in found if status.getPath().getName() != current]
+    for folder in old:
+        _remove(spark, folder)
+    return old
+
+
 def load_raw_replace(tables: Mapping[str, DataFrame], namespace: str) -> dict[str, int]:
     return side_by_side(tables, lambda name, df: replace_table(df, namespace, name, skip_empty=False))
 

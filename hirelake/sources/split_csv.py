@@ -1,61 +1,208 @@
 """CSV records of files too large for one task, with line breaks inside quoted fields.
 
-Lines are read in ordinary file splits. A line starts a record when the quotes before it in its
-file are even in number, so each split needs from the others only whether their quotes are odd.
-A record belongs to the split it starts in; only the lines that a split gets to see of a record
-begun earlier, at most one record per split, travel to another split's record.
-
-This relies on fields that hold quotes being quoted themselves, with inner quotes doubled.
+Lines are read in ordinary file splits. What a line does depends on the lines before it only through
+one bit: whether it starts inside quotes. So each line is a function of that bit, by the parser's own
+rule (a quote opens a field only at the field's start, and elsewhere in an unquoted field is plain
+text); each split is the composition of its lines, one short row; and composing these over a file says
+for every split whether it starts inside quotes. A second scan cuts the records. Only a record that
+crosses a split border is put together from several splits; no other text moves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from bisect import bisect_right
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SPLIT = ("file", "block")
+from hirelake.sources.staging import stage
+
+LONGEST_RECORD = 1 << 28
+_FIELD_START, _PLAIN, _QUOTED, _QUOTE_SEEN = range(4)
+_SUMMARY = "file_id long, block long, from_out boolean, from_in boolean, filled boolean, cr boolean, lone boolean"
+_PIECES = "file string, block long, record long, text string, head boolean, tail boolean"
+
+
+def _ends_inside(value: Column, inside: bool) -> Column:
+    """Whether a line that starts inside quotes or not ends inside them."""
+    parts = F.split(value, '"')
+
+    def text(state: Column, part: Column) -> Column:
+        moved = F.when(F.endswith(part, F.lit(",")), F.lit(_FIELD_START)).otherwise(F.lit(_PLAIN))
+        return F.when((part == "") | (state == _QUOTED), state).otherwise(moved)
+
+    def quote(state: Column) -> Column:
+        opened = F.when((state == _FIELD_START) | (state == _QUOTE_SEEN), F.lit(_QUOTED))
+        return opened.when(state == _QUOTED, F.lit(_QUOTE_SEEN)).otherwise(F.lit(_PLAIN))
+
+    first = text(F.lit(_QUOTED if inside else _FIELD_START), parts[0])
+    # The state after a quote is kept apart, so each step reads its part once.
+    last = F.aggregate(F.slice(parts, 2, F.size(parts)), first, lambda state, part: text(quote(state), part))
+    return F.when(F.contains(value, F.lit('"')), last == _QUOTED).otherwise(F.lit(inside))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
+        F.xxhash64("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
         "value",
-        quotes.alias("quotes"),
+        _ends_inside(F.col("value"), False).alias("from_out"),
+        _ends_inside(F.col("value"), True).alias("from_in"),
     )
 
 
-def _pieces(lines: DataFrame) -> DataFrame:
-    """Text of each record within its split; record 0 continues one begun in an earlier split."""
-    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = lines.groupBy(*_SPLIT).agg(F.sum("quotes").alias("quotes"))
-    carried = splits.select(*_SPLIT, F.coalesce(F.sum("quotes").over(in_file), F.lit(0)).alias("carried"))
-    in_split = Window.partitionBy(*_SPLIT).orderBy("row")
-    before = F.coalesce(F.sum("quotes").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = lines.withColumn("before", before).join(carried, list(_SPLIT))
-    begins = ((F.col("before") + F.col("carried")) % 2 == 0).cast("bigint")
-    records = starts.withColumn("begins", begins).withColumn("record", F.sum("begins").over(in_split))
-    text = F.array_join(F.sort_array(F.collect_list(F.struct("row", "value")))["value"], "\n")
-    return records.groupBy(*_SPLIT, "record").agg(text.alias("text"))
+def _summaries(lines: DataFrame) -> list:
+    """One row per split: its function, whether it has text, and how its first line ends."""
+    schema = pa.schema(
+        [("file_id", pa.int64()), ("block", pa.int64()), *[(n, pa.bool_()) for n in ("from_out", "from_in", "filled", "cr", "lone")]]
+    )
 
+    def run(batches):
+        splits: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            ids, blocks, outs, ins, empty, cr, lone = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            borders = np.flatnonzero((np.diff(ids) != 0) | (np.diff(blocks) != 0)) + 1
+            for a, b in zip([0, *borders.tolist()], [*borders.tolist(), len(ids)]):
+                if a == b:
+                    continue
+                own = splits.setdefault((int(ids[a]), int(blocks[a])), [False, True, False, bool(cr[a]), bool(lone[a])])
+                for i in np.flatnonzero(outs[a:b] | ~ins[a:b].astype(bool)) + a:
+                    after = (bool(outs[i]), bool(ins[i]))
+                    own[0], own[1] = after[own[0]], after[own[1]]
+                own[2] = own[2] or not bool(empty[a:b].all())
+        columns = zip(*[(*key, *own) for key, own in splits.items()]) if splits else [()] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, schema)], schema=schema)
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record but the header: file, block, record, text. `record` counts within the split."""
-    pieces = _pieces(_lines(spark, path))
-    ends = pieces.groupBy(*_SPLIT).agg(F.max("record").alias("last"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.last(F.when(F.col("last") > 0, F.struct("block", "last")), ignorenulls=True).over(earlier)
-    placed = pieces.join(ends.select(*_SPLIT, "last", owner.alias("owner")), list(_SPLIT))
-    inner = placed.filter("record > 0 AND record < last").select(*_SPLIT, "record", "text")
-    of_owner = F.when(F.col("record") == 0, F.col("owner")).otherwise(F.struct("block", F.col("record").alias("last")))
-    parts = placed.filter("record = 0 OR record = last").select(
-        "file", of_owner.alias("owner"), F.struct("block", "text").alias("part")
+    flags = lines.select(
+        "file_id",
+        "block",
+        "from_out",
+        "from_in",
+        F.rtrim("value", F.lit("\r")).eqNullSafe("").alias("empty"),
+        F.endswith("value", F.lit("\r")).alias("cr"),
+        ((F.instr("value", "\r") > 0) & (F.instr("value", "\r") < F.length("value"))).alias("lone"),
     )
-    stitched = parts.groupBy("file", "owner").agg(
-        F.array_join(F.sort_array(F.collect_list("part"))["text"], "\n").alias("text")
-    )
-    joined = stitched.select("file", "owner.block", F.col("owner.last").alias("record"), "text")
-    whole = inner.unionByName(joined).withColumn("text", F.regexp_replace("text", "\r$", ""))
-    return whole.filter("NOT (block = 0 AND record = 1) AND text <> ''")
+    return flags.mapInArrow(run, _SUMMARY).collect()
+
+
+@dataclass
+class _File:
+    """What the cutting scan needs to know of a file; `blocks` are ascending."""
+
+    crlf: bool = False
+    header_block: int = -1
+    blocks: list[int] = field(default_factory=list)
+    inside: list[bool] = field(default_factory=list)
+
+    def starts_inside(self, block: int) -> bool:
+        return self.inside[bisect_right(self.blocks, block) - 1]
+
+
+def _files(summaries: list) -> dict[int, _File]:
+    """Compose the splits of each file; the list has a row per split, as the plan of the scan has."""
+    files: dict[int, _File] = {}
+    state: dict[int, bool] = {}
+    for s in sorted(summaries, key=lambda r: (r["file_id"], r["block"])):
+        own = files.setdefault(s["file_id"], _File())
+        if not own.blocks:
+            if s["lone"]:
+                raise ValueError("a file whose lines end in single carriage returns cannot be cut; read it whole")
+            own.crlf = s["cr"]
+        if s["filled"] and own.header_block < 0:
+            own.header_block = s["block"]
+        inside = state.get(s["file_id"], False)
+        own.blocks.append(s["block"])
+        own.inside.append(inside)
+        state[s["file_id"]] = s["from_in"] if inside else s["from_out"]
+    if any(state.values()):
+        raise ValueError("a quoted field is open at the end of a file, which cannot be cut; read it whole")
+    return files
+
+
+def _cut(lines: DataFrame, files: dict[int, _File]) -> DataFrame:
+    """Records, numbered within the split they start in; `head` and `tail` mark parts of longer ones.
+
+    A part that goes on from an earlier split has record -1. The first record of a file is its
+    header, which gets number -2.
+    """
+    shared = lines.sparkSession.sparkContext.broadcast(files)
+    names = [c.split()[0] for c in _PIECES.split(", ")]
+
+    def run(batches):
+        files = shared.value
+        key = own = None
+        inside = head = header = False
+        record, size, body = 0, 0, []
+        rows: list[tuple] = []
+
+        def close(tail):
+            nonlocal record, size, body, head, header
+            text = "\n".join(body)
+            if text or head or tail:
+                number = -1 if head else -2 if header else record
+                header = header and head
+                rows.append((key[0], key[1], number, text, head, tail))
+                record += number >= 0
+            size, body, head = 0, [], False
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for file, file_id, block, value, from_out, from_in in zip(*columns):
+                if key != (file, block):
+                    if body:
+                        close(inside)
+                    key, own = (file, block), files[file_id]
+                    inside = head = own.starts_inside(block)
+                    record = 0
+                    header = block == own.header_block
+                body.append(value.removesuffix("\r") if own.crlf else value)
+                size += len(value)
+                if size > LONGEST_RECORD:
+                    raise ValueError(f"a record of {file} is longer than {LONGEST_RECORD} characters")
+                inside = from_in if inside else from_out
+                if not inside:
+                    close(False)
+            yield _batch(rows, names)
+            rows = []
+        if body:
+            close(inside)
+        yield _batch(rows, names)
+
+    return lines.select("file", "file_id", "block", "value", "from_out", "from_in").mapInArrow(run, _PIECES)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+    columns = list(zip(*rows)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """Put the parts of records together that cross split borders; there are at most two parts per split."""
+    earlier = Window.partitionBy("file").orderBy("block", "record").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.when(~F.col("head"), F.struct("block", "record"))
+    owned = parts.withColumn("owner", F.last(start, ignorenulls=True).over(earlier))
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("block", "text")))["text"], "\n")
+    whole = owned.groupBy("file", "owner").agg(text.alias("text"))
+    return whole.select("file", "owner.block", "owner.record", "text")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record: file, block, record, text. `record` counts within the split; headers have -2.
+
+    Raises for files that cannot be cut as the parser would: lines ending in single carriage returns,
+    a quoted field open at the end of the file, or a record of more than `LONGEST_RECORD` characters.
+    """
+    lines = _lines(spark, path)
+    files = _files(_summaries(lines))
+    pieces = _cut(lines, files)
+    columns = ["file", "block", "record", "text"]
+    if not any(any(f.inside) for f in files.values()):
+        return pieces.select(*columns)
+    pieces = stage(pieces, "records")
+    crossing = F.col("head") | F.col("tail")
+    return pieces.filter(~crossing).select(*columns).unionByName(_joined(pieces.filter(crossing)))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import DataFrame, SparkSession
 
 from hirelake.session import fresh_path
 
+_scope: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
@@ -14,5 +20,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     table in which they read only the columns they need.
     """
     path = fresh_path(df.sparkSession, label)
+    if _scope.get() is not None:
+        _scope.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Remove what is staged inside, at the end; for work whose results are stored elsewhere by then."""
+    scope: list[str] = []
+    token = _scope.set(scope)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in scope:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)

@@ -73,6 +73,31 @@ def test_even_median_is_cut(spark):
     assert quantiles.median_impute(df.filter("i = 3"), "size").first() == (3, 0)
 
 
+def test_cap_gives_doubles_with_and_without_values(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "x bigint, y bigint")
+    capped = quantiles.iqr_cap(df, ["x", "y"])
+    assert dict(capped.dtypes) == {"x": "double", "y": "double"} and capped.count() == 2
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "tinyint", "float"])
+def test_other_numbers_are_imputed(spark, kind):
+    df = spark.createDataFrame([(4.0,), (7.0,), (None,)], "v double").select(F.col("v").cast(kind).alias("v"))
+    assert sorted(r[0] for r in quantiles.median_impute(df, "v").collect()) == [4, 5, 7]
+
+
+def test_many_columns_share_one_budget(spark, monkeypatch):
+    df = spark.range(2000).select(*[((F.col("id") * (i + 3)) % 1009 + F.lit(0.5)).alias(f"c{i}") for i in range(200)])
+    held = []
+    lists = quantiles.F.collect_list
+    monkeypatch.setattr(quantiles.F, "collect_list", lambda c: held.append(c) or lists(c))
+    found = quantiles.exact_quantiles(df, df.columns, (0.5,), sort_limit=4000, accuracy=200)
+    values = np.array(df.collect())
+    assert [found[c][0] for c in df.columns] == [float(np.quantile(values[:, i], 0.5)) for i in range(200)]
+    monkeypatch.undo()
+    sizes = df.agg(*[F.size(F.collect_list(c)).alias(f"s{i}") for i, c in enumerate(held)]).first()
+    assert held and sum(sizes) <= 4000
+
+
 def test_text_sizes_become_unknown(spark):
     df = spark.createDataFrame([("big",), (None,)], "size string")
     assert [r[0] for r in quantiles.median_impute(df, "size").collect()] == ["big", "Unknown"]
@@ -144,9 +169,38 @@ def test_long_lists_go_on_in_further_rows(spark, partitions):
     assert counts.filter("k = 0").first().benefits_count == 300
 
 
+def test_only_long_keys_are_numbered(spark, monkeypatch):
+    numbered = []
+    original = ordering.sequential_id
+    monkeypatch.setattr(ordering, "sequential_id", lambda df, *a: numbered.append(df.count()) or original(df, *a))
+    df = spark.range(900).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    lists = ordering.collect_list_by_key(df, "k", "v", ["v"], max_items=64)
+    assert numbered == [300] and lists.count() == 600 + 5
+    assert ordering.collect_list_by_key(df.filter("k > 0"), "k", "v", ["v"], max_items=64).count() == 600
+    assert numbered == [300]
+
+
+def test_lists_a_sketch_misses_have_the_same_grain(spark, monkeypatch):
+    df = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+    monkeypatch.setattr(ordering, "heavy_keys", lambda *a, **b: {"key": skew.HeavyKeys()})
+    parts = {r._part: list(r.v) for r in ordering.collect_list_by_key(df, "k", "v", ["v"], max_items=64).collect()}
+    assert [parts[i] for i in range(4)] == [list(range(i * 64, min(200, i * 64 + 64))) for i in range(4)]
+
+
 # Joins
 
 
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(12,1)", "bigint"])
+def test_hot_keys_of_any_number_type(spark, rows, kind):
+    left = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).cast(kind).alias("k"), "id")
+    heavy = skew.heavy_keys(left, {"k": ["k"]}, share=0.2)["k"]
+    assert heavy.tiers
+    right = spark.createDataFrame([(7, "seven"), (9, "nine")], "k bigint, v string")
+    salted = skew.left_join_default(left, right, ["k"], heavy=heavy)
+    assert rows(salted) == rows(skew.left_join_default(left, right, ["k"]))
+    assert salted.filter("v = 'seven'").count() == 1001
+
+
 def join_fixture(spark):
     left = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).alias("k"),

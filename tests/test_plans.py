@@ -5,6 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from hirelake.fixed_values import FACT_COLUMNS, MODEL_TABLES
 from hirelake.operators import skew
 from hirelake.plans import cleaning, load, star
@@ -62,6 +63,14 @@ def test_all_salaries_null(spark):
     assert [r.normalized_salary for r in cleaning.clean_jobs(df).collect()] == [None, None]
 
 
+def test_notebook_cleaners_without_optional_columns(spark):
+    jobs = spark.createDataFrame([(5, 1)], "job_id int, _seq int")
+    assert cleaning.clean_jobs_notebook(jobs).first().asDict() == {"job_id": 5, "job_id_modify": 1, "company_id_modify": 1}
+    salaries = spark.createDataFrame([(5, 10.0, 20.0)], "job_id int, min_salary double, max_salary double")
+    assert cleaning.clean_salaries_notebook(salaries).first() == (5, 10.0, 20.0, 15.0)
+    assert cleaning.clean_salaries_notebook(salaries.select("job_id")).first() == (5, None)
+
+
 def test_industry_name_variant(spark):
     df = spark.createDataFrame([(1, None), (2, "Mining")], "company_id int, industry_name string")
     assert sorted(cleaning.clean_industries(df).collect()) == [(1, "Unknown", "Unknown"), (2, "Mining", "Mining")]
@@ -176,7 +185,7 @@ def test_fact_with_a_third_of_jobs_at_one_company(spark, rows, monkeypatch, caps
     salted = fact(spark, companies, jobs)
     salted.explain()
     assert "_salt" in capsys.readouterr().out
-    monkeypatch.setattr(star, "heavy_keys", lambda df, sets: {n: skew.HeavyKeys() for n in sets})
+    monkeypatch.setattr(star, "heavy_keys", lambda df, sets, **_: {n: skew.HeavyKeys() for n in sets})
     assert rows(salted) == rows(fact(spark, companies, jobs))
     assert salted.count() == 3000
 
@@ -226,6 +235,39 @@ def test_second_run_skips_loading_and_gives_equal_tables(spark, tmp_path, csv_mo
     assert "jobs" in forced and {t: stored(spark, names, t) for t in MODEL_TABLES} == tables
 
 
+def test_a_forced_load_of_an_empty_table_leaves_no_old_rows(spark, tmp_path):
+    raw = {name: df.drop("_seq") for name, df in Views(spark, FOLDER).raw().items()}
+    paths = layers.write_csv_backup(raw, str(tmp_path / "source"))
+    names = load.Layers.with_suffix(uuid.uuid4().hex[:8])
+
+    def run(run_id, **kwargs):
+        load.run_pipeline(spark, paths, str(tmp_path / "wh"), run_id, names=names, copies=False, **kwargs)
+        return layers.scan_table(spark, names.cleaned, "benefits").count()
+
+    assert run("r1") > 0
+    (tmp_path / "none.csv").write_text("job_id,inferred,type,l_linenumber\n")
+    paths["benefits"] = str(tmp_path / "none.csv")
+    assert run("r2") > 0
+    assert run("r3", force=True) == 0
+    fact = layers.scan_table(spark, names.model, "fact_jobs")
+    assert fact.count() == raw["jobs"].count() and fact.filter("benefits_count > 0").isEmpty()
+
+
+@pytest.mark.parametrize("name, most", [("fact_jobs", 10), ("star_rollup", 10), ("dim_time", 0), ("fk_nullify", 0)])
+def test_few_jobs_run_before_the_query(spark, name, most):
+    queries()[name](spark, FOLDER)
+    tracker = spark.sparkContext.statusTracker()
+    group = f"before-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        queries()[name](spark, FOLDER)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Reading the schema of the given tables takes a job each, which any query has.
+    schemas = {"fact_jobs": 8, "star_rollup": 8, "dim_time": 1, "fk_nullify": 1}[name]
+    assert len(tracker.getJobIdsForGroup(group)) <= most + schemas
+
+
 def test_load_needs_jobs(spark, tmp_path):
     names = load.Layers.with_suffix(uuid.uuid4().hex[:8])
     layers.create_namespaces(spark, (names.raw, names.cleaned, names.model), str(tmp_path))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hirelake.fixed_values import CLEANED_TABLES
 from hirelake.operators import ordering
-from hirelake.sources import csv, layers
+from hirelake.sources import csv, layers, staging
 
 
 @pytest.fixture
@@ -48,26 +48,85 @@ def messy_records(n):
     return [(str(i), t, rng.choice(["x", 'say "hi"', ""])) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("split_bytes", [64, 700, 1 << 20])
+@pytest.fixture(params=[64, 700, 1 << 20])
+def split_bytes(spark, request):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], request.param)
+    spark.conf.set(names[1], 1)
+    yield request.param
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def values(df):
+    return [tuple(r)[:-1] for r in sorted(df.collect(), key=lambda r: tuple(r["_seq"]))]
+
+
 def test_split_files_give_the_same_records_as_whole_files(spark, tmp_path, split_bytes):
     for part in ("a", "b"):
         with open(tmp_path / f"{part}.csv", "w", newline="") as file:
             writer = plain_csv.writer(file, lineterminator="\n", quoting=plain_csv.QUOTE_MINIMAL)
             writer.writerows([("id", "text", "note"), *messy_records(150)])
-    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
-    before = [spark.conf.get(n) for n in names]
-    try:
-        spark.conf.set(names[0], split_bytes)
-        spark.conf.set(names[1], 0)
-        split = csv.read_csv(spark, str(tmp_path), "split")
-        numbered = ordering.sequential_id(split, ["_seq"], ["n"]).orderBy("n").collect()
-        whole = csv.read_csv(spark, str(tmp_path), "whole").orderBy("_seq").collect()
-    finally:
-        for name, value in zip(names, before):
-            spark.conf.set(name, value)
+    whole = values(csv.read_csv(spark, str(tmp_path), "whole"))
+    split = csv.read_csv(spark, str(tmp_path), "split")
+    assert values(split) == whole
+    numbered = ordering.sequential_id(split, ["_seq"], ["n"]).orderBy("_seq").select("n").collect()
     assert [r.n for r in numbered] == list(range(1, 301))
-    assert [(r.id, r.text, r.note) for r in numbered] == [(r.id, r.text, r.note) for r in whole]
-    assert [r.text or "" for r in whole][:150] == [t for _, t, _ in messy_records(150)]
+    assert [t or "" for _, t, _ in whole][:150] == [t for _, t, _ in messy_records(150)]
+
+
+STRAY = 'id,t\n1,5\' 11" tall\n2,b\n3,c\n4,d 6" e\n5,f\n'
+TEXTS = {
+    "stray quotes": STRAY,
+    "empty lines": "\n\nid,t\n\n1,a\n\n\n2,b",
+    "carriage returns": 'id,t\r\n1,"a\r\nb"\r\n\r\n2,"c"\r\n3,d "q"\r\n',
+    "mixed line ends": 'id,t\n1,"a\r\nb"\n2,c\r\n3,"d"\r\n',
+    "text after quotes": 'id,t\n1,"a" b\n2,"c"d "e\n3,"f" ,\n4,"g" "h\n"i"",j\n5,"k\n"" l"\n',
+    "quoted header": '"id","t\nx"\n1,"a,\nb"\n',
+    "only a header": "id,t\n",
+    "many stray quotes": "id,t\n" + "".join(f'{i},{"x" * (i % 7)}"{i}\n' if i % 3 else f'{i},"a\n{i}"""\n' for i in range(300)),
+    "short and long rows": 'id,t\n1\n2,b,c\n,"\n"\n',
+}
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_split_follows_the_rules_of_the_parser(spark, tmp_path, split_bytes, name):
+    with open(tmp_path / "t.csv", "w", newline="") as file:
+        file.write(TEXTS[name])
+    whole, split = (csv.read_csv(spark, str(tmp_path / "t.csv"), mode) for mode in ("whole", "split"))
+    assert split.columns == whole.columns and values(split) == values(whole)
+    if name == "stray quotes":
+        assert [r[0] for r in values(split)] == ["1", "2", "3", "4", "5"]
+
+
+def test_random_files_split_as_they_parse(spark, tmp_path, split_bytes):
+    rng = random.Random(split_bytes)
+    alphabet = ['"', '"', ",", "\n", "a", " ", '""', ',"', '"\n', "\n1,"]
+    for i in range(6):
+        body = "id,t\n" + "".join(rng.choice(alphabet) for _ in range(rng.randrange(150))) + "\n"
+        path = tmp_path / f"{i}.csv"
+        path.write_text(body)
+        try:
+            split = values(csv.read_csv(spark, str(path), "split"))
+        except ValueError:
+            continue
+        assert split == values(csv.read_csv(spark, str(path), "whole")), body
+
+
+@pytest.mark.parametrize("text", ['id,t\n1,"open\n2,b\n', "id,t\r1,a\r"])
+def test_what_cannot_be_cut_raises(spark, tmp_path, split_bytes, text):
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    with pytest.raises(ValueError):
+        csv.read_csv(spark, str(tmp_path / "t.csv"), "split").collect()
+
+
+@pytest.mark.parametrize("mode", ["whole", "split", "lines"])
+def test_another_header_in_the_folder_raises(spark, tmp_path, mode):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "b.csv").write_text("b,a\ny,2\n")
+    with pytest.raises(Exception, match="header|Header"):
+        csv.read_csv(spark, str(tmp_path), mode).collect()
 
 
 def test_large_files_are_split(spark, tmp_path, monkeypatch, capsys):
@@ -121,6 +180,42 @@ def test_a_failed_write_leaves_the_table(spark, layer):
     assert layers.scan_table(spark, layer, "t").count() == 4
 
 
+def test_a_failed_change_of_columns_leaves_the_table(spark, layer, monkeypatch):
+    layers.replace_table(spark.range(4), layer, "t")
+
+    class Failing:
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+        def sql(self, text):
+            raise RuntimeError("catalog is away")
+
+    changed = spark.range(9).withColumn("x", F.lit(1))
+    monkeypatch.setattr(type(changed), "sparkSession", property(lambda self: Failing()))
+    with pytest.raises(RuntimeError):
+        layers.replace_table(changed, layer, "t")
+    monkeypatch.undo()
+    assert layers.scan_table(spark, layer, "t").columns == ["id"] and layers.scan_table(spark, layer, "t").count() == 4
+
+
+def test_earlier_contents_can_be_removed(spark, layer, tmp_path):
+    for n in (2, 3, 4):
+        layers.replace_table(spark.range(n), layer, "T")
+    layers.replace_table(spark.range(0), layer, "t")
+    assert len(list((tmp_path / "t").iterdir())) == 3
+    assert len(layers.vacuum(spark, layer, "t")) == 2
+    assert len(list((tmp_path / "t").iterdir())) == 1 and layers.scan_table(spark, layer, "t").count() == 4
+
+
+def test_staged_tables_of_a_scope_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "fresh_path", lambda s, label: str(tmp_path / label))
+    with staging.releasing(spark):
+        layers.side_by_side({"a": 1, "b": 2}, lambda name, n: staging.stage(spark.range(n), name).count())
+        assert (tmp_path / "a").exists() and (tmp_path / "b").exists()
+    assert not (tmp_path / "a").exists() and not (tmp_path / "b").exists()
+    assert staging.stage(spark.range(3), "c").count() == 3 and (tmp_path / "c").exists()
+
+
 def test_row_count_check(spark, layer):
     layers.replace_table(spark.range(4), layer, "t")
     assert layers.rowcount_validate(spark, layer, "t", 4) == 4
