@@ -46,7 +46,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids:
         ids_of, part, placed = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
-            encoded = ids_of.encode(batch.column("text").to_pylist())
+            encoded = ids_of.encode(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
                 raw = ids.tobytes() + end_id.to_bytes(4, "little")
                 total, start = len(raw) // 4, 0

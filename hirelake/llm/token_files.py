@@ -105,7 +105,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
         number = TaskContext.get().partitionId()
         writer = None
         for batch in batches:
-            encoded = encoder(vocabulary).encode(batch.column("text").to_pylist())
+            encoded = encoder(vocabulary).encode(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
                 if writer is None:
                     path, sink = open_output(folder, f"tokens-{number:06d}", ".zst")

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPLITS_UNEVENLY = re.compile(r"\s\s|[\x1c-\x1f]")
 _NOT_SPACE_EVERYWHERE = re.compile(r"[\x1c-\x1f]")
 _SPACED_PIECE = re.compile(r"\s*\S+|\s+")
+_CUT = "\x1f"
+_MARKS = ".,;:!?%&*$#|"
+_BATCH_BYTES = 8_000_000
+#: The same as _SPLITS_UNEVENLY, with Unicode white space spelled out.
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNEVEN = _SPACE + _SPACE + r"|[\x{1c}-\x{1f}]"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -32,21 +41,29 @@ def pieces(text: str) -> list[str]:
     """Cut a text where byte-level pre-tokenization cuts it as well, so that ids of pieces add up.
 
     It cuts before a white-space run and never inside what follows; a space that is not followed
-    by further white space belongs to the next word. Texts with control characters that only
-    some libraries take for white space stay whole.
+    by further white space belongs to the next word, a line break to none. Texts with control
+    characters that only some libraries take for white space stay whole.
     """
     if not _SPLITS_UNEVENLY.search(text):
-        first, *rest = text.split(" ")
-        return [first, *[" " + piece for piece in rest]] if first else [" " + piece for piece in rest]
+        return text.replace(" ", _CUT + " ").replace("\n", f"{_CUT}\n{_CUT}").split(_CUT)
     if _NOT_SPACE_EVERYWHERE.search(text):
         return [text]
     return _SPACED_PIECE.findall(text)
 
 
+def _word_and_marks(piece: str) -> tuple[str, str]:
+    """A word and the marks behind it, which no token spans; the marks may be empty."""
+    word = piece.rstrip(_MARKS)
+    return (word, piece[len(word) :]) if word and word[-1].isalpha() else (piece, "")
+
+
 class Encoder:
-    """Encodes batches of texts; remembers at most `remember` pieces, then starts anew."""
+    """Encodes batches of texts; remembers at most `remember` pieces, then starts anew.
+
+    Texts are cut and their pieces numbered as Arrow columns; only distinct pieces become strings.
+    """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,28 +71,46 @@ class Encoder:
         self._known: dict[str, bytes] = {}
         self._remember = remember
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.Array | Iterable[str | None]) -> Iterator[np.ndarray]:
         """Unsigned 32-bit ids of each text, without special tokens; none for null."""
-        batch: list[list[str]] = []
-        size = 0
-        for text in texts:
-            batch.append(pieces(text) if text else [])
-            size += len(batch[-1])
-            if size >= 200_000:
-                yield from self._ids(batch)
-                batch, size = [], 0
-        yield from self._ids(batch)
-
-    def _ids(self, batch: list[list[str]]) -> Iterator[np.ndarray]:
-        wanted: set[str] = set()
-        for parts in batch:
-            wanted.update(parts)
+        column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(sizes) // _BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if stop > start:
+                yield from self._ids(pc.fill_null(column.slice(start, stop - start), ""))
+
+    def _ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        marked = pc.replace_substring(pc.if_else(uneven, "", texts), " ", _CUT + " ")
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}"), _CUT)
+        numbered = lists.flatten().dictionary_encode()
+        blobs = self._blobs(numbered.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        first = np.cumsum(lengths) - lengths
+        pieces_of = numbered.indices.to_numpy()
+        own = lengths[pieces_of]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        at = np.repeat(first[pieces_of] - ends[:-1], own) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(blobs), "<u4")[at]
+        borders = ends[lists.offsets.to_numpy()].tolist()
+        alone = set(np.flatnonzero(uneven.to_numpy(zero_copy_only=False)).tolist())
+        for i, (start, stop) in enumerate(zip(borders, borders[1:])):
+            if i in alone:
+                yield np.frombuffer(b"".join(self._blobs(pieces(texts[i].as_py()))), "<u4")
+            else:
+                yield ids[start:stop]
+
+    def _blobs(self, parts: list[str]) -> list[bytes]:
+        """The ids of each piece as bytes."""
+        wanted = set(parts)
         if len(self._known) + len(wanted) > self._remember:
             self._known = {}
         known = self._known
-        new = [piece for piece in wanted if piece not in known]
+        split = {piece: _word_and_marks(piece) for piece in wanted.difference(known)}
+        new = list({part for pair in split.values() for part in pair}.difference(known))
         encoded = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for piece, encoding in zip(new, encoded):
-            known[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
-        for parts in batch:
-            yield np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<u4")
+        known.update((part, array("I", encoding.ids).tobytes()) for part, encoding in zip(new, encoded))
+        known.update((piece, known[word] + known[marks]) for piece, (word, marks) in split.items() if marks)
+        return list(map(known.__getitem__, parts))
