@@ -202,9 +202,9 @@ def test_earlier_contents_can_be_removed(spark, layer, tmp_path):
     for n in (2, 3, 4):
         layers.replace_table(spark.range(n), layer, "T")
     layers.replace_table(spark.range(0), layer, "t")
-    assert len(list((tmp_path / "t").iterdir())) == 3
+    assert len(list((tmp_path / layer / "t").iterdir())) == 3
     assert len(layers.vacuum(spark, layer, "t")) == 2
-    assert len(list((tmp_path / "t").iterdir())) == 1 and layers.scan_table(spark, layer, "t").count() == 4
+    assert len(list((tmp_path / layer / "t").iterdir())) == 1 and layers.scan_table(spark, layer, "t").count() == 4
 
 
 def test_staged_tables_of_a_scope_are_removed(spark, tmp_path, monkeypatch):
