@@ -99,10 +99,13 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self._dir = sf_dir
+        self.folder = sf_dir
+        self._bases: dict[str, DataFrame] = {}
 
     def base(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._dir}/{table}.parquet")
+        if table not in self._bases:
+            self._bases[table] = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self._bases[table]
 
     def __getattr__(self, name: str) -> DataFrame:
         if f"v_{name}" not in VIEWS:

@@ -13,8 +13,19 @@ _RAW_ROWS = """(SELECT count(*) FROM v_jobs) + (SELECT count(*) FROM v_companies
 _SKILL_ROWS = "(SELECT count(*) FROM v_skills_industries)"
 
 
+_kept: dict[tuple[str, str], tuple[str, dict[str, int]]] = {}
+
+
 def _store(v: Views, layer: str, names) -> int:
-    return sum(layers.load_raw_replace({n: getattr(v, n) for n in names}, layer).values())
+    """Put whole bound tables into a layer and return their rows; each is written once a session and folder."""
+    key = (v.spark.sparkContext.applicationId, v.folder)
+    if key not in _kept:
+        _kept[key] = (fresh_layer(v, "kept"), {})
+    kept, counts = _kept[key]
+    counts |= layers.load_raw_replace({n: getattr(v, n) for n in names if n not in counts}, kept)
+    for name in names:
+        v.spark.sql(f"CREATE OR REPLACE VIEW {layer}.{name} AS SELECT * FROM {kept}.{name}")
+    return sum(counts[n] for n in names)
 
 
 def _frame(v: Views, rows: list, schema: str):
