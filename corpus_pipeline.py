@@ -39,8 +39,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the sequences."""
-    return packing.pack(docs, public_vocabulary(VOCABULARY), CAPACITY, PACKING_END)
+    """The pieces of all documents and their places in the sequences.
+
+    Python workers that served earlier stages are still there, so this one remembers fewer pieces.
+    """
+    return packing.pack(docs, public_vocabulary(VOCABULARY), CAPACITY, PACKING_END, remember=150_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hirelake.llm.tokens import encoder
+from hirelake.llm.tokens import REMEMBER, encoder
 from hirelake.sources.staging import stage
 
 BROADCAST_ROWS = 1_000_000
@@ -39,11 +39,16 @@ def lengths(tokens: int, capacity: int) -> list[int]:
     return [capacity] * (tokens // capacity) + [1 << b for b in bits if rest >> b & 1]
 
 
-def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
-    """Encode and cut every document; numbers the pieces of each length within the input partition."""
+def cut(
+    docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids: bool = False, remember: int = REMEMBER
+) -> DataFrame:
+    """Encode and cut every document; numbers the pieces of each length within the input partition.
+
+    `remember` bounds the memory of a Python worker for pieces of text encoded before.
+    """
 
     def run(batches):
-        ids_of, part, placed = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
+        ids_of, part, placed = encoder(vocabulary, remember), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
             encoded = ids_of.encode(batch.column("text"))
@@ -109,9 +114,16 @@ def _lookup(values: dict[int, int]) -> Column:
     return F.create_map(*pairs)[F.col("length")]
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    vocabulary: str,
+    capacity: int = 2048,
+    end_id: int = 1,
+    with_ids: bool = False,
+    remember: int = REMEMBER,
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    return assign(stage(cut(docs, vocabulary, capacity, end_id, with_ids), "pieces"), capacity)
+    return assign(stage(cut(docs, vocabulary, capacity, end_id, with_ids, remember), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

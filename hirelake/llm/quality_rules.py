@@ -17,12 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.text import SEPARATOR, free_name, let, word_array
-from hirelake.sources.staging import stage
 
 WINDOW = 8
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 500
 SYMBOLS = "[#*$%&|<>]"
 
 Measure = Callable[[str], Column]
@@ -145,8 +144,12 @@ def best_order(sample: DataFrame, rules: Mapping[str, Column], runs: int = 2) ->
 
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A bounded number of texts, of which only the order of rules depends."""
-    return stage(docs.select(F.col("text").cast("string").alias("text")).limit(rows), "quality-sample")
+    """A bounded number of texts, of which only the order of rules depends.
+
+    `take` reads no more partitions than it needs for them, whatever the size of the table.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).take(rows)
+    return docs.sparkSession.createDataFrame(texts, "text string")
 
 
 def first_failed(rules: Mapping[str, Column], order: Sequence[str]) -> Column:

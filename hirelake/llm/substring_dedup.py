@@ -45,7 +45,7 @@ ANCHOR = 8
 SHARD_WORDS = 40_000
 SPLIT_WORDS = 200_000
 BROADCAST_ROWS = 1_000_000
-REMEMBER = 400_000
+REMEMBER = 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _GRAMS = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("pos", pa.int32())])
 _SEGMENTS = pa.schema(
@@ -71,13 +71,6 @@ class _Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-_hashes: dict[int, _Hashes] = {}
-
-
-def _hashes_of(words: list[bytes], seed: int) -> np.ndarray:
-    return _hashes.setdefault(seed, _Hashes(seed)).of(words)
-
-
 def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of `size` words."""
     n = max(0, len(hashes) - size + 1)
@@ -100,13 +93,14 @@ def anchors(hashes: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.
 
 def _document_anchors(docs: DataFrame, window: int, size: int) -> DataFrame:
     def run(batches):
+        hashes = _Hashes(0)
         for batch in batches:
             grams, keys, places = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 words = text.encode().split() if text else []
                 if len(words) < window:
                     continue
-                found, chosen = anchors(_hashes_of(words, 0), window, size)
+                found, chosen = anchors(hashes.of(words), window, size)
                 chosen = np.unique(chosen)
                 grams.append(found[chosen].view(np.int64))
                 places.append(chosen.astype(np.int32))
@@ -174,7 +168,7 @@ def _streamed(segments: DataFrame, window: int, size: int, seed: int) -> DataFra
     through its automaton; a task holds one automaton at a time.
     """
 
-    def judged(automaton, key, start, words, own, is_reference):
+    def judged(hashes, automaton, key, start, words, own, is_reference):
         """Ranges to remove, then windows that stay open with their hashes."""
         found = np.zeros(max(0, len(words) - window + 1), bool)
         for at, first in automaton.first_places(words, window):
@@ -188,20 +182,21 @@ def _streamed(segments: DataFrame, window: int, size: int, seed: int) -> DataFra
         if size == window:
             chosen = np.arange(len(found))
         else:
-            _, chosen = anchors(_hashes_of(words, 0), window, size)
+            _, chosen = anchors(hashes[0].of(words), window, size)
         left = np.flatnonzero(~found & np.isin(chosen, own))
         if len(left):
-            grams = gram_hashes(_hashes_of(words, seed), window)[left].view(np.int64)
+            grams = gram_hashes(hashes[1].of(words), window)[left].view(np.int64)
             rows += [(key, start + a, start + a + window, g) for a, g in zip(left.tolist(), grams.tolist())]
         return rows
 
     def run(batches):
         current, automaton, references = None, SuffixAutomaton(), []
+        hashes = _Hashes(0), _Hashes(seed)
 
         def settled():
             rows = []
             for key, start, words in references:
-                rows += judged(automaton, key, start, words, None, True)
+                rows += judged(hashes, automaton, key, start, words, None, True)
             references.clear()
             return rows
 
@@ -219,7 +214,7 @@ def _streamed(segments: DataFrame, window: int, size: int, seed: int) -> DataFra
                 else:
                     rows += settled()
                     own = np.frombuffer(row["own"], "<i4")
-                    rows += judged(automaton, row["key"], row["start"], words, own, False)
+                    rows += judged(hashes, automaton, row["key"], row["start"], words, own, False)
             yield to_batch(rows, _FOUND)
         yield to_batch(settled(), _FOUND)
 
@@ -243,7 +238,8 @@ def _round(docs, grams, window, size, before, after, seed, broadcast_rows) -> Da
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """key, start, stop: ranges of words to remove from documents (key, text); they may overlap."""
     size = min(anchor, window)
-    grams, before, seed, removed = _document_anchors(docs, window, size), window - size, 1, None
+    grams = stage(_document_anchors(docs, window, size), "anchors")
+    before, seed, removed = window - size, 1, None
     while True:
         found = _round(docs, grams, window, size, before, window, seed, broadcast_rows)
         ranges = found.filter("gram is null").select("key", "start", "stop")

@@ -16,11 +16,12 @@ _NOT_SPACE_EVERYWHERE = re.compile(r"[\x1c-\x1f]")
 _SPACED_PIECE = re.compile(r"\s*\S+|\s+")
 _CUT = "\x1f"
 _MARKS = ".,;:!?%&*$#|"
-_BATCH_BYTES = 8_000_000
+_BATCH_BYTES = 4_000_000
 #: The same as _SPLITS_UNEVENLY, with Unicode white space spelled out.
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNEVEN = _SPACE + _SPACE + r"|[\x{1c}-\x{1f}]"
-_encoders: dict[str, "Encoder"] = {}
+REMEMBER = 1_200_000
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
 def public_vocabulary(name: str) -> str:
@@ -30,11 +31,11 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> "Encoder":
-    """The encoder of a file, one per Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remember: int = REMEMBER) -> "Encoder":
+    """The encoder of a file, one per Python worker. A remembered piece takes about 200 bytes."""
+    if (path, remember) not in _encoders:
+        _encoders[path, remember] = Encoder(path, remember)
+    return _encoders[path, remember]
 
 
 def pieces(text: str) -> list[str]:
@@ -63,7 +64,7 @@ class Encoder:
     Texts are cut and their pieces numbered as Arrow columns; only distinct pieces become strings.
     """
 
-    def __init__(self, path: str, remember: int = 1_500_000):
+    def __init__(self, path: str, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
