@@ -145,7 +145,9 @@ def keep_one(docs: DataFrame, size: int = 3, max_bits: int = 2, broadcast_rows:
     told = grouped.groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")
     first = grouped.groupBy("root").agg(F.min(order).alias("first"))
-    judged = stage(told.join(first, "root").withColumn("stays", F.col("first") == order), "judged")
+    heavy = heavy_keys(told, {"root": ["root"]})["root"]
+    placed = left_join_default(told, first, ["root"], null_safe=False, heavy=heavy)
+    judged = stage(placed.withColumn("stays", F.col("first") == order), "judged")
     drop = judged.filter(~F.col("stays")).select(F.col("doc_id").alias("drop_id"), F.col("hash").alias("drop_hash"))
     again = judged.filter(F.col("stays") & (F.col("copies") > 1))
     again = again.select(F.col("doc_id").alias("drop_id"), F.col("hash").alias("drop_hash"))
