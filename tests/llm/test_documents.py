@@ -163,3 +163,9 @@ def test_scores_do_not_depend_on_the_frequent_share(make_docs, share):
     close(rows, backoff(docs, 0.3, 3))
     assert [r["log10_per_token"] for r in rows if r["doc_id"] == 1] == [None]
     assert lm_scoring.score(make_docs([]), PATH).count() == 0
+
+
+def test_bigrams_that_occur_once_are_scored_by_their_count(spark, make_docs, documents):
+    close(op10_stupid_backoff(spark, SF).collect(), backoff(documents, 0.4, 1))
+    docs = [(1, "a b"), (2, "b a"), (3, "a c a b")]
+    close(lm_scoring.score(make_docs(docs), PATH).collect(), backoff(docs, 0.4, 1))
