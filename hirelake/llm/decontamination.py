@@ -7,9 +7,10 @@ at least one hash of the sketch, however long the document is, and the search lo
 found that way are compared with the items by the shingles themselves.
 
 Texts are compared by lower-cased words of letters and digits, in shingles of five; a text with fewer
-words is one shingle, so a shorter item is found only in a document that equals it. An item without
-a word or without an id is never found. Rows of one doc_id count as one document, a null doc_id included; a null text has
-no words; repeated items are reported under each item_id. An empty table gives no rows.
+words is one shingle, so a shorter item is found only in a document that equals it. Every distinct text
+of an item is searched on its own, with or without an item_id, and reported under each item_id that it
+has, under a null one only if it has no other; an item without a word is never found. Rows of one doc_id
+count as one document, a null doc_id included; a null text has no words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,15 +59,47 @@ def least_shared(size: int, threshold: float) -> int:
 
 
 def sketches(items: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, hash: the smallest hashes of each item, as many as its size class needs."""
-    hashes = items.select("item_id", shingle_hashes(F.col("text"), size).alias("hashes")).filter(F.size("hashes") > 0)
+    """item, hash: the smallest hashes of each item, as many as its size class needs."""
+    hashes = items.select("item", shingle_hashes(F.col("text"), size).alias("hashes")).filter(F.size("hashes") > 0)
     needed = F.lit(None).cast("int")
     for c in range(_CLASSES):  # class c: sizes from 2^c to 2^(c+1) - 1
         largest = (1 << (c + 1)) - 1
         kept = largest - least_shared(largest, threshold) + 1
         needed = F.when(F.size("hashes") >= (1 << c), F.lit(kept)).otherwise(needed)
     smallest = F.slice(F.sort_array("hashes"), F.lit(1), needed)
-    return hashes.select("item_id", F.explode(smallest).alias("hash"))
+    return hashes.select("item", F.explode(smallest).alias("hash"))
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """item, text: the distinct texts of items by their words, numbered."""
+    texts = items.select(F.array_join(plain_words(F.col("text")), " ").alias("text")).filter("text <> ''").distinct()
+    return stage(texts.withColumn("item", F.monotonically_increasing_id()), "item-texts")
+
+
+def _named(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """item, item_id: each id of every text, null only for a text without any."""
+    own = items.select("item_id", F.array_join(plain_words(F.col("text")), " ").alias("text")).distinct()
+    named = own.filter("item_id is not null").join(texts, "text").select("item", "item_id")
+    return texts.select("item").join(named, "item", "left")
+
+
+def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+
+def _found(docs: DataFrame, texts: DataFrame, size: int, threshold: float, broadcast_rows: int) -> DataFrame:
+    """doc_id, item, n_shared, n_item of every pair at or above the threshold."""
+    index = stage(sketches(texts, size, threshold), "item-sketches")
+    parts = stage(texts.select("item", F.explode(shingle_texts(F.col("text"), size)).alias("shingle")), "item-shingles")
+    sizes = parts.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+    hashes = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"), size)).alias("hash"))
+    found = hashes.join(_small(index, broadcast_rows), "hash", "left_semi").select("doc_id").distinct()
+    found = stage(found, "candidate-documents").withColumnRenamed("doc_id", "found_id")
+    candidates = docs.join(_small(found, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_semi")
+    held = candidates.select("doc_id", F.explode(shingle_texts(F.col("text"), size)).alias("shingle"))
+    shared = held.join(_small(parts, broadcast_rows), "shingle").groupBy("doc_id", "item")
+    counted = shared.agg(F.count_distinct("shingle").alias("n_shared")).join(_small(sizes, broadcast_rows), "item")
+    return counted.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
 
 
 def find_contained(
@@ -78,35 +111,24 @@ def find_contained(
 ) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every pair at or above the threshold.
 
-    Item tables are broadcast only up to a counted number of rows; beyond it Spark joins by shuffle.
+    Two texts of one item_id give a row each. Item tables are broadcast only up to a counted number of
+    rows; beyond it Spark joins by shuffle.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     items = items.select("item_id", F.col("text").cast("string").alias("text"))
-
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_rows else df
-
-    index = stage(sketches(items, size, threshold), "item-sketches")
-    parts = stage(items.select("item_id", F.explode(shingle_texts(F.col("text"), size)).alias("shingle")), "item-shingles")
-    sizes = parts.groupBy("item_id").agg(F.count_distinct("shingle").alias("n_item"))
-    hashes = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"), size)).alias("hash"))
-    found = stage(hashes.join(small(index), "hash", "left_semi").select("doc_id").distinct(), "candidate-documents")
-    candidates = docs.join(
-        small(found.withColumnRenamed("doc_id", "found_id")), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_semi"
-    )
-    held = candidates.select("doc_id", F.explode(shingle_texts(F.col("text"), size)).alias("shingle"))
-    shared = held.join(small(parts), "shingle").groupBy("doc_id", "item_id")
-    counted = shared.agg(F.count_distinct("shingle").alias("n_shared")).join(small(sizes), "item_id")
-    enough = F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9)
-    return counted.filter(enough).select(
-        "doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")
-    )
+    texts = _numbered(items)
+    found = _found(docs, texts, size, threshold, broadcast_rows)
+    named = found.join(_small(stage(_named(items, texts), "item-ids"), broadcast_rows), "item")
+    return named.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    leaks = stage(find_contained(docs, items).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaks")
-    right = F.broadcast(leaks) if leaks.count() <= broadcast_rows else leaks
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = _numbered(items.select(F.col("text").cast("string").alias("text")))
+    found = _found(own, texts, SHINGLE_WORDS, THRESHOLD, broadcast_rows)
+    leaks = stage(found.select(F.col("doc_id").alias("leaked_id")).distinct(), "leaks")
+    right = _small(leaks, broadcast_rows)
     clash = {c for c in docs.columns if c.lower() == "leaked_id"}
     right = right.withColumnRenamed("leaked_id", "leaked_id_") if clash else right
     return docs.join(right, docs["doc_id"].eqNullSafe(right[right.columns[0]]), "left_anti")

@@ -162,3 +162,13 @@ def test_missing_and_repeated_ids_in_decontamination(spark, make_docs):
     rows = decontamination.find_contained(docs, items).collect()
     assert sorted((r["doc_id"] or 0, r["n_shared"]) for r in rows) == [(0, 3), (4, 3)]
     assert [r["doc_id"] for r in decontamination.remove_contaminated(docs, items).collect()] == [5]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_items_are_told_by_their_texts(spark, make_docs, broadcast_rows):
+    texts = [" ".join(f"{x}{i}" for i in range(20)) for x in "abcd"]
+    items = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (None, texts[2]), (None, texts[0])], "item_id long, text string")
+    docs = make_docs([(i, f"before {t} after") for i, t in enumerate(texts)])
+    rows = decontamination.find_contained(docs, items, broadcast_rows=broadcast_rows).collect()
+    assert sorted(tuple(r)[:4] for r in rows) == [(0, 0, 16, 16), (1, 0, 16, 16), (2, None, 16, 16)]
+    assert [r["doc_id"] for r in decontamination.remove_contaminated(docs, items, broadcast_rows).collect()] == [3]
