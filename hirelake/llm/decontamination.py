@@ -9,8 +9,10 @@ found that way are compared with the items by the shingles themselves.
 Texts are compared by lower-cased words of letters and digits, in shingles of five; a text with fewer
 words is one shingle, so a shorter item is found only in a document that equals it. Every distinct text
 of an item is searched on its own, with or without an item_id, and reported under each item_id that it
-has, under a null one only if it has no other; an item without a word is never found. Rows of one doc_id
-count as one document, a null doc_id included; a null text has no words. An empty table gives no rows.
+has, under a null one only if it has no other; an item without a word is never found. Documents are told
+by doc_id and text, so what one row holds decides neither for nor against another text of its doc_id or
+another row without one; only the report has one row for each doc_id and item, that of the text that
+holds most of it. A null text has no words. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.text import let
+from hirelake.llm.text import free_name, let
 from hirelake.sources.staging import stage
 
 SHINGLE_WORDS = 5
@@ -87,17 +89,30 @@ def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= broadcast_rows else df
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _matching(docs: DataFrame, found: DataFrame, name: str, how: str, broadcast_rows: int) -> DataFrame:
+    """Join `docs`, which have the hash of their text as `name`, with `found` by doc_id and text_hash."""
+    renamed = {"doc_id": free_name(docs, "found_id"), "text_hash": free_name(docs, "found_hash")}
+    right = _small(found, broadcast_rows).withColumnsRenamed(renamed)
+    same = docs["doc_id"].eqNullSafe(right[renamed["doc_id"]]) & (docs[name] == right[renamed["text_hash"]])
+    return docs.join(right, same, how)
+
+
 def _found(docs: DataFrame, texts: DataFrame, size: int, threshold: float, broadcast_rows: int) -> DataFrame:
-    """doc_id, item, n_shared, n_item of every pair at or above the threshold."""
+    """doc_id, text_hash, item, n_shared, n_item of every pair at or above the threshold."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", _text_hash(F.col("text")))
     index = stage(sketches(texts, size, threshold), "item-sketches")
     parts = stage(texts.select("item", F.explode(shingle_texts(F.col("text"), size)).alias("shingle")), "item-shingles")
     sizes = parts.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    hashes = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"), size)).alias("hash"))
-    found = hashes.join(_small(index, broadcast_rows), "hash", "left_semi").select("doc_id").distinct()
-    found = stage(found, "candidate-documents").withColumnRenamed("doc_id", "found_id")
-    candidates = docs.join(_small(found, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_semi")
-    held = candidates.select("doc_id", F.explode(shingle_texts(F.col("text"), size)).alias("shingle"))
-    shared = held.join(_small(parts, broadcast_rows), "shingle").groupBy("doc_id", "item")
+    hashes = docs.select("doc_id", "text_hash", F.explode(shingle_hashes(F.col("text"), size)).alias("hash"))
+    found = hashes.join(_small(index, broadcast_rows), "hash", "left_semi").select("doc_id", "text_hash").distinct()
+    candidates = _matching(docs, stage(found, "candidate-documents"), "text_hash", "left_semi", broadcast_rows)
+    held = candidates.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("text"), size)).alias("shingle"))
+    shared = held.join(_small(parts, broadcast_rows), "shingle").groupBy("doc_id", "text_hash", "item")
     counted = shared.agg(F.count_distinct("shingle").alias("n_shared")).join(_small(sizes, broadcast_rows), "item")
     return counted.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
 
@@ -114,21 +129,18 @@ def find_contained(
     Two texts of one item_id give a row each. Item tables are broadcast only up to a counted number of
     rows; beyond it Spark joins by shuffle.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     items = items.select("item_id", F.col("text").cast("string").alias("text"))
     texts = _numbered(items)
     found = _found(docs, texts, size, threshold, broadcast_rows)
+    found = found.groupBy("doc_id", "item", "n_item").agg(F.max("n_shared").alias("n_shared"))
     named = found.join(_small(stage(_named(items, texts), "item-ids"), broadcast_rows), "item")
     return named.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     texts = _numbered(items.select(F.col("text").cast("string").alias("text")))
-    found = _found(own, texts, SHINGLE_WORDS, THRESHOLD, broadcast_rows)
-    leaks = stage(found.select(F.col("doc_id").alias("leaked_id")).distinct(), "leaks")
-    right = _small(leaks, broadcast_rows)
-    clash = {c for c in docs.columns if c.lower() == "leaked_id"}
-    right = right.withColumnRenamed("leaked_id", "leaked_id_") if clash else right
-    return docs.join(right, docs["doc_id"].eqNullSafe(right[right.columns[0]]), "left_anti")
+    found = _found(docs, texts, SHINGLE_WORDS, THRESHOLD, broadcast_rows)
+    leaks = stage(found.select("doc_id", "text_hash").distinct(), "leaks")
+    name = free_name(docs, "text_hash")
+    return _matching(docs.withColumn(name, _text_hash(docs["text"])), leaks, name, "left_anti", broadcast_rows).drop(name)

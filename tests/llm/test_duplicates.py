@@ -172,3 +172,16 @@ def test_items_are_told_by_their_texts(spark, make_docs, broadcast_rows):
     rows = decontamination.find_contained(docs, items, broadcast_rows=broadcast_rows).collect()
     assert sorted(tuple(r)[:4] for r in rows) == [(0, 0, 16, 16), (1, 0, 16, 16), (2, None, 16, 16)]
     assert [r["doc_id"] for r in decontamination.remove_contaminated(docs, items, broadcast_rows).collect()] == [3]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_clean_rows_stay_beside_contaminated_ones_of_the_same_id(spark, make_docs, broadcast_rows):
+    own = [f"w{i}" for i in range(24)]
+    items = spark.createDataFrame([(1, " ".join(own))], "item_id long, text string")
+    leak, clean = "x " + " ".join(own), "nothing of it here at all"
+    halves = [(8, " ".join(own[:14])), (8, " ".join(own[10:]))]
+    docs = make_docs([(None, leak), (None, clean), (None, None), (7, leak), (7, leak), (7, clean), *halves])
+    rows = decontamination.find_contained(docs, items, broadcast_rows=broadcast_rows).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shared"]) for r in rows) == [(0, 20), (7, 20)]
+    kept = [(r["doc_id"], r["text"]) for r in decontamination.remove_contaminated(docs, items, broadcast_rows).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, clean), (None, None), (7, clean), *halves], key=repr)
