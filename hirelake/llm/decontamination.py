@@ -4,7 +4,7 @@ An item's shingles are hashed once; its sketch is the k smallest hashes. Items a
 number of their shingles, and k grows with the size class: it is one more than the number of shingles an
 item of that class may miss at the threshold. So a document that contains enough of an item must hold
 at least one hash of the sketch, however long the document is, and the search loses nothing. Documents
-found that way are compared with the items by the shingles themselves.
+found that way are compared with just the items that they share a hash with, by the shingles themselves.
 
 Texts are compared by lower-cased words of letters and digits, in shingles of five; a text with fewer
 words is one shingle, so a shorter item is found only in a document that equals it. Every distinct text
@@ -109,11 +109,16 @@ def _found(docs: DataFrame, texts: DataFrame, size: int, threshold: float, broad
     parts = stage(texts.select("item", F.explode(shingle_texts(F.col("text"), size)).alias("shingle")), "item-shingles")
     sizes = parts.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     hashes = docs.select("doc_id", "text_hash", F.explode(shingle_hashes(F.col("text"), size)).alias("hash"))
-    found = hashes.join(_small(index, broadcast_rows), "hash", "left_semi").select("doc_id", "text_hash").distinct()
-    candidates = _matching(docs, stage(found, "candidate-documents"), "text_hash", "left_semi", broadcast_rows)
-    held = candidates.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("text"), size)).alias("shingle"))
-    shared = held.join(_small(parts, broadcast_rows), "shingle").groupBy("doc_id", "text_hash", "item")
-    counted = shared.agg(F.count_distinct("shingle").alias("n_shared")).join(_small(sizes, broadcast_rows), "item")
+    pairs = hashes.join(_small(index, broadcast_rows), "hash").select("doc_id", "text_hash", "item").distinct()
+    pairs = stage(pairs, "candidate-pairs")
+    candidates = _matching(docs, pairs.select("doc_id", "text_hash").distinct(), "text_hash", "left_semi", broadcast_rows)
+    held = candidates.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("text"), size)).alias("own"))
+    wanted = pairs.join(_small(parts, broadcast_rows), "item")
+    wanted = wanted.withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash"))
+    shared = held.join(wanted, same & (F.col("own") == F.col("shingle")))
+    counted = shared.groupBy("doc_id", "text_hash", "item").agg(F.count_distinct("own").alias("n_shared"))
+    counted = counted.join(_small(sizes, broadcast_rows), "item")
     return counted.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
 
 
