@@ -250,17 +250,21 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         size, before, seed = window, 0, seed + 1
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """Add key, which orders documents: doc_id where it is unique, else a number by doc_id and text."""
+def with_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add key, which orders documents: doc_id where it is unique, else a number by doc_id and text.
+
+    The second table has key and text once for each key, however many rows are equal in both.
+    """
     named = docs.withColumn("key", F.col("doc_id").cast("bigint"))
     again = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or key is null")
     if again.isEmpty():
-        return named
+        return named, named.select("key", "text")
     named = docs.withColumn("digest", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     order = ["doc_id", "digest"]
     numbered = sequential_id(stage(named.select(*order).distinct(), "documents"), order, ["key"])
     numbered = numbered.withColumnsRenamed({c: f"_{c}" for c in order})
-    return named.join(numbered, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]).drop("digest", "_doc_id", "_digest")
+    keyed = named.join(numbered, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]).drop("digest", "_doc_id", "_digest")
+    return keyed, stage(keyed.select("key", "text").dropDuplicates(["key"]), "distinct-documents")
 
 
 def _kept(words: int, ranges) -> np.ndarray:
@@ -273,7 +277,7 @@ def _kept(words: int, ranges) -> np.ndarray:
 
 
 def _with_ranges(docs: DataFrame, ranges: DataFrame, broadcast_rows: int) -> DataFrame:
-    per_key = ranges.groupBy(F.col("key").alias("range_key")).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    per_key = ranges.groupBy(F.col("key").alias("range_key")).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     small = ranges.count() <= broadcast_rows
     return docs.join(F.broadcast(per_key) if small else per_key, F.col("key") == F.col("range_key"), "left")
 
@@ -294,8 +298,8 @@ def dedup_report(docs: DataFrame, window: int = WINDOW, broadcast_rows: int = BR
             yield to_batch(rows, schema)
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = with_keys(own)
-    ranges = repeated_ranges(keyed.select("key", "text"), window, broadcast_rows=broadcast_rows)
+    keyed, distinct = with_keys(own)
+    ranges = repeated_ranges(distinct, window, broadcast_rows=broadcast_rows)
     joined = _with_ranges(keyed, ranges, broadcast_rows).select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -314,8 +318,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, broadcast_rows: int =
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = F.struct(F.lit(0).alias("z"), *[docs[c].alias(f"c{i}") for i, c in enumerate(others)]).alias("row")
     source = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"), packed)
-    keyed = with_keys(source)
-    ranges = repeated_ranges(keyed.select("key", "text"), window, broadcast_rows=broadcast_rows)
+    keyed, distinct = with_keys(source)
+    ranges = repeated_ranges(distinct, window, broadcast_rows=broadcast_rows)
     touched = F.col("ranges").isNotNull()
     new = cut.asNondeterministic()(F.when(touched, F.col("text")), F.col("ranges"))
     joined = _with_ranges(keyed, ranges, broadcast_rows).withColumn("new", new)

@@ -185,3 +185,17 @@ def test_clean_rows_stay_beside_contaminated_ones_of_the_same_id(spark, make_doc
     assert sorted((r["doc_id"] or 0, r["n_shared"]) for r in rows) == [(0, 20), (7, 20)]
     kept = [(r["doc_id"], r["text"]) for r in decontamination.remove_contaminated(docs, items, broadcast_rows).collect()]
     assert sorted(kept, key=repr) == sorted([(None, clean), (None, None), (7, clean), *halves], key=repr)
+
+
+def test_repeated_rows_are_searched_once(make_docs, monkeypatch):
+    searched, search = [], substring_dedup.repeated_ranges
+
+    def watched(docs, *args, **named):
+        searched.append(docs.count())
+        return search(docs, *args, **named)
+
+    monkeypatch.setattr(substring_dedup, "repeated_ranges", watched)
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = substring_dedup.dedup_report(make_docs([(None, text)] * 5 + [(7, text)] * 5)).collect()
+    assert searched == [2]
+    assert sorted((r["doc_id"] is not None, r["n_removed"]) for r in rows) == [(False, 0)] * 5 + [(True, 30)] * 5
