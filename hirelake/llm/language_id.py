@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +64,14 @@ def script(word: str) -> str:
 
 
 def letters(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha()] if text else []
+    """Lower-cased runs of letters; numeric signs such as a subscript, which _LETTERS takes in, part them."""
+    found = []
+    for run in _LETTERS.findall(text.lower()) if text else []:
+        if run.isalpha():
+            found.append(run)
+        else:
+            found += ["".join(own) for is_letter, own in groupby(run, str.isalpha) if is_letter]
+    return found
 
 
 def grams(word: str) -> Iterator[str]:

@@ -169,3 +169,8 @@ def test_bigrams_that_occur_once_are_scored_by_their_count(spark, make_docs, doc
     close(op10_stupid_backoff(spark, SF).collect(), backoff(documents, 0.4, 1))
     docs = [(1, "a b"), (2, "b a"), (3, "a c a b")]
     close(lm_scoring.score(make_docs(docs), PATH).collect(), backoff(docs, 0.4, 1))
+
+
+def test_numeric_signs_part_words():
+    assert language_id.letters("H₂O, x² Ⅳ 12ab Straße_3") == ["h", "o", "x", "ab", "straße"]
+    assert language_id.letters(None) == language_id.letters("²₂ 12") == []
