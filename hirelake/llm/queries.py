@@ -16,6 +16,7 @@ from hirelake.llm import (
     sharding,
     simhash,
     substring_dedup,
+    token_counts,
     token_files,
     warc,
 )
@@ -83,6 +84,10 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"), public_vocabulary(VOCABULARY))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_vocabulary(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_simhash_near_dedup,
         op10_stupid_backoff,
+        op13_token_counts,
     )
 }
 
