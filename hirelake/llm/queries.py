@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import (
+    collocations,
     decontamination,
     language_id,
     lm_scoring,
     packing,
+    prefix_trie,
     quality_rules,
     sharding,
     simhash,
@@ -21,6 +24,8 @@ from hirelake.llm import (
     warc,
 )
 from hirelake.llm.tokens import public_vocabulary
+from hirelake.operators.skew import heavy_keys, left_join_default
+from hirelake.sources.staging import stage
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY, PACKING_END, FILE_END = 2048, 1, 2
@@ -84,6 +89,33 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"), public_vocabulary(VOCABULARY))
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Numbered turns (see `prefix_trie.digested`) of conversations that begin with the first turns of every fifth one."""
+    own = turns.filter("position = 1").select("conv_id", F.col("of").alias("n"))
+    own = own.withColumns({"h": F.crc32(F.col("conv_id").cast("string")) % 9, "base": F.col("conv_id") - F.col("conv_id") % 5})
+    of_base = own.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
+    n_head = F.least("h", F.coalesce("n_base", F.lit(0)))
+    own = own.join(of_base, "base", "left").withColumn("n_head", n_head)
+    own = own.withColumn("of", F.col("n_head") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
+    head = turns.filter("position <= 8").select(F.col("conv_id").alias("base"), "position", "t1", "t2", "n_bytes")
+    head = own.select("conv_id", "base", "h", "of").join(head, "base").filter("position <= h").drop("base", "h")
+    heavy = heavy_keys(turns, {"conv": ["conv_id"]})["conv"]
+    rest = left_join_default(turns.drop("of"), own.select("conv_id", "h", "n_head", "of"), ["conv_id"], heavy=heavy, salt_by=["position"])
+    rest = rest.filter("position > h").withColumn("position", F.col("position") - F.col("h") + F.col("n_head")).drop("h", "n_head")
+    turnless = own.filter("of = 0").select("conv_id", *[F.lit(None).cast("bigint").alias(c) for c in ("position", "of", "t1", "t2", "n_bytes")])
+    return head.unionByName(rest).unionByName(turnless)
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stage(prefix_trie.digested(_table(spark, sf_dir, "conversations")), "conversation-turns")
+    whole = stage(rebuilt(turns), "rebuilt-turns")
+    return prefix_trie.trie(whole.filter("position IS NOT NULL"), whole.filter("position IS NULL").select("conv_id"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents")).withColumnRenamed("label", "lang")
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_vocabulary(VOCABULARY))
 
@@ -101,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_simhash_near_dedup,
         op10_stupid_backoff,
+        op11_conversation_trie,
+        op12_phrase_collocations,
         op13_token_counts,
     )
 }
@@ -176,9 +210,66 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN rep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN rep <> page_id THEN rep END AS refers_to FROM r"""
 
+_TRIE = """
+WITH crc_table AS (SELECT list(r ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || range(8), lambda r, k:
+   CASE WHEN r & 1 = 1 THEN xor(3988292384, r >> 1) ELSE r >> 1 END) AS r FROM (SELECT range AS b FROM range(256)))),
+ o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM o GROUP BY conv_id),
+ h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce([4294967295] || list_transform(range(length(s)), lambda i:
+   CAST(ascii(substr(s, i + 1, 1)) AS BIGINT)), lambda acc, b: xor(t[xor(acc, b) % 256 + 1], acc >> 8)), 4294967295) % 9 AS h
+   FROM c, crc_table),
+ head AS (SELECT h.conv_id, i AS pos, role, text FROM h JOIN o ON o.conv_id = base AND i <= h),
+ n AS (SELECT conv_id, count(*) AS n_head FROM head GROUP BY conv_id),
+ r AS (SELECT * FROM head UNION ALL SELECT conv_id, i - h + coalesce(n_head, 0), role, text
+   FROM h JOIN o USING (conv_id) LEFT JOIN n USING (conv_id) WHERE i > h),
+ keyed AS (SELECT conv_id, pos, strlen(text) AS b, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY pos) AS key FROM r
+   UNION ALL SELECT conv_id, 0, 0, [] FROM h),
+ path AS (SELECT conv_id, pos, b, min(conv_id) OVER (PARTITION BY key) AS m, max(pos) OVER (PARTITION BY conv_id) AS last FROM keyed),
+ nodes AS (SELECT m, pos, count(*) AS n_convs, any_value(b) AS b,
+   string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE pos = last) AS ids FROM path GROUP BY m, pos),
+ up AS (SELECT nodes.*, q.m AS pm FROM nodes LEFT JOIN path q ON q.conv_id = nodes.m AND q.pos = nodes.pos - 1),
+ kids AS (SELECT pm AS m, pos - 1 AS pos, count(*) AS n_children FROM up WHERE pos > 0 GROUP BY 1, 2),
+ x AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (m, pos)),
+ sub AS (SELECT q.m, q.pos, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * x.b) AS saved
+   FROM x JOIN path q ON q.conv_id = x.m AND q.pos <= x.pos GROUP BY q.m, q.pos)
+SELECT x.m AS conv_id, x.pos AS depth, pm AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+ CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256 FROM x JOIN sub USING (m, pos)"""
+
+_PIECES = ".,;:!?" + "".join(map(chr, range(10, 14)))
+
+_COLLOCATIONS = f"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+   translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents),
+ p AS (SELECT row, lang, unnest(string_split(translate(t, '{_PIECES}', repeat(chr(10), {len(_PIECES)})), chr(10))) AS piece FROM d),
+ w AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+ one AS (SELECT id, lang, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+ n AS (SELECT lang, count(*) AS n FROM one GROUP BY lang),
+ grams AS (SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4
+   FROM one WINDOW o AS (PARTITION BY id ORDER BY i)),
+ f AS (SELECT lang, w, count(*) AS a FROM (SELECT lang, [w1] AS w FROM grams
+   UNION ALL SELECT lang, [w1, w2] FROM grams WHERE w2 IS NOT NULL
+   UNION ALL SELECT lang, [w1, w2, w3] FROM grams WHERE w3 IS NOT NULL
+   UNION ALL SELECT lang, [w1, w2, w3, w4] FROM grams WHERE w4 IS NOT NULL) GROUP BY lang, w HAVING count(*) >= 30),
+ c AS (SELECT * FROM f WHERE len(w) > 1),
+ cuts AS (SELECT c.lang, c.w, c.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+   FROM c JOIN range(1, 4) t(k) ON k < len(c.w) JOIN f l ON l.lang = c.lang AND l.w = list_slice(c.w, 1, k)
+   JOIN f r ON r.lang = c.lang AND r.w = list_slice(c.w, k + 1, len(c.w))),
+ low AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS place FROM cuts),
+ inner_ AS (SELECT lang, list_slice(w, i, i + s - 1) AS w, max(a) AS most FROM c JOIN range(2, 4) t(s) ON s < len(w)
+   JOIN range(1, 4) u(i) ON i + s - 1 <= len(w) GROUP BY ALL),
+ kept AS (SELECT low.lang, array_to_string(low.w, ' ') AS phrase, a, l, r, n.n, CAST(score AS BIGINT) AS score
+   FROM low JOIN n ON n.lang = low.lang LEFT JOIN inner_ ON inner_.lang = low.lang AND inner_.w = low.w
+   WHERE place = 1 AND NOT coalesce(100 * most >= 80 * a, false)),
+ ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+   phrase, a, l, r, n, score FROM kept)
+SELECT * FROM ranked WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op2_rendezvous_sharding": _PLACED,
     "op3_benchmark_decontamination": _CONTAINED,
     "op5_quality_cascade": _JUDGED,
     "op7_warc_bundles": _RECORDS,
+    "op11_conversation_trie": _TRIE,
+    "op12_phrase_collocations": _COLLOCATIONS,
 }
