@@ -3,19 +3,21 @@
 Candidates are found by SON partitioning. Documents are dealt into `SHARDS` shards by a hash of their
 text. With w of a label's W words, a shard mines its phrases completely at the support
 ceil(support * w / W); a phrase that occurs `support` times reaches this in one shard at least, so the
-union of what the shards find misses none. A shard is mined level by level: a phrase of k words is
-counted only if both its phrases of k - 1 words reached the support in this shard. Phrases are
-64-bit hashes here; two that meet in one hash only add candidates. Then all occurrences of the
-union's phrases, as text, are counted over all documents, and only those counts enter the result.
-
-A shard is not a task: its counts come from all tasks that read its documents, summed in each task
-before they are partitioned by phrase. With many shards the local support would fall to 1 and
-nothing would be pruned, hence few of them. What a level or the union found goes to tasks as a bit
+union of what the shards find misses none. A shard is mined level by level: words, then pairs of words
+that reached the support in this shard, then phrases all of whose pairs did. The phrases of the union are
+then counted over all documents. Up to here phrases are 64-bit hashes; two that meet in one hash only
+add candidates. The last pass takes the texts of those that are often enough and counts them anew, told
+apart by 128 bits within a task and by their texts across tasks; only these counts enter the result.
+
+A shard is not a task: its counts come from all tasks that read its documents. With many shards the
+local support would fall to 1 and nothing would be pruned, hence few of them. Tasks count a few million
+phrases at a time and hand on sorted runs of hashes with counts, dealt by their leading bits, so Spark moves few
+rows and a phrase, however common, is one entry of each run. What a level or the union found goes to tasks as a bit
 table of fixed size (a Bloom filter of `FILTER_BITS`); a fuller one prunes less and changes no count.
 
 Defined results: a null text counts as empty, a null label as `und`; doc_id is not read, so repeated
 rows, ties and null ids each count; further columns are not read; an empty table gives no row. Long
-texts are cut into pieces of a few million bytes that overlap by the words a phrase may reach back.
+texts are cut into slices of a few million bytes that overlap by the words a phrase may reach back.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,56 +39,98 @@ SHARDS = 8
 FILTER_BITS = 1 << 26
 TOP = 2000
 SCALE = 2_000_000
-TOKENS_AT_ONCE = 1_000_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+COUNTED_AT_ONCE = 2_000_000  # phrases, as hashes
+TEXTS_AT_ONCE = 300_000  # phrases, as texts
 BROADCAST_CELLS = 100_000
-REMEMBER = 1_000_000  # words with their hashes, about 130 bytes each
 TOP_PARTS = 16
-_END = b"\xff"  # between two pieces of a text; no byte of UTF-8
-_TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _END * 10)
-_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd, so products lose nothing
-_COUNTS = "key long, shard int, gram long, n long"
+BLOCKS_A_PARTITION = 8
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so each has an inverse
+_FIRST, _SECOND = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xC2B2AE3D27D4EB4F)
+_SPACE, _END = 0, 255  # no bytes of words
+_TO = np.frombuffer(
+    bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ \t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + bytes([_SPACE] * 2 + [_END] * 10)),
+    np.uint8,
+)
+_RUNS = "block int, key long, shard int, grams binary, n binary"
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-class _Hashes(dict):
-    """Hash of each word, 0 for the end of a piece."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBER:
-            self.clear()
-        value = self[word] = 0 if word == _END else xxhash.xxh64_intdigest(word) or 1
-        return value
-
-
-class _Numbers(dict):
-    """Numbers of the words of a group, in order of appearance."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _FIRST
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
 
+def _powers_of(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    if base not in _powers or len(_powers[base][0]) < size:
+        steps = [np.full(size, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+        _powers[base] = tuple(np.multiply.accumulate(x) for x in steps)
+    return _powers[base]
 
-_hashes = _Hashes()
 
+class _Slice:
+    """The words of some texts side by side: where they are, whose they are, and which stand in one piece.
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _FIRST
-    return x ^ (x >> np.uint64(29))
-
+    `raw` holds lower-cased bytes, with a mark for each kind of separator. Words that begin before `fresh` were part of the slice
+    before; a phrase counts where its last word is new.
+    """
 
-def tokens(text: str, longest: int = LONGEST, size: int = SLICE_BYTES) -> Iterator[tuple[list[bytes], int]]:
-    """Lower-cased words and ends of pieces, slice by slice, and how many of them the slice before had already."""
-    raw = text.encode().translate(_TO).replace(_END, b" " + _END + b" ")
-    start, before = 0, []
-    while start < len(raw) or not start:
-        stop = len(raw)
-        if start + size < stop:
-            space = raw.rfind(b" ", start + 1, start + size)
-            space = raw.find(b" ", start + size) if space < 0 else space
-            stop = stop if space < 0 else space
-        words = before + raw[start:stop].split()
-        yield words, len(before)
-        start, before = max(stop, 1), words[max(0, len(words) - longest + 1) :]
+    def __init__(self, raw: np.ndarray, begins: np.ndarray, fresh: int):
+        size = len(raw)
+        inner = (raw != _SPACE) & (raw != _END)
+        border = np.zeros(size + 1, bool)
+        border[begins] = border[0] = border[size] = True
+        before = np.concatenate(([False], inner))
+        after = np.concatenate((inner, [False]))
+        self.starts = np.flatnonzero(after & (~before | border))
+        self.ends = np.flatnonzero(before & (~after | border))
+        self._raw = raw
+        self.text = np.searchsorted(begins, self.starts, "right") - 1
+        piece = np.searchsorted(np.flatnonzero(raw == _END), self.starts)
+        self.linked = (np.diff(piece) == 0) & (np.diff(self.text) == 0)
+        self.new = self.starts >= fresh
+
+    def hashes(self, base: int) -> np.ndarray:
+        """A hash of each word: its bytes as digits, moved to one place."""
+        up, down = _powers_of(base, len(self._raw) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self._raw * up[: len(self._raw)], dtype=np.uint64)))
+        return _mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+
+    def words(self, first: int, last: int) -> str:
+        """The words from one to another, joined by single spaces."""
+        return " ".join(self._raw[self.starts[i] : self.ends[i]].tobytes().decode() for i in range(first, last + 1))
+
+
+def _slices(texts: pa.StringArray, longest: int, size: int) -> Iterator[tuple[_Slice, np.ndarray]]:
+    """All texts, about `size` bytes at a time, and the rows that a slice's texts have."""
+    _, offsets, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data or b"", np.uint8)
+    row = 0
+    while row < len(texts):
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
+        start, stop = int(ends[row]), int(ends[last])
+        if last > row + 1 or stop - start <= size:
+            if stop > start:
+                yield _Slice(_TO[raw[start:stop]], ends[row:last] - start, 0), np.arange(row, last)
+            row = last
+            continue
+        fresh = start
+        while fresh < stop:
+            cut = min(stop, fresh + size)
+            while cut < stop:
+                gaps = np.flatnonzero(np.isin(_TO[raw[fresh + 1 : cut]], (_SPACE, _END)))
+                if len(gaps):
+                    cut = fresh + 1 + int(gaps[-1])
+                    break
+                cut = min(stop, cut + size)
+            some = _Slice(_TO[raw[start:cut]], np.zeros(1, np.int64), fresh - start)
+            yield some, np.array([row])
+            back = some.starts[max(0, len(some.starts) - longest + 1) :]
+            start, fresh = (start + int(back[0]) if len(back) and longest > 1 else cut), cut
+        row = last
 
 
 class _Bits:
@@ -103,54 +146,20 @@ class _Bits:
         return found
 
 
-class _Group:
-    """Slices of several texts side by side."""
-
-    def __init__(self, words: list[bytes], new: list[np.ndarray], owners: list[tuple], lengths: list[int]):
-        numbers = _Numbers()
-        self.words, self.owners = words, owners
-        self.numbers = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        self.distinct = len(numbers)
-        self.hashes = np.fromiter(map(_hashes.__getitem__, numbers), np.uint64, len(numbers))[self.numbers]
-        self.new = np.concatenate(new)
-        self.owner = np.repeat(np.arange(len(owners)), lengths)
-
-    def of_owner(self, values, kind) -> np.ndarray:
-        """A value of each slice for each of its tokens."""
-        return np.array(list(values), kind)[self.owner]
-
-    def phrases(self, longest: int, filters: list[_Bits], keys: np.ndarray, salt: np.ndarray):
-        """length, hash of the phrase of that length at each token, and whether there is one that stands.
-
-        Phrases of k words pass the k-th filter, if there is one; a longer one needs both its shorter ones to stand.
-        """
-        gram, stands = _mixed(self.hashes ^ keys), self.hashes != 0
-        for length in range(1, longest + 1):
-            if length > 1:
-                gram = _mixed(gram[:-1]) * _SECOND + self.hashes[length - 1 :]
-                stands = stands[:-1] & stands[1:]
-            if length <= len(filters):
-                at = np.flatnonzero(stands)
-                stands[at] = filters[length - 1].has(gram[at] ^ salt[at])
-            yield length, gram, stands
-
-
-def _groups(batches: Iterator[pa.RecordBatch], owner: list[str], longest: int) -> Iterator[_Group]:
-    """All texts of a task, about a million tokens at a time, with the columns `owner` of each."""
-    words, new, owners, lengths = [], [], [], []
-    for batch in batches:
-        for *of, text in zip(*[batch.column(c).to_pylist() for c in (*owner, "text")]):
-            for some, known in tokens(text, longest):
-                words += some
-                words.append(_END)
-                new.append(np.arange(len(some) + 1) >= known)
-                owners.append(tuple(of))
-                lengths.append(len(some) + 1)
-                if len(words) >= TOKENS_AT_ONCE:
-                    yield _Group(words, new, owners, lengths)
-                    words, new, owners, lengths = [], [], [], []
-    if words:
-        yield _Group(words, new, owners, lengths)
+def _phrases(some: _Slice, words: np.ndarray, keys: np.ndarray, longest: int, filters: dict[int, _Bits], salt: np.ndarray):
+    """length, hash of the phrase of that length at each word, and whether there is one that stands.
+
+    Phrases of k words pass the filter for k, if there is one; a longer one needs both its shorter ones to stand.
+    """
+    gram, stands = _mixed(words ^ keys), np.ones(len(words), bool)
+    for length in range(1, longest + 1):
+        if length > 1:
+            gram = _mixed(gram[:-1]) * _SECOND + words[length - 1 :]
+            stands = stands[:-1] & stands[1:] & (some.linked if length == 2 else True)
+        if length in filters:
+            at = np.flatnonzero(stands)
+            stands[at] = filters[length].has(gram[at] ^ salt[at])
+        yield length, gram, stands
 
 
 def _salt(shard):
@@ -158,27 +167,80 @@ def _salt(shard):
     return shard * 0x9E3779B1
 
 
-def _level(docs: DataFrame, length: int, filters: list[Broadcast]) -> DataFrame:
-    """key, shard, gram, n: counts of the phrases of `length` words whose shorter ones pass the filters of the shard."""
+def _runs(cells: list[tuple[int, int]], cell: np.ndarray, grams: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted distinct hashes of each cell with their counts, cut by their leading `bits`."""
+    order = np.argsort(cell.astype(np.uint16) if len(cells) < 1 << 16 else cell, kind="stable")
+    borders = np.searchsorted(cell[order], np.arange(len(cells) + 1))
+    rows = []
+    for (key, shard), first, last in zip(cells, borders, borders[1:]):
+        found, n = np.unique(grams[order[first:last]], return_counts=True)
+        blocks = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(found)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                rows.append((int(blocks[a]), key, shard, found[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()))
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], [f.split()[0] for f in _RUNS.split(", ")])
+
+
+def _count_runs(docs: DataFrame, lengths: range, filters: dict[int, Broadcast], bits: int, size: int) -> DataFrame:
+    """Runs of the phrases of `lengths` whose shorter ones pass the filters; `docs` has key, shard and text."""
 
     def run(batches):
-        bits = [_Bits(f.value) for f in filters]
-        for group in _groups(batches, ["key", "shard"], length):
-            keys = group.of_owner((o[0] for o in group.owners), np.int64)
-            shards = group.of_owner((o[1] for o in group.owners), np.int64)
-            *_, (_, gram, stands) = group.phrases(length, bits, keys.view(np.uint64), _salt(shards).view(np.uint64))
-            at = np.flatnonzero(stands & group.new[length - 1 :])
-            cells, cell = np.unique([o[:2] for o in group.owners], axis=0, return_inverse=True)
-            cell = cell.reshape(-1)[group.owner[at]]
-            order = np.argsort(cell, kind="stable")
-            ends = np.searchsorted(cell[order], np.arange(len(cells) + 1))
-            for (key, shard), first, last in zip(cells.tolist(), ends, ends[1:]):
-                found, n = np.unique(gram[at[order[first:last]]], return_counts=True)
-                columns = [np.full(len(n), key), np.full(len(n), shard, np.int32), found.view(np.int64), n]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "shard", "gram", "n"])
-
-    counted = docs.select("key", "shard", "text").mapInArrow(run, _COUNTS)
-    return counted.groupBy("key", "shard", "gram").agg(F.sum("n").alias("n"))
+        tables = {k: _Bits(f.value) for k, f in filters.items()}
+        cells: dict[tuple[int, int], int] = {}
+        parts, kept = [], 0
+        for batch in batches:
+            pairs = zip(batch.column("key").to_pylist(), batch.column("shard").to_pylist())
+            cell_of = np.array([cells.setdefault(p, len(cells)) for p in pairs], np.int64)
+            key_of = batch.column("key").to_numpy().view(np.uint64)
+            salt_of = _salt(batch.column("shard").to_numpy().astype(np.int64)).view(np.uint64)
+            for some, rows in _slices(batch.column("text"), lengths[-1], size):
+                row = rows[some.text]
+                found = _phrases(some, some.hashes(_BASES[0]), key_of[row], lengths[-1], tables, salt_of[row])
+                for length, gram, stands in found:
+                    if length in lengths:
+                        at = np.flatnonzero(stands & some.new[length - 1 :])
+                        parts.append((cell_of[row[at]], gram[at]))
+                        kept += len(at)
+                if kept >= COUNTED_AT_ONCE:
+                    yield _runs(list(cells), *map(np.concatenate, zip(*parts)), bits)
+                    cells, parts, kept = dict(cells), [], 0
+        if parts:
+            yield _runs(list(cells), *map(np.concatenate, zip(*parts)), bits)
+
+    return docs.select("key", "shard", "text").mapInArrow(run, _RUNS)
+
+
+def _summed(runs: DataFrame) -> DataFrame:
+    """key, shard, gram, n of all runs together, where n reaches the run's `least`."""
+
+    def total(cells):
+        for (key, shard, least), parts in cells.items():
+            grams, n = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(grams)
+            grams = grams[order]
+            starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            sums = np.add.reduceat(n[order].astype(np.int64), starts)
+            often = sums >= least
+            sums = sums[often]
+            columns = [np.full(len(sums), key), np.full(len(sums), shard, np.int32), grams[starts[often]].view(np.int64), sums]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "shard", "gram", "n"])
+
+    def run(batches):
+        block, cells = None, {}
+        for batch in batches:
+            for own, key, shard, grams, n, least in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != block:
+                    yield from total(cells)
+                    block, cells = own, {}
+                part = np.frombuffer(grams, np.uint64), np.frombuffer(n, np.uint32)
+                cells.setdefault((key, shard, least), []).append(part)
+        yield from total(cells)
+
+    dealt = runs.repartition("block").sortWithinPartitions("block")
+    return dealt.select("block", "key", "shard", "grams", "n", "least").mapInArrow(run, "key long, shard int, gram long, n long")
 
 
 def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -193,64 +255,91 @@ def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
-def mine(docs: DataFrame, support: int, longest: int, filter_bits: int) -> DataFrame:
+def _block_bits(docs: DataFrame) -> int:
+    setting = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    partitions = int(setting) if setting.isdigit() else docs.sparkSession.sparkContext.defaultParallelism
+    return (partitions * BLOCKS_A_PARTITION - 1).bit_length()
+
+
+def mine(docs: DataFrame, support: int, longest: int, filter_bits: int, size: int = SLICE_BYTES) -> DataFrame:
     """key, gram: all phrases (hashes) that reach their shard's part of the support in one shard at least.
 
     `docs` has key (of the label), shard and text.
     """
-    context = docs.sparkSession.sparkContext
-    words = stage(_level(docs, 1, []), "collocation-words")
+    bits, share = _block_bits(docs), docs.sparkSession.sparkContext.broadcast
+    every = F.lit(1).cast("bigint")
+    words = stage(_summed(_count_runs(docs, range(1, 2), {}, bits, size).withColumn("least", every)), "collocation-words")
     cells = words.groupBy("key", "shard").agg(F.sum("n").alias("w"))
     whole = cells.groupBy("key").agg(F.sum("w").alias("total"))
     least = F.expr(f"(cast(w AS decimal(20)) * {support} + total - 1) div total")
     cells = stage(cells.join(whole, "key").select("key", "shard", least.alias("least")), "collocation-cells")
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
-    found, filters = [], []
-    for length in range(1, longest + 1):
-        counted = words if length == 1 else _level(docs, length, filters)
-        kept = counted.join(cells, ["key", "shard"]).filter("n >= least").select("key", "shard", "gram")
-        found.append(stage(kept, f"collocation-{length}"))
-        if length < longest:
-            own = F.col("gram").bitwiseXOR(_salt(F.col("shard").cast("bigint")))
-            filters.append(context.broadcast(_bit_table(found[-1].select(own.alias("hash")), filter_bits)))
+    found = [stage(words.join(cells, ["key", "shard"]).filter("n >= least").select("key", "shard", "gram"), "collocation-1")]
+    filters: dict[int, Broadcast] = {}
+    for lengths in (range(2, 3), range(3, longest + 1)):
+        if not lengths or lengths[-1] > longest:
+            break
+        own = F.col("gram").bitwiseXOR(_salt(F.col("shard").cast("bigint"))).alias("hash")
+        filters[lengths[0] - 1] = share(_bit_table(found[-1].select(own), filter_bits))
+        runs = _count_runs(docs, lengths, filters, bits, size).join(cells, ["key", "shard"])
+        found.append(stage(_summed(runs).select("key", "shard", "gram"), f"collocation-{lengths[-1]}"))
     union = found[0]
     for more in found[1:]:
         union = union.unionByName(more)
-    for spent in filters:
-        spent.unpersist()
     return union.select("key", "gram")
 
 
-def count_phrases(docs: DataFrame, candidates: Broadcast, longest: int) -> DataFrame:
-    """label, phrase, n: all occurrences of every candidate, by its text; the phrase null counts all words.
+def often_in_all(docs: DataFrame, candidates: DataFrame, support: int, longest: int, filter_bits: int, size: int = SLICE_BYTES) -> DataFrame:
+    """key, gram of the candidates that occur `support` times in all documents of their label."""
+    passed = docs.sparkSession.sparkContext.broadcast(_bit_table(candidates.select(F.col("gram").alias("hash")), filter_bits))
+    unsharded = docs.withColumn("shard", F.lit(0))
+    runs = _count_runs(unsharded, range(1, longest + 1), dict.fromkeys(range(1, longest + 1), passed), _block_bits(docs), size)
+    return _summed(runs.withColumn("least", F.lit(support).cast("bigint"))).select("key", "gram")
+
+
+def count_phrases(docs: DataFrame, often: Broadcast, longest: int, size: int = SLICE_BYTES) -> DataFrame:
+    """label, phrase, n: all occurrences of the phrases that the bit table holds, by text; the phrase null counts all words.
 
     What the bit table lets pass by mistake is counted as exactly as the rest.
     """
 
+    def rows(counts: dict[bytes, list]) -> pa.RecordBatch:
+        columns = list(zip(*counts.values())) if counts else [(), (), ()]
+        arrays = [pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["label", "phrase", "n"])
+
     def run(batches):
-        bits = [_Bits(candidates.value)] * longest
-        for group in _groups(batches, ["label", "key"], longest):
-            names = sorted({o[0] for o in group.owners})
-            place = {name: i for i, name in enumerate(names)}
-            label = group.of_owner((place[o[0]] for o in group.owners), np.int64)
-            keys = group.of_owner((o[1] for o in group.owners), np.int64).view(np.uint64)
-            is_word = (group.hashes != 0) & group.new
-            totals = np.bincount(label[is_word], minlength=len(names))
-            rows = [(names[i], None, int(n)) for i, n in enumerate(totals.tolist())]
-            # Numbers of labels and words make up numbers of phrases, so that no two phrases are taken for one.
-            code = label * group.distinct + group.numbers
-            for length, _, stands in group.phrases(longest, bits, keys, np.zeros_like(keys)):
-                at = np.flatnonzero(stands)
-                _, first, code_at = np.unique(code[at], return_index=True, return_inverse=True)
-                n = np.bincount(code_at, weights=group.new[at + length - 1], minlength=len(first)).astype(np.int64)
-                for i, times in zip(at[first].tolist(), n.tolist()):
-                    if times:
-                        rows.append((names[label[i]], b" ".join(group.words[i : i + length]).decode(), times))
-                ranks = np.zeros(len(stands), np.int64)
-                ranks[at] = code_at
-                code = ranks[:-1] * group.distinct + group.numbers[length:]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["label", "phrase", "n"])
+        filters = dict.fromkeys(range(1, longest + 1), _Bits(often.value))
+        counts: dict[bytes, list] = {}
+        for batch in batches:
+            names = batch.column("label").dictionary_encode()
+            label_of, labels = names.indices.to_numpy(), names.dictionary.to_pylist()
+            key_of = batch.column("key").to_numpy().view(np.uint64)
+            for some, of in _slices(batch.column("text"), longest, size):
+                row = of[some.text]
+                words = np.bincount(label_of[row][some.new], minlength=len(labels)).tolist()
+                for label, n in zip(labels, words):
+                    counts.setdefault(label.encode(), [label, None, 0])[2] += n
+                second = some.hashes(_BASES[1])
+                checks = _phrases(some, second, key_of[row], longest, {}, second)
+                found = _phrases(some, some.hashes(_BASES[0]), key_of[row], longest, filters, np.zeros(len(row), np.uint64))
+                for (length, gram, stands), (_, check, _) in zip(found, checks):
+                    at = np.flatnonzero(stands & some.new[length - 1 :])
+                    order = at[np.lexsort((check[at], gram[at]))]
+                    both = np.stack([gram[order], check[order]], axis=1)
+                    first = np.flatnonzero(np.concatenate(([True], (both[1:] != both[:-1]).any(axis=1)))) if len(order) else order
+                    told = both[first].tobytes()
+                    for j, (i, n) in enumerate(zip(order[first].tolist(), np.diff(np.append(first, len(order))).tolist())):
+                        known = b"\xff%d" % length + told[16 * j : 16 * j + 16]
+                        if known in counts:
+                            counts[known][2] += n
+                        else:
+                            counts[known] = [labels[label_of[row[i]]], some.words(i, i + length - 1), n]
+                if len(counts) > TEXTS_AT_ONCE:
+                    yield rows(counts)
+                    counts = {}
+        yield rows(counts)
 
     counted = docs.select("label", "key", "text").mapInArrow(run, "label string, phrase string, n long")
     return counted.groupBy("label", "phrase").agg(F.sum("n").alias("n"))
@@ -309,6 +398,7 @@ def collocations(
     top: int = TOP,
     shards: int = SHARDS,
     filter_bits: int = FILTER_BITS,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """label, rank, phrase, a, l, r, n and score of each label's first `top` collocations."""
     rows = docs.select(
@@ -316,8 +406,9 @@ def collocations(
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     rows = rows.withColumns({"key": F.xxhash64("label"), "shard": F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")})
-    union = mine(rows, support, longest, filter_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(union.select(F.col("gram").alias("hash")), filter_bits))
-    counted = count_phrases(rows, shared, longest).filter((F.col("n") >= support) | F.col("phrase").isNull())
+    union = mine(rows, support, longest, filter_bits, slice_bytes)
+    often = often_in_all(rows, union, support, longest, filter_bits, slice_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(often.select(F.col("gram").alias("hash")), filter_bits))
+    counted = count_phrases(rows, shared, longest, slice_bytes).filter((F.col("n") >= support) | F.col("phrase").isNull())
     scores = stage(scored(stage(counted, "collocation-counts")), "collocation-scores")
     return first_of_each(not_contained(scores), top).select("label", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -85,13 +85,12 @@ def test_whole_table_at_production_parameters(spark, rows, documents):
     assert found(rows, table, collocations.SUPPORT) == plain(docs, collocations.SUPPORT)
 
 
-def test_texts_are_cut_without_loss(rows, made, monkeypatch):
-    monkeypatch.setattr(collocations, "TOKENS_AT_ONCE", 50)
-    monkeypatch.setattr(collocations, "REMEMBER", 20)
-    original = collocations.tokens
-    monkeypatch.setattr(collocations, "tokens", lambda text, longest: original(text, longest, 40))
+@pytest.mark.parametrize("size", [1, 40, 1000])
+def test_texts_are_cut_without_loss(rows, made, monkeypatch, size):
+    monkeypatch.setattr(collocations, "COUNTED_AT_ONCE", 50)
     docs = [(" ".join(f"w{i % 7} v{i % 3}" + "." * (i % 11 == 0) for i in range(900)), "en"), ("y" * 100 + " z " + "y" * 100, "en")]
-    assert found(rows, made(docs), 30) == plain(docs, 30)
+    docs += [("", "en"), ("short text", "en")] * 20
+    assert found(rows, made(docs).coalesce(1), 20, slice_bytes=size) == plain(docs, 20)
 
 
 def test_a_very_long_text(rows, made):
