@@ -163,26 +163,26 @@ def _sum(name: str) -> Column:
     return F.coalesce(F.sum(name), F.lit(0)).alias(name)
 
 
-def _below(depth: str, bits: tuple[str, str], turn: int) -> Column:
-    """Whether a node ranks below that of another depth and other bits."""
+def _below(depth: str, bits: tuple[str, str]) -> Column:
+    """Whether a node ranks below that of another depth and other bits; a rank is for all rounds."""
     power = lambda d: F.col(d).bitwiseAND(-F.col(d))
-    chance = lambda b: F.xxhash64(F.lit(turn), *b)
+    chance = lambda b: F.xxhash64(*b)
     same = (power("depth") == power(depth)) & (chance(_ID) < chance(bits))
     # The root has no power of two in its depth and is never spliced, so all rank below it.
     return (F.col(depth) == 0) | (power("depth") < power(depth)) | same
 
 
-def _spliced(alive: DataFrame, turn: int) -> DataFrame:
+def _spliced(alive: DataFrame, first: bool) -> DataFrame:
     """Alive nodes and messages to their parents, with spliced nodes taken out of their chains."""
     known = alive.groupBy(*_ID).agg(
         *[F.max(c).alias(c) for c in ("depth", *_PARENT, "parent_depth")],
         *[F.max(c).alias(c) for c in (*_CHILD, "child_depth")],
         *map(_sum, ("children", "leaves", "saved")),
     )
-    if turn == 0:
+    if first:
         known = known.withColumn("leaves", F.when(F.col("children") == 0, 1).otherwise(0).cast("bigint"))
     unary = (F.col("children") == 1) & (F.col("depth") > 0)
-    out = unary & _below("parent_depth", _PARENT, turn) & _below("child_depth", _CHILD, turn)
+    out = unary & _below("parent_depth", _PARENT) & _below("child_depth", _CHILD)
     known = known.withColumn("out", out)
     itself = _cols(*_ID, "depth", *_PARENT, "parent_depth", *_CHILD, "children", "leaves", "saved")
     itself["kind"] = F.when(F.col("out"), SPLICED).otherwise(ALIVE)
@@ -220,8 +220,8 @@ def subtree_totals(nodes: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("leaves"), F.col("own").alias("saved"), F.lit(ALIVE).alias("kind"),
     )
     rounds: list[tuple[DataFrame, int]] = []
-    for turn in range(MAX_ROUNDS):
-        spliced = _spliced(_next(start if not turn else rounds[-1][0]), turn)
+    for _ in range(MAX_ROUNDS):
+        spliced = _spliced(_next(rounds[-1][0] if rounds else start), not rounds)
         raked = (F.col("kind") == ALIVE) & (F.col("children") == 0)
         done = stage(spliced.withColumn("kind", F.when(raked, RAKED).otherwise(F.col("kind"))), "trie-round")
         counts = done.groupBy("kind").count().collect()
