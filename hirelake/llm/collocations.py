@@ -4,10 +4,10 @@ Candidates are found by SON partitioning. Documents are dealt into `SHARDS` shar
 text. With w of a label's W words, a shard mines its phrases completely at the support
 ceil(support * w / W); a phrase that occurs `support` times reaches this in one shard at least, so the
 union of what the shards find misses none. A shard is mined level by level: words, then pairs of words
-that reached the support in this shard, then phrases all of whose pairs did. The phrases of the union are
-then counted over all documents. Up to here phrases are 64-bit hashes; two that meet in one hash only
-add candidates. The last pass takes the texts of those that are often enough and counts them anew, told
-apart by 128 bits within a task and by their texts across tasks; only these counts enter the result.
+that reached the support in this shard, then phrases all of whose pairs did. Up to here phrases are 64-bit
+hashes; two that meet in one hash only add candidates. The phrases of the union are then counted exactly over all
+documents, told apart by 96 bits: among n candidates two are taken for one with a probability of about
+n^2 / 2^97. A last pass reads the text of each phrase that is often enough in one document that holds it.
 
 A shard is not a task: its counts come from all tasks that read its documents. With many shards the
 local support would fall to 1 and nothing would be pruned, hence few of them. Tasks count a few million
@@ -40,11 +40,10 @@ FILTER_BITS = 1 << 26
 TOP = 2000
 SCALE = 2_000_000
 SLICE_BYTES = 2_000_000
-COUNTED_AT_ONCE = 2_000_000  # phrases, as hashes
-TEXTS_AT_ONCE = 300_000  # phrases, as texts
+COUNTED_AT_ONCE = 2_000_000  # phrases
 BROADCAST_CELLS = 100_000
 TOP_PARTS = 16
-BLOCKS_A_PARTITION = 8
+BLOCKS_A_PARTITION = 2
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so each has an inverse
 _FIRST, _SECOND = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE, _END = 0, 255  # no bytes of words
@@ -52,7 +51,7 @@ _TO = np.frombuffer(
     bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ \t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + bytes([_SPACE] * 2 + [_END] * 10)),
     np.uint8,
 )
-_RUNS = "block int, key long, shard int, grams binary, n binary"
+_RUNS = "block int, cells binary, grams binary, checks binary, owners binary, n binary"
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -167,80 +166,113 @@ def _salt(shard):
     return shard * 0x9E3779B1
 
 
-def _runs(cells: list[tuple[int, int]], cell: np.ndarray, grams: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted distinct hashes of each cell with their counts, cut by their leading `bits`."""
+def _distinct(columns: list[np.ndarray], order: np.ndarray) -> list[np.ndarray]:
+    """Hashes in the given order without repeats (grams, checks), their least owners and their summed counts."""
+    grams, checks, owners, n = (c[order] for c in columns)
+    new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (checks[1:] != checks[:-1])))
+    starts = np.flatnonzero(new)
+    return [grams[starts], checks[starts], np.minimum.reduceat(owners, starts), np.add.reduceat(n, starts)]
+
+
+def _runs(cells: list[tuple], cell: np.ndarray, columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """One row for each value of the leading `bits`: its hashes with their counts, sorted within each cell."""
     order = np.argsort(cell.astype(np.uint16) if len(cells) < 1 << 16 else cell, kind="stable")
     borders = np.searchsorted(cell[order], np.arange(len(cells) + 1))
+    parts = []
+    for i, (first, last) in enumerate(zip(borders, borders[1:])):
+        if first < last:
+            own = order[first:last]
+            found = _distinct(columns, own[np.argsort(columns[0][own])])
+            parts.append([np.full(len(found[0]), i), *found])
+    which, grams, checks, owners, n = map(np.concatenate, zip(*parts)) if parts else [np.zeros(0, np.uint64)] * 5
+    block = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+    order = np.argsort(block.astype(np.uint16) if bits <= 16 else block, kind="stable")
+    borders = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
     rows = []
-    for (key, shard), first, last in zip(cells, borders, borders[1:]):
-        found, n = np.unique(grams[order[first:last]], return_counts=True)
-        blocks = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(found)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                rows.append((int(blocks[a]), key, shard, found[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes()))
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows)) if rows else [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], [f.split()[0] for f in _RUNS.split(", ")])
-
-
-def _count_runs(docs: DataFrame, lengths: range, filters: dict[int, Broadcast], bits: int, size: int) -> DataFrame:
-    """Runs of the phrases of `lengths` whose shorter ones pass the filters; `docs` has key, shard and text."""
+    for a, b in zip(borders, borders[1:]):
+        own = order[a:b]
+        in_block, sizes = np.unique(which[own], return_counts=True)
+        told = np.array([(*cells[i], size) for i, size in zip(in_block, sizes)], np.int64)
+        values = (told, grams[own], checks[own], owners[own], n[own].astype(np.uint32))
+        rows.append((int(block[own[0]]), *(v.tobytes() for v in values)))
+    types = [pa.int32(), *[pa.binary()] * 5]
+    made = list(zip(*rows)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(made, types)], [f.split()[0] for f in _RUNS.split(", ")])
+
+
+def _count_runs(docs: DataFrame, lengths: range, filters: dict[int, Broadcast], bits: int, size: int, told: bool = False) -> DataFrame:
+    """Runs of the phrases of `lengths` whose shorter ones pass the filters.
+
+    `docs` has key, shard, least (the support that counts in this cell), owner and text; `told` also gives each phrase its
+    check, 32 more bits of its hash, and the least owner of the documents that hold it.
+    """
 
     def run(batches):
         tables = {k: _Bits(f.value) for k, f in filters.items()}
-        cells: dict[tuple[int, int], int] = {}
+        cells: dict[tuple, int] = {}
         parts, kept = [], 0
+
+        def made():
+            cell, *columns = map(np.concatenate, zip(*parts))
+            return _runs(list(cells), cell, [*columns, np.ones(len(cell), np.int64)], bits)
+
         for batch in batches:
-            pairs = zip(batch.column("key").to_pylist(), batch.column("shard").to_pylist())
-            cell_of = np.array([cells.setdefault(p, len(cells)) for p in pairs], np.int64)
+            tuples = zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "least")))
+            cell_of = np.array([cells.setdefault(t, len(cells)) for t in tuples], np.int64)
+            owner_of = batch.column("owner").to_numpy().astype(np.uint32)
             key_of = batch.column("key").to_numpy().view(np.uint64)
             salt_of = _salt(batch.column("shard").to_numpy().astype(np.int64)).view(np.uint64)
             for some, rows in _slices(batch.column("text"), lengths[-1], size):
                 row = rows[some.text]
                 found = _phrases(some, some.hashes(_BASES[0]), key_of[row], lengths[-1], tables, salt_of[row])
+                second = some.hashes(_BASES[1]) if told else None
+                checks = _phrases(some, second, key_of[row], lengths[-1], {}, second) if told else None
                 for length, gram, stands in found:
+                    check = next(checks)[1] if told else None
                     if length in lengths:
                         at = np.flatnonzero(stands & some.new[length - 1 :])
-                        parts.append((cell_of[row[at]], gram[at]))
+                        more = ((check[at] >> np.uint64(32)).astype(np.uint32), owner_of[row[at]]) if told else [np.zeros(len(at), np.uint32)] * 2
+                        parts.append((cell_of[row[at]], gram[at], *more))
                         kept += len(at)
                 if kept >= COUNTED_AT_ONCE:
-                    yield _runs(list(cells), *map(np.concatenate, zip(*parts)), bits)
+                    yield made()
                     cells, parts, kept = dict(cells), [], 0
         if parts:
-            yield _runs(list(cells), *map(np.concatenate, zip(*parts)), bits)
+            yield made()
 
-    return docs.select("key", "shard", "text").mapInArrow(run, _RUNS)
+    return docs.select("key", "shard", "least", "owner", "text").mapInArrow(run, _RUNS)
 
 
 def _summed(runs: DataFrame) -> DataFrame:
-    """key, shard, gram, n of all runs together, where n reaches the run's `least`."""
+    """key, shard, gram, check, owner, n of all runs together, where n reaches the cell's `least`."""
 
     def total(cells):
         for (key, shard, least), parts in cells.items():
-            grams, n = (np.concatenate(c) for c in zip(*parts))
-            order = np.argsort(grams)
-            grams = grams[order]
-            starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-            sums = np.add.reduceat(n[order].astype(np.int64), starts)
-            often = sums >= least
-            sums = sums[often]
-            columns = [np.full(len(sums), key), np.full(len(sums), shard, np.int32), grams[starts[often]].view(np.int64), sums]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "shard", "gram", "n"])
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            found = _distinct(columns, np.lexsort((columns[1], columns[0])))
+            grams, checks, owners, n = (c[found[3] >= least] for c in found)
+            same = [np.full(len(n), key), np.full(len(n), shard, np.int32)]
+            arrays = [*same, grams.view(np.int64), checks.view(np.int32), owners.view(np.int32), n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["key", "shard", "gram", "check", "owner", "n"])
 
     def run(batches):
         block, cells = None, {}
         for batch in batches:
-            for own, key, shard, grams, n, least in zip(*(c.to_pylist() for c in batch.columns)):
+            for own, told, *columns in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != block:
                     yield from total(cells)
                     block, cells = own, {}
-                part = np.frombuffer(grams, np.uint64), np.frombuffer(n, np.uint32)
-                cells.setdefault((key, shard, least), []).append(part)
+                kinds = (np.uint64, np.uint32, np.uint32, np.uint32)
+                grams, checks, owners, n = (np.frombuffer(c, k) for c, k in zip(columns, kinds))
+                first = 0
+                for key, shard, least, size in np.frombuffer(told, np.int64).reshape(-1, 4).tolist():
+                    part = slice(first, first + size)
+                    cells.setdefault((key, shard, least), []).append((grams[part], checks[part], owners[part], n[part].astype(np.int64)))
+                    first += size
         yield from total(cells)
 
     dealt = runs.repartition("block").sortWithinPartitions("block")
-    return dealt.select("block", "key", "shard", "grams", "n", "least").mapInArrow(run, "key long, shard int, gram long, n long")
+    return dealt.mapInArrow(run, "key long, shard int, gram long, check int, owner int, n long")
 
 
 def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -261,20 +293,21 @@ def _block_bits(docs: DataFrame) -> int:
     return (partitions * BLOCKS_A_PARTITION - 1).bit_length()
 
 
-def mine(docs: DataFrame, support: int, longest: int, filter_bits: int, size: int = SLICE_BYTES) -> DataFrame:
+def mine(docs: DataFrame, words: DataFrame, support: int, longest: int, filter_bits: int, size: int = SLICE_BYTES) -> DataFrame:
     """key, gram: all phrases (hashes) that reach their shard's part of the support in one shard at least.
 
-    `docs` has key (of the label), shard and text.
+    `docs` has key (of the label), shard, owner and text; `words` is the first level, all words of all shards with their counts.
     """
     bits, share = _block_bits(docs), docs.sparkSession.sparkContext.broadcast
-    every = F.lit(1).cast("bigint")
-    words = stage(_summed(_count_runs(docs, range(1, 2), {}, bits, size).withColumn("least", every)), "collocation-words")
     cells = words.groupBy("key", "shard").agg(F.sum("n").alias("w"))
     whole = cells.groupBy("key").agg(F.sum("w").alias("total"))
     least = F.expr(f"(cast(w AS decimal(20)) * {support} + total - 1) div total")
     cells = stage(cells.join(whole, "key").select("key", "shard", least.alias("least")), "collocation-cells")
     if cells.count() <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
+        cells, heavy = F.broadcast(cells), None
+    else:
+        heavy = heavy_keys(docs, {"cell": ["key", "shard"]})["cell"]
+    docs = left_join_default(docs, cells, ["key", "shard"], {"least": 1}, heavy=heavy, salt_by=["owner"])
     found = [stage(words.join(cells, ["key", "shard"]).filter("n >= least").select("key", "shard", "gram"), "collocation-1")]
     filters: dict[int, Broadcast] = {}
     for lengths in (range(2, 3), range(3, longest + 1)):
@@ -282,7 +315,7 @@ def mine(docs: DataFrame, support: int, longest: int, filter_bits: int, size: in
             break
         own = F.col("gram").bitwiseXOR(_salt(F.col("shard").cast("bigint"))).alias("hash")
         filters[lengths[0] - 1] = share(_bit_table(found[-1].select(own), filter_bits))
-        runs = _count_runs(docs, lengths, filters, bits, size).join(cells, ["key", "shard"])
+        runs = _count_runs(docs, lengths, filters, bits, size)
         found.append(stage(_summed(runs).select("key", "shard", "gram"), f"collocation-{lengths[-1]}"))
     union = found[0]
     for more in found[1:]:
@@ -291,58 +324,44 @@ def mine(docs: DataFrame, support: int, longest: int, filter_bits: int, size: in
 
 
 def often_in_all(docs: DataFrame, candidates: DataFrame, support: int, longest: int, filter_bits: int, size: int = SLICE_BYTES) -> DataFrame:
-    """key, gram of the candidates that occur `support` times in all documents of their label."""
-    passed = docs.sparkSession.sparkContext.broadcast(_bit_table(candidates.select(F.col("gram").alias("hash")), filter_bits))
-    unsharded = docs.withColumn("shard", F.lit(0))
-    runs = _count_runs(unsharded, range(1, longest + 1), dict.fromkeys(range(1, longest + 1), passed), _block_bits(docs), size)
-    return _summed(runs.withColumn("least", F.lit(support).cast("bigint"))).select("key", "gram")
-
-
-def count_phrases(docs: DataFrame, often: Broadcast, longest: int, size: int = SLICE_BYTES) -> DataFrame:
-    """label, phrase, n: all occurrences of the phrases that the bit table holds, by text; the phrase null counts all words.
+    """key, gram, check, owner, n of the candidates that occur `support` times in all documents of their label.
 
     What the bit table lets pass by mistake is counted as exactly as the rest.
     """
+    passed = docs.sparkSession.sparkContext.broadcast(_bit_table(candidates.select(F.col("gram").alias("hash")), filter_bits))
+    every = range(1, longest + 1)
+    unsharded = docs.withColumns({"shard": F.lit(0), "least": F.lit(support).cast("bigint")})
+    runs = _count_runs(unsharded, every, dict.fromkeys(every, passed), _block_bits(docs), size, told=True)
+    return _summed(runs).select("key", "gram", "check", "owner", "n")
+
 
-    def rows(counts: dict[bytes, list]) -> pa.RecordBatch:
-        columns = list(zip(*counts.values())) if counts else [(), (), ()]
-        arrays = [pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["label", "phrase", "n"])
+def texts_of(docs: DataFrame, phrases: DataFrame, longest: int, filter_bits: int, size: int = SLICE_BYTES) -> DataFrame:
+    """key, gram, check, phrase: the texts of phrases, each from the documents of its owner."""
+    own = F.col("gram").bitwiseXOR(_salt(F.col("owner").cast("bigint"))).alias("hash")
+    wanted = docs.sparkSession.sparkContext.broadcast(_bit_table(phrases.select(own), filter_bits))
 
     def run(batches):
-        filters = dict.fromkeys(range(1, longest + 1), _Bits(often.value))
-        counts: dict[bytes, list] = {}
+        table = _Bits(wanted.value)
         for batch in batches:
-            names = batch.column("label").dictionary_encode()
-            label_of, labels = names.indices.to_numpy(), names.dictionary.to_pylist()
-            key_of = batch.column("key").to_numpy().view(np.uint64)
-            for some, of in _slices(batch.column("text"), longest, size):
-                row = of[some.text]
-                words = np.bincount(label_of[row][some.new], minlength=len(labels)).tolist()
-                for label, n in zip(labels, words):
-                    counts.setdefault(label.encode(), [label, None, 0])[2] += n
+            keys = batch.column("key").to_numpy()
+            salt_of = _salt(batch.column("owner").to_numpy().astype(np.int64)).view(np.uint64)
+            for some, rows in _slices(batch.column("text"), longest, size):
+                row = rows[some.text]
                 second = some.hashes(_BASES[1])
-                checks = _phrases(some, second, key_of[row], longest, {}, second)
-                found = _phrases(some, some.hashes(_BASES[0]), key_of[row], longest, filters, np.zeros(len(row), np.uint64))
+                checks = _phrases(some, second, keys.view(np.uint64)[row], longest, {}, second)
+                found = _phrases(some, some.hashes(_BASES[0]), keys.view(np.uint64)[row], longest, {}, second)
                 for (length, gram, stands), (_, check, _) in zip(found, checks):
                     at = np.flatnonzero(stands & some.new[length - 1 :])
-                    order = at[np.lexsort((check[at], gram[at]))]
-                    both = np.stack([gram[order], check[order]], axis=1)
-                    first = np.flatnonzero(np.concatenate(([True], (both[1:] != both[:-1]).any(axis=1)))) if len(order) else order
-                    told = both[first].tobytes()
-                    for j, (i, n) in enumerate(zip(order[first].tolist(), np.diff(np.append(first, len(order))).tolist())):
-                        known = b"\xff%d" % length + told[16 * j : 16 * j + 16]
-                        if known in counts:
-                            counts[known][2] += n
-                        else:
-                            counts[known] = [labels[label_of[row[i]]], some.words(i, i + length - 1), n]
-                if len(counts) > TEXTS_AT_ONCE:
-                    yield rows(counts)
-                    counts = {}
-        yield rows(counts)
-
-    counted = docs.select("label", "key", "text").mapInArrow(run, "label string, phrase string, n long")
-    return counted.groupBy("label", "phrase").agg(F.sum("n").alias("n"))
+                    at = at[table.has(gram[at] ^ salt_of[row[at]])]
+                    _, first = np.unique(np.stack([gram[at], check[at]], axis=1), axis=0, return_index=True)
+                    at = at[first]
+                    told = (check[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    texts = pa.array([some.words(i, i + length - 1) for i in at.tolist()], pa.string())
+                    arrays = [pa.array(keys[row[at]]), pa.array(gram[at].view(np.int64)), pa.array(told), texts]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "gram", "check", "phrase"])
+
+    found = docs.select("key", "owner", "text").mapInArrow(run, "key long, gram long, check int, phrase string")
+    return found.groupBy("key", "gram", "check").agg(F.min("phrase").alias("phrase"))
 
 
 def _part(first, size) -> Column:
@@ -405,10 +424,18 @@ def collocations(
         F.coalesce(F.col(label).cast("string"), F.lit("und")).alias("label"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumns({"key": F.xxhash64("label"), "shard": F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")})
-    union = mine(rows, support, longest, filter_bits, slice_bytes)
-    often = often_in_all(rows, union, support, longest, filter_bits, slice_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(often.select(F.col("gram").alias("hash")), filter_bits))
-    counted = count_phrases(rows, shared, longest, slice_bytes).filter((F.col("n") >= support) | F.col("phrase").isNull())
-    scores = stage(scored(stage(counted, "collocation-counts")), "collocation-scores")
+    owner = F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int")
+    rows = rows.withColumns({"key": F.xxhash64("label"), "owner": owner})
+    rows = rows.withColumn("shard", F.pmod("owner", F.lit(shards)).cast("int"))
+    every = rows.withColumn("least", F.lit(1).cast("bigint"))
+    words = _summed(_count_runs(every, range(1, 2), {}, _block_bits(rows), slice_bytes)).select("key", "shard", "gram", "n")
+    words = stage(words, "collocation-words")
+    union = mine(rows, words, support, longest, filter_bits, slice_bytes)
+    often = stage(often_in_all(rows, union, support, longest, filter_bits, slice_bytes), "collocation-often")
+    labels = stage(rows.select("key", "label").distinct(), "collocation-labels")
+    phrases = often.drop("owner").join(texts_of(rows, often, longest, filter_bits, slice_bytes), ["key", "gram", "check"])
+    totals = words.groupBy("key").agg(F.sum("n").alias("n")).withColumn("phrase", F.lit(None).cast("string"))
+    counted = phrases.select("key", "phrase", "n").unionByName(totals.select("key", "phrase", "n"))
+    counted = left_join_default(counted, labels, ["key"], heavy=heavy_keys(often, {"label": ["key"]})["label"])
+    scores = stage(scored(stage(counted.select("label", "phrase", "n"), "collocation-counts")), "collocation-scores")
     return first_of_each(not_contained(scores), top).select("label", "rank", "phrase", "a", "l", "r", "n", "score")
