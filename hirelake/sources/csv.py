@@ -64,12 +64,14 @@ def _from_records(records: DataFrame, names: list[str], header: list[str | None]
     """Parse the text of records; a file with another header than the given one fails the read.
 
     A comma ends the last field as a line break does in a file: at the end of a text the parser adds
-    a quote to a field that has text after its closing quote. The empty field behind it goes.
+    a quote to a field that has text after its closing quote. The empty field behind it goes. A field
+    that is open at the end of the file ends there.
     """
     ddl = ", ".join("`{}` string".format(c.replace("`", "``")) for c in names)
     options = {"multiLine": "true", "quote": '"', "escape": '"', "lineSep": "\n"}
     place = F.struct("file", "block", F.col("record").alias("row"))
-    rows = records.select("record", F.from_csv(F.concat("text", F.lit(",")), F.lit(ddl), options).alias("_row"), place.alias(SEQ))
+    ended = F.concat("text", F.when(F.col("open"), F.lit("")).otherwise(F.lit(",")))
+    rows = records.select("record", F.from_csv(ended, F.lit(ddl), options).alias("_row"), place.alias(SEQ))
     found = F.array(*[F.col("_row").getField(c) for c in names])
     wanted = F.array(*[F.lit(c).cast("string") for c in header])
     problem = F.concat(F.lit("header differs from that of the other files: "), F.col(f"{SEQ}.file"))
@@ -82,8 +84,8 @@ def read_csv(spark: SparkSession, path: str, mode: str = "auto") -> DataFrame:
 
     All files of a folder must have the header of the first, or reading fails. `mode` says how
     line breaks in quoted fields are dealt with: `whole` reads each file in one task; `split` cuts
-    files of any size at records, with the same result or an error; `auto` splits when some file
-    is larger than 1 GiB; `lines` is for files without such breaks.
+    files of any size at records, with the same rows; `auto` splits when some file is larger than
+    1 GiB, which changes the time only; `lines` is for files without such breaks.
     """
     mode = _mode(spark, path) if mode == "auto" else mode
     options = {"multiLine": mode != "lines", "quote": '"', "escape": '"'}

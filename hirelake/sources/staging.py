@@ -13,17 +13,18 @@ from hirelake.session import fresh_path
 _scope: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def stage(df: DataFrame, label: str, session: SparkSession | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back, in its own session or in `session`.
 
     This cuts the lineage, outlives lost executors, and leaves later passes a columnar
     table in which they read only the columns they need.
     """
-    path = fresh_path(df.sparkSession, label)
+    session = session or df.sparkSession
+    path = fresh_path(session, label)
     if _scope.get() is not None:
         _scope.get().append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
