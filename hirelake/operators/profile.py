@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.functions.values import doubles
-from hirelake.operators.quantiles import exact_quantiles
+from hirelake.operators.quantiles import quantiles_and
 from hirelake.sources.layers import side_by_side
 
 
@@ -47,28 +47,27 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+_FIGURES = "mean double, std double, min double, q25 double, median double, q75 double, max double"
+
+
+def _figures(df: DataFrame, cols: Sequence[str], more: Sequence[Column]) -> tuple[dict[str, tuple], list]:
+    """Mean, deviation, least, quartiles and largest of columns of doubles, and `more` aggregates, by two passes in all."""
+    own = [f(c) for c in cols for f in (F.avg, F.stddev_samp, F.min, F.max)]
+    quartiles, row = quantiles_and(df, cols, QUARTILES, [*own, *more])
+    figures = {}
+    for i, c in enumerate(cols):
+        mean, deviation, least, largest = row[4 * i : 4 * i + 4]
+        figures[c] = (mean, deviation, least, *quartiles[c], largest)
+    return figures, row[len(own) :]
+
+
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of the numeric columns."""
     cols = list(cols or numeric_columns(df))
-    quartiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
-
-    def at(i):
-        return lambda c: F.lit(quartiles[c][i]).cast("double")
-
-    return _per_column(
-        doubles(df, cols),
-        cols,
-        {
-            "values": F.count,
-            "mean": F.avg,
-            "std": F.stddev_samp,
-            "min": F.min,
-            "q25": at(0),
-            "median": at(1),
-            "q75": at(2),
-            "max": F.max,
-        },
-    )
+    figures, counts = _figures(doubles(df, cols), cols, [F.count(c) for c in cols])
+    rows = [(c, n, *figures[c]) for c, n in zip(cols, counts)]
+    return df.sparkSession.createDataFrame(rows, f"column_name string, values bigint, {_FIGURES}")
 
 
 def count_distinct(df: DataFrame, col: str) -> DataFrame:
@@ -112,30 +111,12 @@ def benefits_count(df: DataFrame, key: str = "job_id", col: str = "type", mode:
 def profile_table(df: DataFrame) -> DataFrame:
     """Type, rows and nulls of every column, with the figures of `describe` where it is numeric."""
     types, numeric = dict(df.dtypes), numeric_columns(df)
-    quartiles = exact_quantiles(df, numeric, (0.25, 0.5, 0.75))
-
-    def figure(make):
-        return lambda c: (make(c) if c in numeric else F.lit(None)).cast("double")
-
-    def quartile(i):
-        return lambda c: F.lit(quartiles[c][i] if c in numeric else None).cast("double")
-
-    return _per_column(
-        doubles(df, numeric),
-        df.columns,
-        {
-            "data_type": lambda c: F.lit(types[c]),
-            "row_count": lambda c: F.count(F.lit(1)),
-            "nulls": lambda c: F.count_if(F.col(c).isNull()),
-            "mean": figure(F.avg),
-            "std": figure(F.stddev_samp),
-            "min": figure(F.min),
-            "q25": quartile(0),
-            "median": quartile(1),
-            "q75": quartile(2),
-            "max": figure(F.max),
-        },
-    )
+    counts = [F.count(F.lit(1)), *[F.count(c) for c in df.columns]]
+    figures, (rows, *filled) = _figures(doubles(df, numeric), numeric, counts)
+    none = (None,) * len(_FIGURES.split(","))
+    found = [(c, types[c], rows, rows - n, *figures.get(c, none)) for c, n in zip(df.columns, filled)]
+    schema = f"column_name string, data_type string, row_count bigint, nulls bigint, {_FIGURES}"
+    return df.sparkSession.createDataFrame(found, schema)
 
 
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -1,9 +1,13 @@
 """Exact quantiles, and the two repairs built on them: outlier capping and median filling.
 
-A quantile needs one or two values at known ranks. They are found by narrowing: a mergeable
+A quantile needs one or two values at known ranks. One pass makes a KLL sketch of every column, whose
+rank error is stated, and takes a bracket of two values around each rank from it. A second pass counts
+all values against all brackets and gathers those inside, which decides the ranks exactly: two passes for any
+number of columns, as long as the values that the stated error leaves in the brackets are few enough to sort in
+one row. Beyond that, or where a sketch was worse than stated, the ranks that are left are found by narrowing: a mergeable
 sketch proposes two values around each rank, one counting pass decides exactly which piece
 holds the rank, and this repeats until all pieces of a call are small enough to sort together. No pass shuffles
-rows, and the exactness does not hang on the sketch, only the number of passes does.
+rows, and the exactness does not hang on any sketch, only the number of passes does.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from hirelake.functions.values import doubles, to_double
 
 SORT_LIMIT = 200_000
 SKETCH_ACCURACY = 10_000
+SKETCH_PARTS = 64  # sketches of many tasks are merged in so many places first
+_LARGEST_SKETCH = 16_384
 
 
 @dataclass(frozen=True)
@@ -120,36 +126,114 @@ def _between(low: float, high: float, t: float) -> float:
     return low + (high - low) * t if t < 0.5 else high - (high - low) * (1 - t)
 
 
-def exact_quantiles(
+def _rank_error(k: int) -> float:
+    """Share of the values by which a rank of a KLL sketch of size k is off, at 99 in 100."""
+    return 2.296 / k**0.9021
+
+
+def _sketches(df: DataFrame, cols: Sequence[str], qs: Sequence[float], k: int) -> dict[str, tuple[int, dict[float, tuple[float, float]]]]:
+    """Values of each column, and a bracket around each of its quantiles.
+
+    Each task sketches all columns. Where shuffles have more partitions than `SKETCH_PARTS`, sketches meet
+    in that many groups first, so no task merges those of all others.
+    """
+    names = [f"s{i}" for i in range(len(cols))]
+    sketches = [F.kll_sketch_agg_double(c, F.lit(k)).alias(n) for c, n in zip(cols, names)]
+    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    if setting.isdigit() and int(setting) > SKETCH_PARTS:
+        part = F.pmod(F.spark_partition_id(), F.lit(SKETCH_PARTS))
+        each = df.select(*cols, part.alias("_part")).groupBy("_part").agg(*sketches)
+        whole = each.agg(*[F.kll_merge_agg_double(n, F.lit(k)).alias(n) for n in names])
+    else:
+        whole = df.agg(*sketches)
+    shares = {q: (max(0.0, q - 2 * _rank_error(k)), min(1.0, q + 2 * _rank_error(k))) for q in qs}
+    at = F.array(*[F.lit(s) for q in qs for s in shares[q]])
+
+    def figures(n: str) -> list[Column]:
+        count = F.coalesce(F.kll_sketch_get_n_double(n), F.lit(0))
+        return [count.alias(f"n_{n}"), F.when(count > 0, F.kll_sketch_get_quantile_double(n, at)).alias(f"q_{n}")]
+
+    row = whole.select(*[f for n in names for f in figures(n)]).first()
+    found = {}
+    for c, count, values in zip(cols, row[::2], row[1::2]):
+        found[c] = count, dict(zip(qs, zip(values[::2], values[1::2]))) if count else {}
+    return found
+
+
+def _bracketed(df: DataFrame, brackets: dict[tuple[str, float], tuple[float, float]], extra: list[Column]) -> tuple[dict, list]:
+    """For each bracket a function from a rank to its value, None where the bracket misses it; and the row of `extra`."""
+    exprs = []
+    for (c, _), (low, high) in brackets.items():
+        value = F.col(c)
+        inner = F.sort_array(F.collect_list(F.when((value > low) & (value < high), value)))
+        exprs += [F.count_if(value < low), F.count_if(value <= low), F.count_if(value < high), F.count_if(value <= high), inner]
+    row = _one_row(df, [*extra, *exprs])
+    counted = row[len(extra) :]
+
+    def lookup(i: int, low: float, high: float):
+        below, upto, inside, through, values = counted[5 * i : 5 * i + 5]
+
+        def at(rank: int) -> float | None:
+            if not below <= rank < through:
+                return None
+            return low if rank < upto else high if rank >= inside else values[rank - upto]
+
+        return at
+
+    return {key: lookup(i, *pair) for i, (key, pair) in enumerate(brackets.items())}, row[: len(extra)]
+
+
+def quantiles_and(
     df: DataFrame,
     cols: Sequence[str],
     qs: Sequence[float],
+    extra: Sequence[Column] = (),
     sort_limit: int = SORT_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column; nulls and NaN are ignored, no values give None."""
-    cols = list(cols)
+) -> tuple[dict[str, list[float | None]], list]:
+    """Exact quantiles of columns of doubles, and the values of `extra` aggregates, which ride on the second pass."""
+    cols, extra, qs = list(cols), list(extra), list(qs)
     if not cols:
-        return {}
-    df = doubles(df, cols)
-    # The first pass needs no ranks yet: a quantile is itself the share to look around.
-    first = _one_row(df, [f for c in cols for f in (F.count(c), F.percentile_approx(c, _around(qs, accuracy), accuracy))])
-    counts = dict(zip(cols, first[::2]))
-    whole = {c: _Piece(c, None, None, 0, counts[c]) for c in cols}
-    known = {whole[c]: pivots for c, pivots in zip(cols, first[1::2]) if counts[c]}
+        return {}, _one_row(df, extra) if extra else []
+    k = max(8, min(accuracy, _LARGEST_SKETCH))
+    sketched = _sketches(df, cols, qs, k)
+    counts = {c: n for c, (n, _) in sketched.items()}
     position = {(c, q): q * (counts[c] - 1) for c in cols if counts[c] for q in qs}
-    wanted = {
-        (c, rank): whole[c] for (c, _), p in position.items() for rank in (math.floor(p), math.ceil(p))
-    }
-    at = _values_at_ranks(df, wanted, sort_limit, accuracy, known)
+    ranks = {key: {math.floor(p), math.ceil(p)} for key, p in position.items()}
+    brackets = {(c, q): sketched[c][1][q] for c, q in position}
+    inside = sum(4 * _rank_error(k) * counts[c] for c, _ in brackets)
+    found: dict[tuple[str, int], float] = {}
+    figures: list = []
+    if brackets and inside <= sort_limit:
+        lookups, figures = _bracketed(df, brackets, extra)
+        values = {(key[0], r): lookups[key](r) for key in ranks for r in ranks[key]}
+        found = {target: v for target, v in values.items() if v is not None}
+    elif extra:
+        figures = _one_row(df, extra)
+    whole = {c: _Piece(c, None, None, 0, counts[c]) for c in cols}
+    left = {(c, r): whole[c] for (c, _), own in ranks.items() for r in own if (c, r) not in found}
+    if left:
+        known = {whole[c]: [v for q in qs for v in sketched[c][1][q]] for c in {c for c, _ in left}}
+        found |= _values_at_ranks(df, left, sort_limit, accuracy, known)
 
     def quantile(c: str, q: float) -> float | None:
         if not counts[c]:
             return None
         p = position[c, q]
-        return _between(at[c, math.floor(p)], at[c, math.ceil(p)], p - math.floor(p))
+        return _between(found[c, math.floor(p)], found[c, math.ceil(p)], p - math.floor(p))
+
+    return {c: [quantile(c, q) for q in qs] for c in cols}, figures
 
-    return {c: [quantile(c, q) for q in qs] for c in cols}
+
+def exact_quantiles(
+    df: DataFrame,
+    cols: Sequence[str],
+    qs: Sequence[float],
+    sort_limit: int = SORT_LIMIT,
+    accuracy: int = SKETCH_ACCURACY,
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles per column; nulls and NaN are ignored, no values give None."""
+    return quantiles_and(doubles(df, cols), cols, qs, (), sort_limit, accuracy)[0]
 
 
 def quantiles_exact(df: DataFrame, col: str, qs: Sequence[float] = (0.25, 0.75)) -> DataFrame:
