@@ -44,7 +44,9 @@ def sequential_id(df: DataFrame, order_by: Sequence[str], names: Sequence[str] =
 
     In file order a row is numbered by its place in its file split plus the rows of all earlier
     splits, without moving any row. For any other order the rows are range-partitioned, sorted
-    and staged, and the sorted blocks take the role of the splits.
+    and staged, and the sorted blocks take the role of the splits. Rows that are equal in `order_by` are
+    ordered by a hash of the whole row, then by the input partition they come from, so that many of
+    them span several blocks, be they equal in every column or not.
     """
     if list(order_by) == [SEQ] and isinstance(df.schema[SEQ].dataType, StructType):
         runs, count, whole = _file_runs(df)
@@ -52,9 +54,14 @@ def sequential_id(df: DataFrame, order_by: Sequence[str], names: Sequence[str] =
             keys = {"file": "_seq.file", "block": "_seq.block"}
             return _numbered(df, runs, keys, "_seq.row", names, broadcast=count <= BROADCAST_ROWS)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    content = [c for c, t in df.dtypes if "map<" not in t]
+    # A partition id stays the same when a lost task runs again, as do the rows of its partition.
+    told = df.withColumns({"_tie": F.xxhash64(*content), "_from": F.spark_partition_id()})
+    whole_order = [*order_by, "_tie", "_from"]
     placed = (
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
+        told.repartitionByRange(*whole_order)
+        .sortWithinPartitions(*whole_order)
+        .drop("_tie", "_from")
         .withColumns({"_block": F.spark_partition_id(), "_place": place})
     )
     staged = stage(placed, "numbered")
