@@ -12,14 +12,14 @@ RAW_TABLES = (
 )
 CLEANED_TABLES = ("jobs", "salaries", "benefits", "employee_counts", "industries", "companies")
 MODEL_TABLES = ("dim_company", "dim_location", "dim_time", "fact_jobs")
-RAW_KEYS = {
-    "jobs": "job_id",
-    "salaries": "job_id",
-    "benefits": "job_id",
-    "employee_counts": "company_id",
-    "industries": "company_id",
-    "skills_industries": "skill_abr",
-    "companies": "company_id",
+RAW_INDEXES = {
+    "jobs": ("job_id", "original_listed_time"),
+    "salaries": ("job_id",),
+    "benefits": ("job_id",),
+    "employee_counts": ("company_id",),
+    "industries": ("company_id",),
+    "skills_industries": ("skill_abr",),
+    "companies": ("company_id",),
 }
 LAYERS = ("raw", "cleaned", "dimensional_model")
 

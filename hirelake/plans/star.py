@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -224,24 +225,38 @@ def fact_jobs(
     return fact.withColumns({c: f(c) for c, f in finals.items() if c in fact.columns})
 
 
-def star_rollup(fact: DataFrame, dim_company: DataFrame, dim_time: DataFrame) -> DataFrame:
-    """Jobs, views and mean non-zero salary by year, month, industry and country.
+_PART_KEYS = ("company_key", "time_key")
 
-    The fact is first reduced to one row per company and day, so the joins see no large group.
-    Salaries are summed as decimals of six places, which makes the mean independent of the order
-    of rows; a salary beyond 10^22 counts as unknown.
+
+def rollup_parts(fact: DataFrame) -> DataFrame:
+    """What the rollup needs of some rows of the fact: jobs, views, salaries and paid jobs per company and day.
+
+    These are counts and sums only, so the parts of several loads can be added up. Salaries are summed as
+    decimals of six places, which makes the sum independent of the order of rows and loads; a salary
+    beyond 10^22 counts as unknown.
     """
     paid = F.col("normalized_salary") != 0
-    per_day = fact.groupBy("company_key", "time_key").agg(
+    return fact.groupBy(*_PART_KEYS).agg(
         F.count(F.lit(1)).alias("jobs"),
         F.sum("views").alias("views"),
         F.sum(F.when(paid, F.col("normalized_salary").try_cast("decimal(28,6)"))).alias("salaries"),
         F.count_if(paid).alias("paid_jobs"),
     )
+
+
+def add_parts(*parts: DataFrame) -> DataFrame:
+    """The parts of all rows together, from those of disjoint rows."""
+    sums = [F.sum(c).alias(c) for c in ("jobs", "views", "salaries", "paid_jobs")]
+    added = reduce(DataFrame.unionByName, parts).groupBy(*_PART_KEYS).agg(*sums)
+    return added.withColumn("salaries", F.col("salaries").cast("decimal(38,6)"))
+
+
+def rollup_of_parts(parts: DataFrame, dim_company: DataFrame, dim_time: DataFrame) -> DataFrame:
+    """The rollup from parts, by the dimensions as they are now."""
     order = ["industry", "country"]
     companies = dedupe(dim_company.select("company_key", *order), ["company_key"], order)
     days = dim_time.select("time_key", "year", "month")
-    joined = left_join_default(per_day, companies, ["company_key"], null_safe=False)
+    joined = left_join_default(parts, companies, ["company_key"], null_safe=False)
     joined = left_join_default(joined, days, ["time_key"], null_safe=False)
     paid_jobs = F.sum("paid_jobs")
     mean = F.sum("salaries").cast("double") / F.nullif(paid_jobs, F.lit(0))
@@ -251,3 +266,11 @@ def star_rollup(fact: DataFrame, dim_company: DataFrame, dim_time: DataFrame) ->
         paid_jobs.alias("paid_jobs"),
         mean.alias("avg_salary"),
     )
+
+
+def star_rollup(fact: DataFrame, dim_company: DataFrame, dim_time: DataFrame) -> DataFrame:
+    """Jobs, views and mean non-zero salary by year, month, industry and country.
+
+    The fact is first reduced to one row per company and day, so the joins see no large group.
+    """
+    return rollup_of_parts(rollup_parts(fact), dim_company, dim_time)

@@ -13,6 +13,7 @@ from hirelake.plans import cleaning, load, star
 from hirelake.queries.bindings import BENEFITS_ORDER, CLEANED_SALARIES_ORDER, Views
 from hirelake.queries.oracle import REPAIRED_JOB, UNIFIED, capped
 from hirelake.queries.registry import query
+from hirelake.queries.stored import fresh_layer
 from hirelake.session import fresh_path
 from hirelake.sources import layers
 from hirelake.sources.staging import stage
@@ -178,16 +179,32 @@ def fact_jobs(v):
     return _star(v)[0]
 
 
-@query("""SELECT t.year, t.month, d.industry, d.country, count(*) AS jobs, CAST(sum(f.views) AS BIGINT) AS views,
+_ROLLUP = """SELECT t.year, t.month, d.industry, d.country, count(*) AS jobs, CAST(sum(f.views) AS BIGINT) AS views,
  count(*) FILTER (normalized_salary <> 0) AS paid_jobs,
  CAST(sum(CAST(normalized_salary AS DECIMAL(28, 6))) FILTER (normalized_salary <> 0) AS DOUBLE)
   / nullif(count(*) FILTER (normalized_salary <> 0), 0) AS avg_salary
  FROM f_jobs f LEFT JOIN d_company d ON f.company_key = d.company_key LEFT JOIN d_time t ON f.time_key = t.time_key
- GROUP BY ALL""")
+ GROUP BY ALL"""
+
+
+@query(_ROLLUP)
 def star_rollup(v):
     return star.star_rollup(*_star(v))
 
 
+@query(_ROLLUP)
+def star_rollup_added(v):
+    """The same from stored parts of the fact's rows, added up one load after another."""
+    fact, company, time = _star(v)
+    layer = fresh_layer(v, "model")
+    for third in range(3):
+        parts = star.rollup_parts(fact.filter(F.pmod(F.xxhash64("job_id"), F.lit(3)) == third))
+        if third:
+            parts = star.add_parts(layers.scan_table(v.spark, layer, "rollup_parts"), parts)
+        layers.replace_table(parts, layer, "rollup_parts")
+    return star.rollup_of_parts(layers.scan_table(v.spark, layer, "rollup_parts"), company, time)
+
+
 # Every column of the four star tables, put into rows of one shape.
 _CONTENTS = """SELECT 'fact_jobs' AS table_name, job_id AS id, company_key AS key_1, location_key AS key_2,
  time_key AS key_3, title || '|' || currency || '|' || pay_period AS label, CAST(views AS DOUBLE) AS number_1,

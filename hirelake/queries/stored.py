@@ -101,15 +101,21 @@ def rowcount_validate(v):
     return v.spark.createDataFrame(rows, "table_name string, row_count bigint")
 
 
-@query("""SELECT 'run_1' AS run_id, 'companies' AS table_name, count(*) AS row_count, true AS has_copy FROM v_companies
-UNION ALL SELECT 'run_1', 'benefits', count(*), false FROM v_benefits""")
+_MANIFEST = """SELECT '{run}' AS run_id, 'companies' AS table_name, count(*) AS row_count, true AS has_copy FROM v_companies
+UNION ALL SELECT '{run}', 'benefits', count(*), false FROM v_benefits"""
+
+
+@query(" UNION ALL ".join(_MANIFEST.format(run=run) for run in ("run_1", "run_2")))
 def run_manifest(v):
+    """The recorded manifests of two runs."""
     layer = fresh_layer(v, "cleaned")
-    counts = {name: layers.replace_table(getattr(v, name), layer, name) for name in ("companies", "benefits")}
-    stored = {"companies": layers.scan_table(v.spark, layer, "companies")}
-    paths = layers.write_parquet_run(stored, fresh_path(v.spark, "runs"), "run_1")
-    manifest = layers.run_manifest(v.spark, "run_1", counts, paths)
-    return manifest.select("run_id", "table_name", "row_count", F.col("path").isNotNull().alias("has_copy"))
+    for run in ("run_1", "run_2"):
+        counts = {name: layers.replace_table(getattr(v, name), layer, name) for name in ("companies", "benefits")}
+        stored = {"companies": layers.scan_table(v.spark, layer, "companies")}
+        paths = layers.write_parquet_run(stored, fresh_path(v.spark, "runs"), run)
+        layers.record_run(layers.run_manifest(v.spark, run, counts, paths), layer)
+    runs = layers.run_history(v.spark, layer)
+    return runs.select("run_id", "table_name", "row_count", F.col("path").isNotNull().alias("has_copy"))
 
 
 _STORED_COUNTS = """SELECT 'companies' AS table_name, count(*) AS row_count FROM v_companies
@@ -127,8 +133,33 @@ def list_tables(v):
     return v.spark.createDataFrame(counts, "table_name string, row_count bigint")
 
 
-@query("SELECT * FROM v_salaries")
+_RANGES = {"job_id": (1000, 1100), "l_partkey": (20, 25)}
+
+
+@query("\nUNION ALL ".join(
+    f"SELECT '{key}' AS index_key, (SELECT count(*) FROM v_salaries) AS row_count, count(*) AS rows_found, true AS few_files "
+    f"FROM v_salaries WHERE {key} BETWEEN {low} AND {high}"
+    for key, (low, high) in _RANGES.items()
+))
 def layout_by_key(v):
+    """Clustered by two keys; for a filter on each, the rows found and whether it reads at most half of the files."""
     layer = fresh_layer(v)
-    layers.replace_table(layers.layout_by_key(v.salaries, ["job_id"], 8), layer, "salaries")
-    return layers.scan_table(v.spark, layer, "salaries")
+    layers.replace_table(layers.layout_by_key(v.salaries, list(_RANGES), 16), layer, "salaries")
+    table = layers.scan_table(v.spark, layer, "salaries")
+    found = []
+    for key, (low, high) in _RANGES.items():
+        files, of = layers.files_read(table, key, F.lit(low), F.lit(high)).first()
+        rows = table.filter(F.col(key).between(low, high)).count()
+        found.append((key, table.count(), rows, 2 * files <= of))
+    return v.spark.createDataFrame(found, "index_key string, row_count bigint, rows_found bigint, few_files boolean")
+
+
+@query("""SELECT 2 AS version, 'companies' AS table_name, count(*) AS row_count FROM v_companies
+UNION ALL SELECT 1, 'companies', count(*) FROM v_companies WHERE company_id > 100
+UNION ALL SELECT 1, 'salaries', count(*) FROM v_salaries""")
+def table_history(v):
+    """The log of a layer after a commit of two tables and a replacement of one."""
+    layer = fresh_layer(v)
+    layers.replace_tables({"companies": v.companies.filter("company_id > 100"), "salaries": v.salaries}, layer)
+    layers.replace_table(v.companies, layer, "companies")
+    return layers.history(v.spark, layer).select(F.col("version").cast("int").alias("version"), "table_name", "row_count")

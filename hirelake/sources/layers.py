@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
+from functools import reduce
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.fixed_values import CLEANED_TABLES, RAW_TABLES
+from hirelake.sources.folders import replace_folder
+from hirelake.sources.versions import Commit, history, location, vacuum, validated
 
-_FOLDER = "hirelake.folder"
+__all__ = ["Commit", "history", "vacuum"]  # also reached from here
+RUNS = "run_history"
+RUN_COLUMNS = "run_id string, table_name string, row_count bigint, path string, recorded_at timestamp"
 Item, Result = TypeVar("Item"), TypeVar("Result")
 
 
@@ -46,47 +50,26 @@ def scan_table(spark: SparkSession, namespace: str, table: str) -> DataFrame:
 def replace_table(df: DataFrame, namespace: str, table: str, skip_empty: bool = True) -> int:
     """Write `df` as the new content of a table and return its row count.
 
-    The rows go to a folder of their own, and the catalog's entry, a view of that folder, is
-    replaced in one step once it is complete, whether the columns changed or not. So there is no
-    moment without a table, a failed write leaves the old one, and `df` may read the table it
-    replaces. With `skip_empty` an empty result leaves the older table in place. Superseded
+    The rows go to a folder of their own, are counted while they are written, and become the table's
+    content by one commit to the layer's log (see `versions`), whether the columns changed or not. So
+    there is no moment without a table, a failed write leaves the old one, and `df` may read the table
+    it replaces. With `skip_empty` an empty result leaves the older table in place. Superseded
     folders stay readable for running queries until `vacuum`.
     """
-    spark = df.sparkSession
-    target = f"{namespace}.{table.lower()}"
-    folder = f"{_table_folder(spark, namespace, table)}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    rows = spark.read.schema(df.schema).parquet(folder).count()
-    if rows == 0 and skip_empty:
-        _remove(spark, folder)
-        return 0
-    spark.sql(f"CREATE OR REPLACE VIEW {target} TBLPROPERTIES ('{_FOLDER}' = '{folder}') AS SELECT * FROM parquet.`{folder}`")
-    return rows
+    with Commit(df.sparkSession, namespace) as commit:
+        return commit.store(df, table, skip_empty)
 
 
-def _table_folder(spark: SparkSession, namespace: str, table: str) -> str:
-    return f"{spark.catalog.getDatabase(namespace).locationUri.rstrip('/')}/{table.lower()}"
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def vacuum(spark: SparkSession, namespace: str, table: str) -> list[str]:
-    """Remove the folders of a table's earlier contents; call it when nothing reads them any more."""
-    properties = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {namespace}.{table.lower()}").collect()}
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_table_folder(spark, namespace, table))
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    current = properties[_FOLDER].rsplit("/", 1)[-1]
-    old = [status.getPath().toString() for status in found if status.getPath().getName() != current]
-    for folder in old:
-        _remove(spark, folder)
-    return old
+def replace_tables(tables: Mapping[str, DataFrame], namespace: str, skip_empty: bool = True) -> dict[str, int]:
+    """Replace several tables side by side, all of them by one commit or, if one fails, none."""
+    if not tables:
+        return {}
+    with Commit(next(iter(tables.values())).sparkSession, namespace) as commit:
+        return side_by_side(tables, lambda name, df: commit.store(df, name, skip_empty))
 
 
 def load_raw_replace(tables: Mapping[str, DataFrame], namespace: str) -> dict[str, int]:
-    return side_by_side(tables, lambda name, df: replace_table(df, namespace, name, skip_empty=False))
+    return replace_tables(tables, namespace, skip_empty=False)
 
 
 def _write_nonempty(
@@ -102,28 +85,26 @@ def _write_nonempty(
 
 
 def write_parquet_run(tables: Mapping[str, DataFrame], base: str, run_id: str) -> dict[str, str]:
-    """Each non-empty table to `<base>/<run_id>/<table>_cleaned.parquet`."""
+    """Each non-empty table to `<base>/<run_id>/<table>_cleaned.parquet`; a rerun that fails leaves the earlier copy."""
     return _write_nonempty(
         tables,
         lambda name: f"{base}/{run_id}/{name}_cleaned.parquet",
-        lambda df, path: df.write.mode("overwrite").parquet(path),
+        lambda df, path: replace_folder(df, path, lambda rows, aside: rows.write.parquet(aside)),
     )
 
 
 def write_csv_backup(tables: Mapping[str, DataFrame], directory: str) -> dict[str, str]:
-    """Each non-empty table to the folder `<directory>/<table>.csv`, with a header."""
-    return _write_nonempty(
-        tables,
-        lambda name: f"{directory}/{name}.csv",
-        lambda df, path: df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path),
-    )
+    """Each non-empty table to the folder `<directory>/<table>.csv`, with a header; a write that fails leaves the earlier copy."""
+
+    def write(df: DataFrame, path: str) -> None:
+        options = {"header": True, "quote": '"', "escape": '"'}
+        replace_folder(df, path, lambda rows, aside: rows.write.options(**options).csv(aside))
+
+    return _write_nonempty(tables, lambda name: f"{directory}/{name}.csv", write)
 
 
 def rowcount_validate(spark: SparkSession, namespace: str, table: str, expected: int) -> int:
-    rows = scan_table(spark, namespace, table).count()
-    if rows != expected:
-        raise ValueError(f"{namespace}.{table} has {rows} rows instead of {expected}")
-    return rows
+    return validated(scan_table(spark, namespace, table), expected, f"{namespace}.{table}")
 
 
 def run_manifest(
@@ -134,18 +115,85 @@ def run_manifest(
     return spark.createDataFrame(rows, "run_id string, table_name string, row_count bigint, path string")
 
 
+def record_run(manifest: DataFrame, namespace: str) -> None:
+    """Append a manifest to the layer's table of runs, with the time; runs before it stay as they are."""
+    spark = manifest.sparkSession
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {namespace}.{RUNS} ({RUN_COLUMNS}) USING parquet LOCATION '{location(spark, namespace)}/{RUNS}'")
+    rows = manifest.withColumn("recorded_at", F.current_timestamp())
+    rows.coalesce(1).write.insertInto(f"{namespace}.{RUNS}")
+
+
+def run_history(spark: SparkSession, namespace: str) -> DataFrame:
+    """All recorded manifests: run_id, table_name, row_count, path, recorded_at."""
+    if not table_exists(spark, namespace, RUNS):
+        return spark.createDataFrame([], RUN_COLUMNS)
+    return scan_table(spark, namespace, RUNS)
+
+
 def list_tables(spark: SparkSession, namespace: str) -> DataFrame:
     names = sorted(t.name for t in spark.catalog.listTables(namespace))
     return spark.createDataFrame([(namespace, n) for n in names], "namespace string, table_name string")
 
 
+def _rank_bits(df: DataFrame, keys: Sequence[str], bits: int) -> list[Column]:
+    """For each key the place of a value among 2^bits parts of about equal size; null is in the first."""
+    kinds = {c: t for c, t in df.dtypes}
+
+    def number(c: str) -> Column:
+        if kinds[c] == "string":  # the first bytes tell the order
+            return F.conv(F.rpad(F.substring(F.hex(c), 1, 14), 14, "0"), 16, 10).cast("double")
+        if kinds[c] == "date":
+            return F.unix_date(c).cast("double")
+        if kinds[c].startswith("timestamp"):
+            return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+        return F.col(c).cast("double")
+
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    borders = df.agg(*[F.percentile_approx(number(k), shares, 100 << bits).alias(f"b{i}") for i, k in enumerate(keys)]).first()
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
+
+    def place(value: Column, own: list[float] | None) -> Column:
+        limits = F.array(*[F.lit(x) for x in own or [0.0] * len(shares)])
+        return F.coalesce(
+            F.aggregate(steps, F.lit(0), lambda at, step: F.when(value >= F.element_at(limits, at + step), at + step).otherwise(at)), F.lit(0)
+        )
+
+    return [place(number(k), own) for k, own in zip(keys, borders)]
+
+
 def layout_by_key(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
-    """Range-cluster rows by `keys`, so that file statistics let later filters on them skip files.
+    """Cluster rows by `keys`, so that file statistics let later filters on any of them skip files.
 
-    The row hash behind the keys lets a key with very many rows span several partitions.
+    One key is clustered by range. Several are by interleaved bits: the parts of about equal size that a
+    row's values lie in, 2^b of each key, are numbered, and the bits of these numbers alternate in the
+    value that rows are ranged by. So with k keys a filter on a narrow range of one of them meets about
+    one in buckets^(1/k) of the files, whichever key it is. The row hash behind the keys lets equal
+    rows and keys with very many rows span several partitions.
     """
     spread = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
-    return df.repartitionByRange(buckets, *keys, spread).sortWithinPartitions(*keys)
+    if len(keys) == 1:
+        return df.repartitionByRange(buckets, *keys, spread).sortWithinPartitions(*keys)
+    bits = min(8, max(2, buckets.bit_length()))
+    places = {f"_place_{i}": p for i, p in enumerate(_rank_bits(df, keys, bits))}
+    turns = [
+        F.shiftleft(F.shiftright(name, b).bitwiseAND(F.lit(1)).cast("bigint"), b * len(keys) + len(keys) - 1 - i)
+        for b in range(bits)
+        for i, name in enumerate(places)
+    ]
+    placed = df.withColumns(places).withColumn("_interleaved", reduce(Column.__add__, turns)).drop(*places)
+    return placed.repartitionByRange(buckets, "_interleaved", spread).sortWithinPartitions("_interleaved", *keys).drop("_interleaved")
+
+
+def file_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per file of a stored table: its rows, and the least and largest value of each key, as its statistics have them."""
+    limits = [f(k).alias(f"{name}_{k}") for k in keys for f, name in ((F.min, "min"), (F.max, "max"))]
+    return df.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), *limits)
+
+
+def files_read(df: DataFrame, key: str, low, high) -> DataFrame:
+    """How many files a filter of `key` between two values has to read, of how many."""
+    met = (F.col(f"max_{key}") >= low) & (F.col(f"min_{key}") <= high)
+    return file_ranges(df, [key]).agg(F.count_if(met).alias("files"), F.count(F.lit(1)).alias("of"))
 
 
 # Gates: is there anything to do?

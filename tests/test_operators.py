@@ -279,3 +279,58 @@ def test_describe_agrees_with_numpy(spark):
 def test_profile_counts_nan_as_null(spark):
     row = profile.profile_table(doubles(spark, [1.0, float("nan"), None])).first()
     assert (row.row_count, row.nulls, row["mean"]) == (3, 2, 1.0)
+
+
+def test_two_passes_describe_any_number_of_columns(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(20_000, 12)).round(3)
+    df = spark.createDataFrame(values.tolist(), ", ".join(f"c{i} double" for i in range(12)))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("two-passes", "describe")
+    found = {r.column_name: r for r in profile.describe(df).collect()}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # A sketch, its merge, the bracketed counts and the rows of the result.
+    assert len(tracker.getJobIdsForGroup("two-passes")) <= 5
+    for i in range(12):
+        row = found[f"c{i}"]
+        assert [row.q25, row.median, row.q75] == [float(np.quantile(values[:, i], q)) for q in (0.25, 0.5, 0.75)]
+        assert row.mean == pytest.approx(values[:, i].mean()) and row["max"] == values[:, i].max()
+
+
+def test_sketches_meet_in_groups_on_larger_clusters(spark):
+    values = [float(v) for v in np.random.default_rng(5).integers(0, 900, 5000)]
+    df = doubles(spark, values).repartition(9)
+    spark.conf.set("spark.sql.shuffle.partitions", "65")
+    try:
+        found = quantiles.exact_quantiles(df, ["x"], (0.0, 0.3, 1.0), accuracy=50)["x"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found == [float(np.quantile(values, q)) for q in (0.0, 0.3, 1.0)]
+
+
+def test_ranks_that_a_bracket_misses_are_found(spark, monkeypatch):
+    values = [float(v) for v in np.random.default_rng(4).integers(0, 5000, 8000)]
+    df = doubles(spark, values)
+    monkeypatch.setattr(quantiles, "_sketches", lambda df, cols, qs, k: {c: (8000, {q: (1.0, 2.0) for q in qs}) for c in cols})
+    found = quantiles.exact_quantiles(df, ["x"], (0.1, 0.5))["x"]
+    assert found == [float(np.quantile(values, q)) for q in (0.1, 0.5)]
+
+
+@pytest.mark.parametrize("equal", ["in the order columns", "in all columns"])
+def test_a_third_of_equal_rows_spans_several_blocks(spark, equal, monkeypatch):
+    other = F.lit(0) if equal == "in all columns" else F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(0)
+    df = spark.range(0, 24_000, 1, 8).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), other.alias("v"))
+    sizes, real = [], ordering.stage
+
+    def watched(rows, label):
+        staged = real(rows, label)
+        sizes.extend(r["count"] for r in staged.groupBy("_block").count().collect())
+        return staged
+
+    monkeypatch.setattr(ordering, "stage", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    numbered = ordering.sequential_id(df, ["k"], ["n"]).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.n for r in numbered) == list(range(1, 24_001))
+    assert [r.k for r in sorted(numbered, key=lambda r: r.n)] == sorted(r.k for r in numbered)
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]

@@ -235,6 +235,47 @@ def test_second_run_skips_loading_and_gives_equal_tables(spark, tmp_path, csv_mo
     assert "jobs" in forced and {t: stored(spark, names, t) for t in MODEL_TABLES} == tables
 
 
+def test_a_failure_between_two_star_tables_leaves_all_four(spark, tmp_path, monkeypatch):
+    raw = {name: df.drop("_seq") for name, df in Views(spark, FOLDER).raw().items()}
+    names = load.Layers.with_suffix(uuid.uuid4().hex[:8])
+    paths = layers.write_csv_backup(raw, str(tmp_path / "source"))
+
+    def run(run_id, **kwargs):
+        return load.run_pipeline(spark, paths, str(tmp_path / "wh"), run_id, names=names, copies=False, **kwargs)
+
+    run("r1")
+    tables = {t: stored(spark, names, t) for t in MODEL_TABLES}
+    fewer = raw["companies"].filter("company_id > 20")
+    paths |= layers.write_csv_backup({"companies": fewer}, str(tmp_path / "fewer"))
+
+    def broken(*_):
+        raise RuntimeError("no fact")
+
+    monkeypatch.setattr(star, "fact_jobs", broken)
+    with pytest.raises(RuntimeError, match="no fact"):
+        run("r2", force=True)
+    assert {t: stored(spark, names, t) for t in MODEL_TABLES} == tables
+    monkeypatch.undo()
+    run("r3", force=True, skills=True, keep=0)
+    assert all(stored(spark, names, t) != tables[t] for t in ("dim_company", "fact_jobs"))
+    assert layers.scan_table(spark, names.cleaned, "skills_industries").count() == raw["skills_industries"].count()
+    runs = layers.run_history(spark, names.model)
+    assert {r.run_id for r in runs.collect()} == {"r1", "r3"}
+    assert len(list((tmp_path / "wh" / names.model / "fact_jobs").iterdir())) == 1
+    assert layers.history(spark, names.model).select("version").distinct().count() == 2
+
+
+def test_added_parts_make_the_rollup_of_all_rows(spark, rows):
+    views = Views(spark, FOLDER)
+    companies = star.dim_company(cleaning.clean_companies(views.companies), views.employee_counts)
+    jobs = cleaning.clean_jobs(views.jobs, ["job_id"])
+    days = star.dim_time(jobs)
+    whole = star.fact_jobs(jobs, companies, star.dim_location(companies), days)
+    parts = [star.rollup_parts(whole.filter(F.pmod(F.col("job_id"), F.lit(3)) == i)) for i in range(3)]
+    added = star.add_parts(star.add_parts(parts[0], parts[1]), parts[2])
+    assert rows(star.rollup_of_parts(added, companies, days)) == rows(star.star_rollup(whole, companies, days))
+
+
 def test_a_forced_load_of_an_empty_table_leaves_no_old_rows(spark, tmp_path):
     raw = {name: df.drop("_seq") for name, df in Views(spark, FOLDER).raw().items()}
     paths = layers.write_csv_backup(raw, str(tmp_path / "source"))
