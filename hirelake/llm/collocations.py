@@ -39,8 +39,8 @@ SHARDS = 8
 FILTER_BITS = 1 << 26
 TOP = 2000
 SCALE = 2_000_000
-SLICE_BYTES = 2_000_000
-COUNTED_AT_ONCE = 2_000_000  # phrases
+SLICE_BYTES = 1_000_000
+COUNTED_AT_ONCE = 1_000_000  # phrases
 BROADCAST_CELLS = 100_000
 TOP_PARTS = 16
 BLOCKS_A_PARTITION = 2

@@ -53,10 +53,8 @@ def digested(conversations: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(1), role, text).alias("t1"),
         F.xxhash64(F.lit(2), text, role).alias("t2"),
         F.octet_length(text).cast("bigint").alias("n_bytes"),
-        F.monotonically_increasing_id().alias("row"),
     ).filter("conv_id IS NOT NULL")
-    # The row breaks ties of rows that are equal in everything, so that the sort can part them too.
-    numbered = stage(sequential_id(rows, ["conv_id", "turn", "t1", "t2", "row"], ["number"]), "trie-turns")
+    numbered = stage(sequential_id(rows, ["conv_id", "turn", "t1", "t2"], ["number"]), "trie-turns")
     first = numbered.groupBy("conv_id").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("of"))
     heavy = heavy_keys(numbered, {"conv": ["conv_id"]})["conv"]
     placed = left_join_default(numbered, first, ["conv_id"], heavy=heavy, salt_by=["number"])
@@ -104,19 +102,26 @@ def _ends(prefixes: DataFrame, turnless: DataFrame) -> DataFrame:
     """
 
     def runs(batches):
-        key, first, ids = None, None, []
+        key, first, ids, made, size = None, None, [], [], 0
 
         def joined():
-            return pa.RecordBatch.from_pylist([{"k1": key[0], "k2": key[1], "first": first, "ids": ",".join(ids)}])
+            rows = list(zip(*made))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], [*_ID, "first", "ids"])
 
         for batch in batches:
             for k1, k2, conv in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if (k1, k2) != key or len(ids) == IDS_AT_ONCE:
                     if ids:
+                        made.append((*key, first, ",".join(ids)))
+                        size += len(ids)
+                    if size >= IDS_AT_ONCE:
                         yield joined()
+                        made, size = [], 0
                     key, first, ids = (k1, k2), conv, []
                 ids.append(str(conv))
         if ids:
+            made.append((*key, first, ",".join(ids)))
+        if made:
             yield joined()
 
     def hashes(batches):
