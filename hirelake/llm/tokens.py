@@ -31,6 +31,13 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def id_bound(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values(), default=0) + 1
+
+
 def encoder(path: str, remember: int = REMEMBER) -> "Encoder":
     """The encoder of a file, one per Python worker. A remembered piece takes about 200 bytes."""
     if (path, remember) not in _encoders:

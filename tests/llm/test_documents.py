@@ -125,6 +125,7 @@ def test_spans_of_mixed_text(spark, make_docs):
 
 
 def backoff(docs, alpha, least):
+    """(doc_id, tokens, bigrams backed off from, score) by counts of all other documents."""
     tokens = [(d, brute.ids(t)) for d, t in docs]
     one, two = Counter(), Counter()
     for _, own in tokens:
@@ -132,43 +133,71 @@ def backoff(docs, alpha, least):
         two.update(zip(own, own[1:]))
     total, out = sum(one.values()), []
     for d, own in tokens:
-        s = 0.0
+        held, pairs = Counter(own), Counter(zip(own, own[1:]))
+        rest, s, off = max(total - len(own), 1), 0.0, 0
         for i, w in enumerate(own):
+            alone = max(one[w] - held[w], alpha) / rest
+            left = two[own[i - 1], w] - pairs[own[i - 1], w] if i else 0
             if i == 0:
-                s += math.log10(one[w] / total)
-            elif two[own[i - 1], w] >= least:
-                s += math.log10(two[own[i - 1], w] / one[own[i - 1]])
+                s += math.log10(alone)
+            elif left >= least:
+                s += math.log10(left / (one[own[i - 1]] - held[own[i - 1]]))
             else:
-                s += math.log10(alpha * one[w] / total)
-        out.append((d, len(own), s))
+                s += math.log10(alpha * alone)
+                off += 1
+        out.append((d, len(own), off, s))
     return out
 
 
 def close(rows, expected):
-    key = lambda x: (x[0] is not None, x[0] or 0, x[1], x[2])
-    found = sorted(((r["doc_id"], r["n_tokens"], r["log10_score"]) for r in rows), key=key)
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1], x[3])
+    found = sorted(((r["doc_id"], r["n_tokens"], r["n_unseen"], r["log10_score"]) for r in rows), key=key)
     assert len(found) == len(expected)
     for a, b in zip(found, sorted(expected, key=key)):
-        assert a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=2e-6, rel_tol=1e-9)
+        assert a[:3] == b[:3] and math.isclose(a[3], b[3], abs_tol=2e-6, rel_tol=1e-9)
 
 
 def test_scores_of_the_whole_table(spark, documents):
-    close(op10_stupid_backoff(spark, SF).collect(), backoff(documents, 0.4, 2))
+    close(op10_stupid_backoff(spark, SF).collect(), backoff(documents, 0.4, 1))
+
+
+@pytest.mark.parametrize("share", [1, 64])
+def test_rare_bigrams_of_the_whole_table_are_joined(spark, documents, share):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    close(lm_scoring.score(table, PATH, share=share).collect(), backoff(documents, 0.4, 1))
 
 
 @pytest.mark.parametrize("share", [1, 8, 1 << 20])
-def test_scores_do_not_depend_on_the_frequent_share(make_docs, share):
-    docs = [(1, None), (2, ""), (3, "a b a b a c"), (3, "a b a b a c"), (None, "z"), (5, "a b " * 9000)]
-    rows = lm_scoring.score(make_docs(docs), PATH, 0.3, 3, share).collect()
-    close(rows, backoff(docs, 0.3, 3))
+@pytest.mark.parametrize("least", [1, 3])
+def test_scores_do_not_depend_on_the_frequent_share(make_docs, share, least):
+    docs = [(1, None), (2, ""), (3, "a b a b a c"), (3, "a b a b a c"), (None, "z"), (5, "a b " * 9000), (6, "a b c a")]
+    rows = lm_scoring.score(make_docs(docs), PATH, 0.3, least, share).collect()
+    close(rows, backoff(docs, 0.3, least))
     assert [r["log10_per_token"] for r in rows if r["doc_id"] == 1] == [None]
     assert lm_scoring.score(make_docs([]), PATH).count() == 0
 
 
-def test_bigrams_that_occur_once_are_scored_by_their_count(spark, make_docs, documents):
-    close(op10_stupid_backoff(spark, SF).collect(), backoff(documents, 0.4, 1))
-    docs = [(1, "a b"), (2, "b a"), (3, "a c a b")]
-    close(lm_scoring.score(make_docs(docs), PATH).collect(), backoff(docs, 0.4, 1))
+@pytest.mark.parametrize("share", [1, 1 << 20])
+def test_alpha_changes_scores_of_bigrams_that_no_other_document_holds(make_docs, share):
+    docs = [(1, "the cat sat on the mat"), (2, "the dog sat on the cat"), (3, "sat the mat on dog cat"), (4, "the cat")]
+    low, high = ({r["doc_id"]: r for r in lm_scoring.score(make_docs(docs), PATH, a, share=share).collect()} for a in (0.1, 0.4))
+    for d, row in high.items():
+        unseen = row["n_unseen"]
+        gain = row["log10_score"] - low[d]["log10_score"]
+        assert (unseen == 0) == (d == 4) and gain >= unseen * math.log10(4) - 1e-5
+
+
+def test_a_text_that_occurs_twice_backs_off_nowhere(make_docs):
+    docs = [(1, "one strange text of its own"), (2, "one strange text of its own"), (3, "another very odd piece of prose")]
+    found = {r["doc_id"]: r for r in lm_scoring.score(make_docs(docs), PATH).collect()}
+    assert found[1]["n_unseen"] == found[2]["n_unseen"] == 0 and found[3]["n_unseen"] > 0
+    assert found[1]["log10_per_token"] > found[3]["log10_per_token"]
+
+
+def test_ids_beyond_16_bits_keep_their_width(make_docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "id_bound", lambda path: 1 << 20)
+    docs = [(1, "the cat sat on the mat"), (2, "the dog sat on the cat")]
+    close(lm_scoring.score(make_docs(docs), PATH, share=4).collect(), backoff(docs, 0.4, 1))
 
 
 def test_numeric_signs_part_words():
