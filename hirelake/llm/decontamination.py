@@ -1,33 +1,39 @@
 """Benchmark items contained in documents: size-partitioned MinHash search, exact verification.
 
-An item's shingles are hashed once; its sketch is the k smallest hashes. Items are partitioned by the
-number of their shingles, and k grows with the size class: it is one more than the number of shingles an
-item of that class may miss at the threshold. So a document that contains enough of an item must hold
-at least one hash of the sketch, however long the document is, and the search loses nothing. Documents
-found that way are compared with just the items that they share a hash with, by the shingles themselves.
-
-Texts are compared by lower-cased words of letters and digits, in shingles of five; a text with fewer
-words is one shingle, so a shorter item is found only in a document that equals it. Every distinct text
+An item's shingles are hashed once; its sketch is k of the hashes, those that fewest items have and of
+these the smallest, so what many items begin or end with is in the sketch of none that has enough of
+its own. Items are partitioned by the number of their shingles, and k grows with the size class: it is one more than the
+number of shingles an item of that class may miss at the threshold. So a document that contains enough
+of an item must hold at least one hash of the sketch, however long the document is, and the search loses
+nothing. Documents found that way are compared with just the items that they share a hash with, by the shingles themselves.
+
+Texts are compared by lower-cased words of letters and digits, in shingles of five. An item of fewer
+words is one shingle, and for each number of words that such items have, documents are searched by shingles of
+that size too, so a short item is found wherever its words stand in a row. Every distinct text
 of an item is searched on its own, with or without an item_id, and reported under each item_id that it
 has, under a null one only if it has no other; an item without a word is never found. Documents are told
 by doc_id and text, so what one row holds decides neither for nor against another text of its doc_id or
 another row without one; only the report has one row for each doc_id and item, that of the text that
-holds most of it. A null text has no words. An empty table gives no rows.
+holds most of it. A null text has no words. An empty table gives no rows. Long texts are compared whole.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.text import free_name, let
+from hirelake.operators.skew import heavy_keys, left_join_default
 from hirelake.sources.staging import stage
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 1 << 26
 _CLASSES = 31  # sizes below 2^31
 
 
@@ -42,17 +48,29 @@ def _shingles(words: Column, size: int, join) -> Column:
     return F.when(F.size(words) > 0, F.transform(places, lambda i: join(words, i))).otherwise(F.array())
 
 
-def shingle_hashes(text: Column, size: int = SHINGLE_WORDS) -> Column:
-    """Distinct 64-bit hashes of the shingles; places beyond a short text count as null words."""
-    join = lambda own, i: F.xxhash64(*[F.get(own, i + k) for k in range(size)])
-    hashed = F.transform(plain_words(text), lambda w: F.xxhash64(w))
-    return F.array_distinct(let(hashed, lambda own: _shingles(own, size, join)))
+def _of_sizes(words: Column, sizes: Sequence[int], join) -> Column:
+    """Distinct shingles of all the sizes, each made by `join(array, i, size)`."""
+    made = lambda own: [_shingles(own, size, lambda w, i, size=size: join(w, i, size)) for size in sizes]
+    return F.array_distinct(let(words, lambda own: F.concat(*made(own)) if len(sizes) > 1 else made(own)[0]))
 
 
-def shingle_texts(text: Column, size: int = SHINGLE_WORDS) -> Column:
+def shingle_hashes(text: Column, sizes: Sequence[int] = (SHINGLE_WORDS,)) -> Column:
+    """Distinct 64-bit hashes of the shingles; places beyond a short text count as null words, which change no hash."""
+    join = lambda own, i, size: F.xxhash64(*[F.get(own, i + k) for k in range(size)])
+    return _of_sizes(F.transform(plain_words(text), lambda w: F.xxhash64(w)), sizes, join)
+
+
+def shingle_texts(text: Column, sizes: Sequence[int] = (SHINGLE_WORDS,)) -> Column:
     """Distinct shingles, words joined by a space."""
-    join = lambda own, i: F.array_join(F.slice(own, i + 1, size), " ")
-    return F.array_distinct(let(plain_words(text), lambda own: _shingles(own, size, join)))
+    join = lambda own, i, size: F.array_join(F.slice(own, i + 1, size), " ")
+    return _of_sizes(plain_words(text), sizes, join)
+
+
+def _sizes_of(texts: DataFrame, size: int) -> list[int]:
+    """The size of shingles, and the smaller numbers of words that some items have."""
+    words = F.size(plain_words(F.col("text")))
+    short = texts.select(words.alias("n")).filter((F.col("n") > 0) & (F.col("n") < size)).distinct()
+    return [size, *sorted(r["n"] for r in short.collect())]
 
 
 def least_shared(size: int, threshold: float) -> int:
@@ -61,15 +79,19 @@ def least_shared(size: int, threshold: float) -> int:
 
 
 def sketches(items: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """item, hash: the smallest hashes of each item, as many as its size class needs."""
-    hashes = items.select("item", shingle_hashes(F.col("text"), size).alias("hashes")).filter(F.size("hashes") > 0)
+    """item, hash: of each item's hashes those that fewest items have, as many as its size class needs."""
+    hashes = items.select("item", F.explode(shingle_hashes(F.col("text"), [size])).alias("hash"))
+    often = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
+    heavy = heavy_keys(hashes, {"hash": ["hash"]})["hash"]
+    ranked = left_join_default(hashes, often, ["hash"], heavy=heavy, salt_by=["item"])
+    own = ranked.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("own"))
     needed = F.lit(None).cast("int")
     for c in range(_CLASSES):  # class c: sizes from 2^c to 2^(c+1) - 1
         largest = (1 << (c + 1)) - 1
         kept = largest - least_shared(largest, threshold) + 1
-        needed = F.when(F.size("hashes") >= (1 << c), F.lit(kept)).otherwise(needed)
-    smallest = F.slice(F.sort_array("hashes"), F.lit(1), needed)
-    return hashes.select("item", F.explode(smallest).alias("hash"))
+        needed = F.when(F.size("own") >= (1 << c), F.lit(kept)).otherwise(needed)
+    rarest = F.slice("own", F.lit(1), needed)
+    return own.select("item", F.explode(rarest).alias("_kept")).select("item", "_kept.hash")
 
 
 def _numbered(items: DataFrame) -> DataFrame:
@@ -86,7 +108,11 @@ def _named(items: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= broadcast_rows else df
+    """Broadcast what was counted to have at most so many rows and `BROADCAST_BYTES` of text."""
+    texts = [F.octet_length(c) for c, t in df.dtypes if t == "string"]
+    size = F.sum(reduce(Column.__add__, texts)) if texts else F.lit(0)
+    rows, held = df.agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if rows <= broadcast_rows and (held or 0) <= BROADCAST_BYTES else df
 
 
 def _text_hash(text: Column) -> Column:
@@ -106,13 +132,14 @@ def _found(docs: DataFrame, texts: DataFrame, size: int, threshold: float, broad
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("text_hash", _text_hash(F.col("text")))
     index = stage(sketches(texts, size, threshold), "item-sketches")
-    parts = stage(texts.select("item", F.explode(shingle_texts(F.col("text"), size)).alias("shingle")), "item-shingles")
+    sizes_used = _sizes_of(texts, size)
+    parts = stage(texts.select("item", F.explode(shingle_texts(F.col("text"), [size])).alias("shingle")), "item-shingles")
     sizes = parts.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    hashes = docs.select("doc_id", "text_hash", F.explode(shingle_hashes(F.col("text"), size)).alias("hash"))
+    hashes = docs.select("doc_id", "text_hash", F.explode(shingle_hashes(F.col("text"), sizes_used)).alias("hash"))
     pairs = hashes.join(_small(index, broadcast_rows), "hash").select("doc_id", "text_hash", "item").distinct()
     pairs = stage(pairs, "candidate-pairs")
     candidates = _matching(docs, pairs.select("doc_id", "text_hash").distinct(), "text_hash", "left_semi", broadcast_rows)
-    held = candidates.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("text"), size)).alias("own"))
+    held = candidates.select("doc_id", "text_hash", F.explode(shingle_texts(F.col("text"), sizes_used)).alias("own"))
     wanted = pairs.join(_small(parts, broadcast_rows), "item")
     wanted = wanted.withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash"))

@@ -178,7 +178,12 @@ def _shingles(table: str, key: str) -> str:
 _CONTAINED = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
  b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
- ds AS ({_shingles("d", "doc_id")}), bs AS ({_shingles("b", "item_id")}),
+ short AS (SELECT DISTINCT len(w) AS s FROM b WHERE len(w) BETWEEN 1 AND 4),
+ words AS (SELECT doc_id, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM d WHERE EXISTS (FROM short)),
+ runs AS (SELECT doc_id, [w1, lead(w1, 1) OVER p, lead(w1, 2) OVER p, lead(w1, 3) OVER p] AS w FROM words
+  WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+ ds AS ({_shingles("d", "doc_id")} UNION SELECT doc_id, array_to_string(list_slice(w, 1, s), ' ') FROM runs, short WHERE w[s] IS NOT NULL),
+ bs AS ({_shingles("b", "item_id")}),
  n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
 FROM ds JOIN bs USING (shingle) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item

@@ -104,13 +104,14 @@ def shingles(text, size=5):
 
 def contained(docs, items, threshold=0.8):
     """{(doc_id, item_id): (shared, of)}"""
-    own = {d: shingles(t) for d, t in docs}
+    own = {d: {size: shingles(t, size) for size in range(1, 6)} for d, t in docs}
     found = {}
     for item, text in items:
         wanted = shingles(text)
+        size = min(5, len(plain(text)))
         for d, s in own.items():
-            if wanted and len(wanted & s) >= threshold * len(wanted) - 1e-9:
-                found[d, item] = (len(wanted & s), len(wanted))
+            if wanted and len(wanted & s[size]) >= threshold * len(wanted) - 1e-9:
+                found[d, item] = (len(wanted & s[size]), len(wanted))
     return found
 
 

@@ -1,11 +1,13 @@
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from hirelake.llm import decontamination, simhash, substring_dedup
 from hirelake.llm.automaton import SuffixAutomaton
 from hirelake.llm.components import components
-from hirelake.llm.queries import op3_benchmark_decontamination, op8_substring_dedup, op9_simhash_near_dedup
+from hirelake.llm.queries import ORACLES, op3_benchmark_decontamination, op8_substring_dedup, op9_simhash_near_dedup
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -199,3 +201,52 @@ def test_repeated_rows_are_searched_once(make_docs, monkeypatch):
     rows = substring_dedup.dedup_report(make_docs([(None, text)] * 5 + [(7, text)] * 5)).collect()
     assert searched == [2]
     assert sorted((r["doc_id"] is not None, r["n_removed"]) for r in rows) == [(False, 0)] * 5 + [(True, 30)] * 5
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
+def test_short_items_are_found_inside_documents(spark, make_docs, broadcast_rows):
+    items = [(1, "Purple monkey dishwasher"), (2, "so"), (3, "two words"), (4, "one two three four"), (5, "one two three four five six")]
+    docs = [
+        (1, "the secret is purple, MONKEY dishwasher is it not so"), (2, "purple monkey"), (3, "monkey purple dishwasher"),
+        (4, "two words"), (5, "two  words. two"), (6, "one two three four five six"), (7, "one two three"), (8, "sow"), (9, "x " * 5000 + "so"),
+    ]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontamination.find_contained(make_docs(docs), frame, broadcast_rows=broadcast_rows).collect()
+    found = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in rows}
+    assert found == brute.contained(docs, items) and {d for d, i in found if i == 1} == {1}
+    connection = duckdb.connect()
+    for name, columns, values in (("documents", "doc_id BIGINT, text VARCHAR", docs), ("benchmark", "item_id BIGINT, text VARCHAR", items)):
+        connection.execute(f"CREATE TABLE {name} ({columns})")
+        connection.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+    sql = connection.execute(ORACLES["op3_benchmark_decontamination"]).fetchall()
+    assert {(d, i): (shared, of) for d, i, shared, of, _ in sql} == found
+    kept = decontamination.remove_contaminated(make_docs(docs), frame, broadcast_rows).collect()
+    assert sorted(r["doc_id"] for r in kept) == [2, 3, 7, 8]
+
+
+def test_a_lead_that_many_items_share_makes_no_pairs(spark, make_docs, monkeypatch):
+    lead = "please read this passage and answer"
+    items = [(i, f"{lead} " + " ".join(f"q{i}w{k}" for k in range(12))) for i in range(1000)]
+    docs = [(d, f"{lead} d{d} e{d} f{d}") for d in range(200)] + [(500, "before " + items[7][1] + " after")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    pairs, real = [], decontamination.stage
+
+    def watched(df, label):
+        staged = real(df, label)
+        if label == "candidate-pairs":
+            pairs.append(staged.count())
+        return staged
+
+    monkeypatch.setattr(decontamination, "stage", watched)
+    rows = decontamination.find_contained(make_docs(docs), frame).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in rows] == [(500, 7)] and pairs == [1]
+
+
+def test_clashing_names_and_very_long_texts_in_decontamination(spark, make_docs):
+    words = " ".join(f"w{i}" for i in range(30))
+    frame = spark.createDataFrame([(1, words)], "item_id long, text string").withColumns(
+        {n: F.lit(n) for n in "doc_id hash item shingle n_item found_id own often".split()}
+    )
+    docs = make_docs([(1, "x y z " * 200_000 + words), (2, "x y z " * 200_000), (3, words[:60])])
+    assert [r["doc_id"] for r in decontamination.find_contained(docs, frame).collect()] == [1]
+    assert sorted(r["doc_id"] for r in decontamination.remove_contaminated(docs, frame).collect()) == [2, 3]
