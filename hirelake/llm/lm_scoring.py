@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.tokens import encoder, id_bound
+from hirelake.llm.tokens import encoder, id_bound, share_vocabulary
 from hirelake.sources.staging import stage
 
 ALPHA = 0.4
@@ -55,10 +55,11 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def _tokens(docs: DataFrame, vocabulary: str, bound: int) -> DataFrame:
     """row, doc_id and ids as unsigned numbers, written once."""
+    shared = share_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches):
         for batch in batches:
-            ids = [x.astype(_kind(bound)).tobytes() for x in encoder(vocabulary, REMEMBER).encode(batch.column("text"))]
+            ids = [x.astype(_kind(bound)).tobytes() for x in encoder(shared, REMEMBER).encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["row", "doc_id", "ids"])
 
     rows = docs.select(

@@ -6,10 +6,13 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 _SPLITS_UNEVENLY = re.compile(r"\s\s|[\x1c-\x1f]")
 _NOT_SPACE_EVERYWHERE = re.compile(r"[\x1c-\x1f]")
@@ -38,11 +41,18 @@ def id_bound(path: str) -> int:
     return max(Tokenizer.from_file(path).get_vocab().values(), default=0) + 1
 
 
-def encoder(path: str, remember: int = REMEMBER) -> "Encoder":
-    """The encoder of a file, one per Python worker. A remembered piece takes about 200 bytes."""
-    if (path, remember) not in _encoders:
-        _encoders[path, remember] = Encoder(path, remember)
-    return _encoders[path, remember]
+def share_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The content of a tokenizer file of the driver, for all tasks; some megabytes."""
+    return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+
+
+def encoder(source: str | Broadcast, remember: int = REMEMBER) -> "Encoder":
+    """The encoder of a file or of a shared one, one per Python worker. A remembered piece takes about 200 bytes."""
+    content = source.value if isinstance(source, Broadcast) else None
+    key = (source if content is None else f"content {hash(content)}", remember)
+    if key not in _encoders:
+        _encoders[key] = Encoder(source if content is None else "", remember, content)
+    return _encoders[key]
 
 
 def pieces(text: str) -> list[str]:
@@ -71,11 +81,11 @@ class Encoder:
     Texts are cut and their pieces numbered as Arrow columns; only distinct pieces become strings.
     """
 
-    def __init__(self, path: str, remember: int = REMEMBER):
+    def __init__(self, path: str, remember: int = REMEMBER, content: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer = Tokenizer.from_file(path) if content is None else Tokenizer.from_str(content)
         self._known: dict[str, bytes] = {}
         self._remember = remember
 

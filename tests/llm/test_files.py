@@ -37,6 +37,29 @@ def test_token_files_edge_cases(spark, make_docs):
     assert token_files.read(token_files.write(make_docs([]), PATH, 5)).count() == 0
 
 
+def test_the_least_doc_id_is_no_null(spark, make_docs):
+    docs = [(-(1 << 63), "a"), (None, "b"), (None, "b"), ((1 << 63) - 1, "c"), (0, "d"), (None, None)]
+    rows = token_files.read(token_files.write(make_docs(docs), PATH, 5)).collect()
+    assert sorted(map(tuple, rows), key=lambda r: r[1]) == expected_tokens(docs, 5)
+
+
+def test_a_third_of_null_ids_spans_several_files(spark, make_docs):
+    docs = [(None if i % 3 == 0 else i, "equal" if i % 6 else f"text {i}") for i in range(6000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = token_files.write(make_docs(docs).repartition(8), PATH, 5)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = sorted(r["documents"] for r in manifest.collect())
+    assert sum(sizes) == 6000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_ids_that_do_not_fit_raise_or_take_four_bytes(spark, make_docs):
+    docs = make_docs([(1, "a"), (2, "b c")])
+    rows = token_files.read(token_files.write(docs, PATH, 70_000)).collect()
+    assert sorted(map(tuple, rows)) == expected_tokens([(1, "a"), (2, "b c")], 70_000)
+    with pytest.raises(Exception, match="does not fit 2 bytes"):
+        token_files.write(docs, PATH, 70_000, width=2)
+
+
 def test_only_the_wanted_frame_is_read(spark, make_docs, tmp_path):
     docs = [(i, f"document {i} " * 9000) for i in range(6)]
     manifest = token_files.write(make_docs(docs).coalesce(1), PATH, 5, folder=f"file://{tmp_path}/t").collect()
