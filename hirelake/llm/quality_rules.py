@@ -4,8 +4,12 @@ Each rule's cost and share of rejections are measured on a small sample; rules t
 order of rejections per cost, so that most bad documents never reach a costly rule. The order steers
 the work alone: a document is kept when no rule rejects it, in whatever order they run.
 
+Costs are those of the columns that run: the rules of `judge` are timed on measures already taken, over
+sample rows that pass the base rules, those of `keep_good` on words already split.
+
 Defined results: a null or empty text has no words and fails `few_words`; repeated rows get equal
-verdicts; a table without rows has no measurable sample, which leaves the rules as listed.
+verdicts; a table without rows has no measurable sample, which leaves the rules as listed. Texts are judged
+whole, however long; only sample texts are cut, at `SAMPLE_CHARACTERS`.
 """
 
 from __future__ import annotations
@@ -17,11 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.text import SEPARATOR, free_name, let, word_array
+from hirelake.sources.staging import stage
 
 WINDOW = 8
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
 SAMPLE_ROWS = 500
+SAMPLE_CHARACTERS = 1 << 16
+OWN_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BASE_RULES = ("few_words", "repeated_windows")
 SYMBOLS = "[#*$%&|<>]"
 
 Measure = Callable[[str], Column]
@@ -121,6 +129,28 @@ def of_text(text: Column) -> Measure:
     return lambda name: named[name]
 
 
+def _sizes(words: Column) -> Column:
+    return F.struct(F.size(words).alias("n_words"), F.length(F.array_join(words, "")).alias("word_chars"))
+
+
+def of_words(text: Column, words: Column, sizes: Column) -> Measure:
+    """Measures from words and sizes that were taken once; the others from the text when a rule asks for them."""
+    named = measures(text)
+
+    def measure(name: str) -> Column:
+        if name == "n_repeat_words":
+            return repeated_words(words)
+        return sizes[name] if name in ("n_words", "word_chars") else named[name]
+
+    return measure
+
+
+def of_struct(text: Column, taken: Column) -> Measure:
+    """The contract's measures from their struct, the others from the text."""
+    named = measures(text)
+    return lambda name: taken[name] if name in OWN_MEASURES else named[name]
+
+
 def best_order(sample: DataFrame, rules: Mapping[str, Column], runs: int = 2) -> list[str]:
     """Rule names by rejections per second on the sample, most first; ties keep the given order."""
     total = sample.count()
@@ -144,12 +174,12 @@ def best_order(sample: DataFrame, rules: Mapping[str, Column], runs: int = 2) ->
 
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A bounded number of texts, of which only the order of rules depends.
+    """A bounded number of texts of bounded length, of which only the order of rules depends.
 
     `take` reads no more partitions than it needs for them, whatever the size of the table.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text")).take(rows)
-    return docs.sparkSession.createDataFrame(texts, "text string")
+    text = F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARACTERS)
+    return docs.sparkSession.createDataFrame(docs.select(text.alias("text")).take(rows), "text string")
 
 
 def first_failed(rules: Mapping[str, Column], order: Sequence[str]) -> Column:
@@ -160,34 +190,54 @@ def first_failed(rules: Mapping[str, Column], order: Sequence[str]) -> Column:
     return F.lit(None).cast("string") if verdict is None else verdict.otherwise(F.lit(None).cast("string"))
 
 
+def _whole(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def _further_order(docs: DataFrame) -> list[str]:
+    """Order of the further rules by what they cost once the contract's measures are there, where the base rules pass."""
+    text = _whole(F.col("text"))
+    sample = stage(sample_of(docs).select("text", base_measures(text).alias("taken")), "quality-sample")
+    measure = of_struct(text, F.col("taken"))
+    passing = sample.filter(first_failed(base_rules(measure), BASE_RULES).isNull())
+    return best_order(passing, further_rules(measure))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base measures, base_failed, kept and the rule that rejected the document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rules = further_rules(of_text(F.col("text")))
-    order = best_order(sample_of(docs), rules)
-    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
-    named = measures(text)
+    text = _whole(F.col("text"))
+    order = _further_order(docs)
 
-    def verdict(m: Column) -> Column:
-        measure = lambda name: m[name] if name in own else named[name]
-        base = first_failed(base_rules(measure), ["few_words", "repeated_windows"])
+    def verdict(taken: Column) -> Column:
+        measure = of_struct(text, taken)
+        base = first_failed(base_rules(measure), BASE_RULES)
         rule = F.coalesce(base, first_failed(further_rules(measure), order))
-        return F.struct(m.alias("m"), base.isNotNull().alias("base_failed"), rule.alias("failed_rule"))
+        return F.struct(taken.alias("m"), base.isNotNull().alias("base_failed"), rule.alias("failed_rule"))
 
     judged = docs.select(F.col("doc_id"), let(base_measures(text), verdict).alias("v"))
     return judged.select(
         "doc_id",
-        *[F.col("v")["m"][n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        *[F.col("v")["m"][n].alias(n) for n in OWN_MEASURES],
         F.col("v")["base_failed"].alias("base_failed"),
         F.col("v")["failed_rule"].isNull().alias("kept"),
         F.col("v")["failed_rule"].alias("failed_rule"),
     )
 
 
+def _all_rules(measure: Measure) -> dict[str, Column]:
+    return base_rules(measure) | further_rules(measure)
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, with all their columns."""
-    everything = of_text(F.col("text"))
-    rules = base_rules(everything) | further_rules(everything)
-    order = best_order(sample_of(docs), rules)
+    """The documents that no rule rejects, with all their columns.
+
+    Words are taken from a text once, and the rules run on them in the order that they earn on the sample.
+    """
+    text = _whole(F.col("text"))
+    sample = sample_of(docs).select("text", word_array(text).alias("words"))
+    sample = stage(sample.withColumn("sizes", _sizes(F.col("words"))), "quality-sample")
+    order = best_order(sample, _all_rules(of_words(text, F.col("words"), F.col("sizes"))))
+    cascade = lambda words, sizes: first_failed(_all_rules(of_words(text, words, sizes)), order)
+    verdict = let(word_array(text), lambda words: let(_sizes(words), lambda sizes: cascade(words, sizes)))
     name = free_name(docs, "failed_rule")
-    return docs.withColumn(name, first_failed(rules, order)).filter(F.col(name).isNull()).drop(name)
+    return docs.withColumn(name, verdict).filter(F.col(name).isNull()).drop(name)
