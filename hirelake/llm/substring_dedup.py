@@ -5,9 +5,10 @@ of reference shards find it: for every place of a document they give the longest
 where the last `window` words of it stand first. The corpus is its own reference, so only text that can
 repeat enters: each window has an anchor, the run of words with the least hash in it, and equal windows
 have equal anchors at the same place. Anchors that occur once are dropped. The reference of an anchor is
-its surroundings in the first document that has it; shards collect the references of some of these
-documents, up to about `SHARD_WORDS` words, and a shard's automaton is sent only to the tasks that
-stream documents sharing an anchor with it, as often as its share of the documents asks for.
+its surroundings where it stands first of all; shards collect the references of some blocks of these
+documents, `BLOCK_WORDS` words each, up to about `SHARD_WORDS` words in all however long a document is, and a
+shard's automaton is sent only to the tasks that stream text sharing an anchor with it, as often as its
+share of that text asks for.
 
 A window whose anchor occurs earlier but which the shard does not hold may still repeat in later
 documents, with other words around the anchor. Such windows go through another round, in which the
@@ -31,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm.automaton import SuffixAutomaton
@@ -43,11 +44,13 @@ from hirelake.sources.staging import stage
 WINDOW = 20
 ANCHOR = 8
 SHARD_WORDS = 40_000
+BLOCK_WORDS = 2_000
+SHARD_MARGIN = 2  # blocks meet in shards by a hash, so shards are planned for a part of their words
 SPLIT_WORDS = 200_000
 BROADCAST_ROWS = 1_000_000
 REMEMBER = 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_GRAMS = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("pos", pa.int32())])
+_GRAMS = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("lead", pa.bool_())])
 _SEGMENTS = pa.schema(
     [("shard", pa.int32()), ("role", pa.int32()), ("key", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("body", pa.binary()), ("own", pa.binary())]
 )
@@ -92,24 +95,30 @@ def anchors(hashes: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.
 
 
 def _document_anchors(docs: DataFrame, window: int, size: int) -> DataFrame:
+    """gram, key, pos of every anchor, and whether it is the document's first one of its words."""
+
     def run(batches):
         hashes = _Hashes(0)
         for batch in batches:
-            grams, keys, places = [], [], []
+            grams, keys, places, leads = [], [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 words = text.encode().split() if text else []
                 if len(words) < window:
                     continue
                 found, chosen = anchors(hashes.of(words), window, size)
                 chosen = np.unique(chosen)
-                grams.append(found[chosen].view(np.int64))
+                own = found[chosen].view(np.int64)
+                lead = np.zeros(len(own), bool)
+                lead[np.unique(own, return_index=True)[1]] = True
+                grams.append(own)
                 places.append(chosen.astype(np.int32))
                 keys.append(np.full(len(chosen), key, np.int64))
+                leads.append(lead)
             if grams:
-                columns = [np.concatenate(x) for x in (grams, keys, places)]
+                columns = [np.concatenate(x) for x in (grams, keys, places, leads)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_GRAMS)
 
-    return docs.mapInArrow(run, "gram long, key long, pos int")
+    return docs.mapInArrow(run, "gram long, key long, pos int, lead boolean")
 
 
 def _spans(places: np.ndarray, before: int, after: int, end: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -121,7 +130,7 @@ def _spans(places: np.ndarray, before: int, after: int, end: int) -> Iterator[tu
 
 
 def _cut(docs: DataFrame, hits: DataFrame, shards: int, before: int, after: int) -> DataFrame:
-    """Segments of documents around their hits, for the shard of the document that has the hit first."""
+    """Segments of documents around their hits, for the shard of the block that has the hit first of all; that is its reference."""
 
     def run(batches):
         for batch in batches:
@@ -130,8 +139,10 @@ def _cut(docs: DataFrame, hits: DataFrame, shards: int, before: int, after: int)
                 words = row["text"].encode().split()
                 places = np.array([h["pos"] for h in row["hits"]], np.int64)
                 first = np.array([h["first"] for h in row["hits"]], np.int64)
-                shard = (gram_hashes(first.view(np.uint64), 1) % np.uint64(shards)).astype(np.int64)
-                role = (first != row["key"]).astype(np.int64)
+                place = np.array([h["place"] for h in row["hits"]], np.int64)
+                block = gram_hashes(first.view(np.uint64), 1) + (place // BLOCK_WORDS).astype(np.uint64)
+                shard = (gram_hashes(block, 1) % np.uint64(shards)).astype(np.int64)
+                role = ((first != row["key"]) | (place != places)).astype(np.int64)
                 order = np.lexsort((places, role, shard))
                 group = shard[order] * 2 + role[order]
                 cuts = np.flatnonzero(np.diff(group)) + 1
@@ -142,7 +153,7 @@ def _cut(docs: DataFrame, hits: DataFrame, shards: int, before: int, after: int)
                         rows.append((int(shard[at[0]]), int(role[at[0]]), row["key"], start, stop - start, body, held))
             yield to_batch(rows, _SEGMENTS)
 
-    grouped = hits.groupBy(F.col("key").alias("hit_key")).agg(F.collect_list(F.struct("pos", "first")).alias("hits"))
+    grouped = hits.groupBy(F.col("key").alias("hit_key")).agg(F.collect_list(F.struct("pos", "first", "place")).alias("hits"))
     joined = docs.join(grouped, F.col("key") == F.col("hit_key")).select("key", "text", "hits")
     return joined.mapInArrow(run, "shard int, role int, key long, start int, words int, body binary, own binary")
 
@@ -227,10 +238,11 @@ def _streamed(segments: DataFrame, window: int, size: int, seed: int) -> DataFra
 
 
 def _round(docs, grams, window, size, before, after, seed, broadcast_rows) -> DataFrame:
-    repeated = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
+    place = F.expr("min_by(pos, key) FILTER (WHERE lead)").alias("place")
+    repeated = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), place)
     repeated = stage(repeated.filter("n > 1").drop("n"), "repeated")
-    shards = max(1, repeated.count() * (after - size // 2) // 2 // SHARD_WORDS)
-    hits = grams.join(repeated, "gram").select("key", "pos", "first")
+    shards = max(1, repeated.count() * (after - size // 2) // 2 * SHARD_MARGIN // SHARD_WORDS)
+    hits = grams.join(repeated, "gram").select("key", "pos", "first", "place")
     segments = stage(_cut(docs, hits, shards, before, after), "segments")
     return stage(_streamed(_dealt(segments, broadcast_rows), window, size, seed), "matches")
 
@@ -245,6 +257,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         ranges = found.filter("gram is null").select("key", "start", "stop")
         removed = ranges if removed is None else removed.unionByName(ranges)
         grams = found.filter("gram is not null").select("gram", "key", F.col("start").alias("pos"))
+        grams = grams.withColumn("lead", F.col("pos") == F.min("pos").over(Window.partitionBy("gram", "key")))
         if grams.isEmpty():
             return removed
         size, before, seed = window, 0, seed + 1

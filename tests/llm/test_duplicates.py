@@ -250,3 +250,33 @@ def test_clashing_names_and_very_long_texts_in_decontamination(spark, make_docs)
     docs = make_docs([(1, "x y z " * 200_000 + words), (2, "x y z " * 200_000), (3, words[:60])])
     assert [r["doc_id"] for r in decontamination.find_contained(docs, frame).collect()] == [1]
     assert sorted(r["doc_id"] for r in decontamination.remove_contaminated(docs, frame).collect()) == [2, 3]
+
+
+def test_a_long_document_fills_no_automaton(spark, make_docs, monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(50_000)}" for _ in range(300_000))
+    again = text.split()
+    sizes, real = [], substring_dedup.stage
+
+    def watched(df, label):
+        staged = real(df, label)
+        if label == "segments":
+            sizes.extend(r["words"] for r in staged.filter("role = 0").groupBy("shard").agg(F.sum("words").alias("words")).collect())
+        return staged
+
+    monkeypatch.setattr(substring_dedup, "stage", watched)
+    docs = [(1, text), (2, text), (3, " ".join(["x", *again[1000:200_000], "y"])), (4, " ".join(again[:10]))]
+    assert report(make_docs(docs, extra=False)) == brute.removed(docs)
+    assert max(sizes) <= substring_dedup.SHARD_WORDS + 2 * substring_dedup.WINDOW and len(sizes) > 7
+
+
+def test_repeats_within_the_first_document(spark, make_docs):
+    rng = random.Random(9)
+    pool = [[f"p{i}w{k}" for k in range(30)] for i in range(6)]
+    docs = []
+    for d in range(5):
+        words = []
+        for _ in range(120):
+            words += rng.choice(pool)[rng.randrange(5) :] + [f"u{rng.randrange(4)}"] * rng.randrange(3)
+        docs.append((d, " ".join(words)))
+    assert report(make_docs(docs, extra=False)) == brute.removed(docs)
