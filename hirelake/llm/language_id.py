@@ -11,7 +11,9 @@ text is labelled in full.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is any text when
 nothing was learned; rows are labelled one by one, so ties, repeated rows and null doc_ids do no harm.
-Of languages with equally many letters the alphabetically first is taken.
+Of languages with equally many letters, or words of equal scores, the alphabetically first is taken. Long
+texts are labelled whole; texts are worked on some millions of characters at a time, and what is remembered
+of words is bounded in bytes, so many languages take no more memory than few.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from hirelake.llm.files import to_batch
 LEARN_DOCUMENTS = 1_500
 SWITCH_PENALTY = 8.0
 NEVER = -1e6
-REMEMBER = 400_000
+SCORE_BYTES = 64_000_000  # of the words, and again of the trigrams, that a worker remembers
+GROUP_CHARACTERS = 4_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02", "\x03"
 
@@ -115,7 +118,7 @@ class Model:
                 p = (three.get(gram, 0) + 5 * p) / (ctx3.get(gram[:2], 0) + 5)
                 values.append(math.log(p))
             found = self._known_grams[gram] = np.array(values)
-            if len(self._known_grams) > REMEMBER:
+            if len(self._known_grams) * (100 + found.nbytes) > SCORE_BYTES:
                 self._known_grams = {}
         return found
 
@@ -128,16 +131,18 @@ class Model:
         return np.where(allowed, total, NEVER)
 
 
-def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
+def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float, words: np.ndarray | None = None) -> np.ndarray:
     """The best language of every word of several texts.
 
-    `scores` has the words of all texts one after the other, by language; all texts advance side
+    The words of all texts come one after the other: `words` has the row of each in `scores`, which
+    has one column for each language; without it each word has a row of its own. All texts advance side
     by side, the longest first, and leave the computation as they end.
     """
+    words = np.arange(len(scores)) if words is None else words
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
     starts = (np.cumsum(lengths) - lengths)[order]
-    total, kinds = scores.shape
+    total, kinds = len(words), scores.shape[1]
     stays, source = np.zeros((total, kinds), bool), np.zeros(total, np.int16)
     path = np.zeros(total, np.int16)
     longest = int(sizes[0]) if len(sizes) else 0
@@ -152,7 +157,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
             stays[at] = value >= switched
             source[at] = best
             value = np.maximum(value, switched)
-        value = value + scores[at]
+        value = value + scores[words[at]]
         ends = np.flatnonzero(sizes[: active[t]] == t + 1)
         path[at[ends]] = value[ends].argmax(axis=1)
     for t in range(longest - 1, 0, -1):
@@ -193,16 +198,42 @@ def learn(docs: DataFrame, usable: Column, documents: int = LEARN_DOCUMENTS) ->
     return Model(tables["gram"], tables["script"])
 
 
-def _labelled(model: Model, texts: list[str | None], known: dict[str, int], rows: list, penalty: float):
-    """Words of each text and the language of each word; `known` and `rows` hold scored words."""
-    found = [letters(t) for t in texts]
-    for word in {w for own in found for w in own if w not in known}:
-        known[word] = len(rows)
-        rows.append(model.word(word))
-    lengths = np.array([len(own) for own in found], np.int64)
-    ids = np.fromiter((known[w] for own in found for w in own), np.int64, int(lengths.sum()))
-    scores = np.array(rows)[ids] if len(ids) else np.zeros((0, len(model.languages)))
-    return found, lengths, viterbi(scores, lengths, penalty)
+class _WordScores:
+    """Scores of the words met so far, one row each in a table that grows in place up to `SCORE_BYTES`."""
+
+    def __init__(self, model: Model):
+        self._model, self._known = model, {}
+        kinds = max(1, len(model.languages))
+        self._most = max(1, SCORE_BYTES // (8 * kinds))
+        self.table = np.empty((1024, kinds))
+
+    def rows_of(self, texts: list[list[str]]) -> np.ndarray:
+        """The row of every word of the texts, one after the other."""
+        words = {w for own in texts for w in own}
+        if len(self._known) + len(words) > self._most:
+            self._known = {}
+        known = self._known
+        new = words.difference(known)
+        if len(known) + len(new) > len(self.table):
+            grown = np.empty((max(2 * len(self.table), len(known) + len(new)), self.table.shape[1]))
+            grown[: len(known)] = self.table[: len(known)]
+            self.table = grown
+        for word in new:
+            self.table[len(known)] = self._model.word(word)
+            known[word] = len(known)
+        return np.fromiter((known[w] for own in texts for w in own), np.int64, sum(map(len, texts)))
+
+
+def _grouped(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """First and last of texts that are about `GROUP_CHARACTERS` long together; a longer one is a group of its own."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > GROUP_CHARACTERS:
+            yield first, i
+            first, size = i, 0
+        size += len(text or "")
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
@@ -211,30 +242,34 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> Dat
     span = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", span)])
 
+    def labelled(scores, names, ids, texts):
+        found = [letters(t) for t in texts]
+        lengths = np.array([len(own) for own in found], np.int64)
+        words = scores.rows_of(found)
+        path = viterbi(scores.table, lengths, penalty, words)
+        at = 0
+        for doc_id, own, n in zip(ids, found, lengths.tolist()):
+            if not n:
+                yield doc_id, "und", 0.0, []
+                continue
+            languages = path[at : at + n]
+            at += n
+            sizes = np.bincount(languages, weights=[len(w) for w in own], minlength=len(names))
+            best = int(sizes.argmax())
+            cuts = [0, *(np.flatnonzero(np.diff(languages)) + 1).tolist(), n]
+            spans = [{"lang": names[languages[a]], "words": b - a} for a, b in zip(cuts, cuts[1:])]
+            yield doc_id, names[best], float(sizes[best] / sizes.sum()), spans
+
     def run(batches):
-        model, known, rows = shared.value, {}, []
-        names = model.languages
+        model = shared.value
+        scores, names = _WordScores(model), model.languages
         for batch in batches:
-            if len(known) > REMEMBER:
-                known, rows = {}, []
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             if not names:
                 yield to_batch([(i, "und", 0.0, []) for i in ids], schema)
                 continue
-            found, lengths, path = _labelled(model, texts, known, rows, penalty)
-            out, at = [], 0
-            for doc_id, own, n in zip(ids, found, lengths.tolist()):
-                if not n:
-                    out.append((doc_id, "und", 0.0, []))
-                    continue
-                languages = path[at : at + n]
-                at += n
-                sizes = np.bincount(languages, weights=[len(w) for w in own], minlength=len(names))
-                best = int(sizes.argmax())
-                cuts = [0, *(np.flatnonzero(np.diff(languages)) + 1).tolist(), n]
-                spans = [{"lang": names[languages[a]], "words": b - a} for a, b in zip(cuts, cuts[1:])]
-                out.append((doc_id, names[best], float(sizes[best] / sizes.sum()), spans))
-            yield to_batch(out, schema)
+            for first, last in _grouped(texts):
+                yield to_batch(list(labelled(scores, names, ids[first:last], texts[first:last])), schema)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang string, words int>>")

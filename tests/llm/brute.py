@@ -11,6 +11,7 @@ import numpy as np
 import xxhash
 from tokenizers import Tokenizer
 
+from hirelake.llm import language_id
 from hirelake.llm.tokens import public_vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,3 +131,63 @@ def quality(text):
     bad = 10 * symbols > n or 10 * upper > 3 * chars or 10 * text.count("!!") > n
     bad = bad or 2 * again > len(lines) or chars < 2 * n or chars > 15 * n
     return n, chars, symbols, again, len(covered), failed, not (failed or bad)
+
+
+def language(docs, penalty):
+    """{doc_id: (label, share of letters)} of (doc_id, text, lang) rows, learned from all but every fourth by checksum."""
+    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 4 == 2
+    runs = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    learned = [(lang, w) for d, t, lang in docs if lang is not None and not held(d) for w in runs(t)]
+    names = sorted({lang for lang, _ in learned})
+    script = language_id.script
+    padded = lambda w: f"{language_id._START * 2}{w}{language_id._END}"
+    three, used = {x: Counter() for x in names}, {x: Counter() for x in names}
+    for lang, w in learned:
+        used[lang][script(w)] += len(w)
+        three[lang].update(padded(w)[i - 2 : i + 1] for i in range(2, len(w) + 3))
+    shorter = {x: (Counter(), Counter(), Counter(), Counter()) for x in names}
+    for x in names:
+        two, one, ctx3, ctx2 = shorter[x]
+        for g, n in three[x].items():
+            two[g[1:]] += n
+            one[g[2]] += n
+            ctx3[g[:2]] += n
+            ctx2[g[1]] += n
+
+    def scores(w):
+        out = []
+        for x in names:
+            two, one, ctx3, ctx2 = shorter[x]
+            s = 0.0
+            for i in range(2, len(w) + 3):
+                g = padded(w)[i - 2 : i + 1]
+                p = (one[g[2]] + 1e-3) / (sum(one.values()) + 1.0)
+                p = (two[g[1:]] + 5 * p) / (ctx2[g[1]] + 5)
+                s += np.log((three[x][g] + 5 * p) / (ctx3[g[:2]] + 5))
+            out.append(s)
+        allowed = [used[x][script(w)] * 100 >= max(1, sum(used[x].values())) for x in names]
+        return [s if a else language_id.NEVER for s, a in zip(out, allowed)] if any(allowed) else [0.0] * len(names)
+
+    known, out = {}, {}
+    for d, t, _ in docs:
+        own = runs(t)
+        if not own:
+            out[d] = "und", 0.0
+            continue
+        value, back = None, []
+        for w in own:
+            if w not in known:
+                known[w] = scores(w)
+            if value is None:
+                value = known[w]
+                continue
+            best = max(range(len(names)), key=lambda k: value[k])
+            back.append([k if value[k] >= value[best] - penalty else best for k in range(len(names))])
+            value = [max(v, value[best] - penalty) + s for v, s in zip(value, known[w])]
+        path = [max(range(len(names)), key=lambda k: value[k])]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        letters = [sum(len(w) for w, k in zip(own, reversed(path)) if k == x) for x in range(len(names))]
+        first = max(range(len(names)), key=lambda k: letters[k])
+        out[d] = names[first], letters[first] / sum(letters)
+    return out

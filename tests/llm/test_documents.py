@@ -91,6 +91,41 @@ def test_language_of_held_out_documents(spark):
     assert len(rows) > 200 and right >= 0.98 * len(rows)
 
 
+def test_every_label_and_score_of_the_whole_table(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    expected = brute.language([tuple(r) for r in table.collect()], language_id.SWITCH_PENALTY)
+    rows = op4_language_id(spark, SF).collect()
+    assert len(rows) == len(expected)
+    for r in rows:
+        label, share = expected[r["doc_id"]]
+        assert r["lang_pred"] == label and math.isclose(r["score"], share, abs_tol=1e-12), r["doc_id"]
+
+
+def test_a_hundred_labels_and_long_texts_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(6)
+    names = [f"l{i:03}" for i in range(100)]
+    vocabulary = {x: ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(40)] for x in names}
+    counts = {x: Counter(g for w in vocabulary[x] for g in language_id.grams(w)) for x in names}
+    model = language_id.Model(counts, {x: {"latin": 200} for x in names})
+    scores = language_id._WordScores(model)
+    texts = [[f"{w}{i}".replace("0", "z") for w in vocabulary[x]] for i in range(2) for x in names]
+    monkeypatch.setattr(scores, "_most", 500)
+    for own in texts:
+        words = scores.rows_of([[w.rstrip("1") for w in own]])
+        assert len(scores.table) <= 1024 and np.array_equal(scores.table[words[0]], model.word(own[0].rstrip("1")))
+    assert language_id.SCORE_BYTES // (8 * 100) * 100 * 8 <= 64_000_000
+    groups = list(language_id._grouped(["a" * 3_000_000, None, "b" * 2_000_000, "c" * 9_000_000, ""]))
+    assert groups == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
+def test_equal_scores_go_to_the_first_label_and_repeated_rows_agree(spark, make_docs):
+    rows = [(4 * i, "same words here", lang) for i in range(20) for lang in ("xx", "aa")]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    docs = [(1, "same words"), (1, "same words"), (2, "words " * 300_000)]
+    found = language_id.label(make_docs(docs), model).collect()
+    assert [r["lang_pred"] for r in found] == ["aa"] * 3 and {r["score"] for r in found} == {1.0}
+
+
 def test_viterbi_against_every_path():
     rng = np.random.default_rng(1)
     from itertools import product
