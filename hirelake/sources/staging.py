@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hirelake.session import fresh_path
+from hirelake.sources.folders import remove
 
 _scope: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
@@ -36,7 +37,14 @@ def releasing(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scope.reset(token)
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for folder in scope:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(hadoop).delete(path, True)
+            remove(spark, folder)
+
+
+def stage_alone(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what `make` returns and remove whatever it staged on the way."""
+    path = fresh_path(spark, label)
+    with releasing(spark):
+        made = make()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
