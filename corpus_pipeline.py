@@ -1,19 +1,21 @@
 """From raw documents to packed sequences: five stages, each over all that the one before kept.
 
 A stage takes the session, its documents and the folder of the given tables; what it returns is
-written as Parquet and read again as the documents of the next one.
+written as Parquet and read again as the documents of the next one. What a stage stored on the way is
+removed once its result is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hirelake.llm import decontamination, packing, quality_rules, simhash, substring_dedup
 from hirelake.llm.queries import CAPACITY, PACKING_END, VOCABULARY
 from hirelake.llm.tokens import public_vocabulary
-from hirelake.sources.staging import stage
+from hirelake.sources.staging import stage_alone
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents of the folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
+        docs = stage_alone(spark, name, partial(function, spark, docs, sf_dir))
     return docs
