@@ -30,7 +30,7 @@ from hirelake.sources.staging import stage
 ALPHA = 0.4
 LEAST_COUNT = 1
 FREQUENT_SHARE = 1 << 20
-REMEMBER = 300_000  # pieces of text; the same Python workers count and score afterwards
+REMEMBER = 600_000  # pieces of text; the same Python workers count and score afterwards
 COUNTED_AT_ONCE = 1_000_000  # tokens sorted at a time
 _COUNTS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 _OPEN = "row long, gram long, times long, unseen double, context double"
