@@ -5,7 +5,8 @@ of key and shard number. A score depends on its own shard alone, so one more sha
 into itself, and about its share of them; no other record moves. Placing a row needs no other row.
 
 Defined results: a null key is a key of its own; a null text has no bytes; equal keys share a shard.
-Slots follow the key order within the shard, and ties of it the order of size and checksum.
+Slots follow the key order within the shard, and ties of it the order of size and checksum; repeated rows
+take a slot each. A text counts whole, however long. An empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations

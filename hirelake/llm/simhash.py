@@ -8,7 +8,7 @@ open, until no bucket is large, so no group is paired with itself. Equal fingerp
 
 Defined results: a text without words has fingerprint zero and is linked like any other; a null doc_id
 belongs to its group, and a group without any doc_id has a null component_id; repeated rows are
-returned as often as they occur; no document gives no row.
+returned as often as they occur; no document gives no row. All words of a text count, however long it is.
 """
 
 from __future__ import annotations

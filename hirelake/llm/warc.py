@@ -7,7 +7,8 @@ are revisits of it, which name its record and leave the payload out.
 
 Defined results: a null html is an empty payload; a null page_id yields records that never serve as
 the response of others while one with an id exists; where the largest page_id of a payload occurs in
-several rows, each of them is a response. Without pages there are no rows.
+several rows, each of them is a response. A payload is stored whole, however long. Without pages there are
+no rows.
 """
 
 from __future__ import annotations

@@ -70,6 +70,17 @@ def test_shards_follow_weights_and_growth(spark):
     assert {r["grown_shard"] for r in moved} == {3} and abs(len(moved) / 20000 - 0.2) < 0.02
 
 
+def test_repeated_rows_and_long_texts_take_a_slot_each(make_docs):
+    long = "é " * 700_000
+    docs = [(7, long)] * 2 + [(7, "a")] * 600 + [(i, None) for i in range(300)]
+    rows = sharding.with_slots(sharding.place(make_docs(docs).repartition(6), [1.0] * 3, [1.0] * 4)).collect()
+    assert len(rows) == len(docs) and sorted(r["size"] for r in rows)[-2:] == [2_100_001] * 2
+    for shard in range(3):
+        own = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert own == list(range(len(own)))
+    assert len({r["shard"] for r in rows if r["doc_id"] == 7}) == 1
+
+
 def test_slots_are_gapless(make_docs):
     docs = [(None, None), (None, "é"), (1, "a"), (1, "a"), *((i, "x" * i) for i in range(2, 60))]
     frame = make_docs(docs).repartition(5)

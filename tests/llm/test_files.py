@@ -112,6 +112,15 @@ def test_warc_edge_cases(spark):
     assert sorted(map(repr, both[0].collect())) == sorted(map(repr, both[1].collect()))
 
 
+def test_repeated_page_ids_and_very_long_payloads(spark):
+    large, huge = "z" * 1500, "<p>long</p>" * 600_000
+    rows = [(5, "u", large), (5, "v", large), (3, "u", large), (8, "u", huge), (9, "u", huge)]
+    frame = pages_of(spark, rows).withColumns({n: F.lit(n) for n in "digest rep payload_bytes record_type".split()})
+    out = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read(warc.write(frame)).collect())
+    assert out[:3] == [(3, "revisit", 5, 1500), (5, "response", None, 1500), (5, "response", None, 1500)]
+    assert out[3:] == [(8, "revisit", 9, len(huge)), (9, "response", None, len(huge))]
+
+
 def test_a_single_record_is_found_by_name(spark, tmp_path):
     rows = [(i, "u", f"<p>{i}</p>" * 4000) for i in range(30)]
     manifest = warc.write(pages_of(spark, rows).coalesce(1), folder=str(tmp_path / "w")).collect()

@@ -47,3 +47,19 @@ def test_stages_keep_the_columns(spark, make_docs):
         if name != "packing":
             docs = function(spark, docs, SF)
     assert sorted(r["doc_id"] or 0 for r in docs.collect()) == [0, 1, 5]
+
+
+def test_pipeline_on_repeated_rows_and_a_very_long_text(spark, make_docs, tmp_path):
+    long = " ".join(f"term{i % 99_991} of" + "." * (i % 9 == 0) for i in range(250_000))
+    plain = " ".join(f"word{i}" for i in range(60)) + "."
+    docs = make_docs([(1, plain), (1, plain), (2, long), (3, None), (None, " ".join(f"other{i}" for i in range(60)))])
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], set()).add((r["start"], r["length"], r["doc_tokens"]))
+    assert {d for d in by_doc} <= {1, 2, None} and {1, None} <= set(by_doc)
+    for spans in by_doc.values():
+        assert sum(length for _, length, _ in spans) == next(iter(spans))[2]
