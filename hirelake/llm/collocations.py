@@ -46,7 +46,7 @@ TOP_PARTS = 16
 BLOCKS_A_PARTITION = 2
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so each has an inverse
 _FIRST, _SECOND = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xC2B2AE3D27D4EB4F)
-_SPACE, _END = 0, 255  # no bytes of words
+_SPACE, _END = 254, 255  # no bytes of any text in UTF-8
 _TO = np.frombuffer(
     bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ \t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + bytes([_SPACE] * 2 + [_END] * 10)),
     np.uint8,
@@ -91,9 +91,9 @@ class _Slice:
         self.new = self.starts >= fresh
 
     def hashes(self, base: int) -> np.ndarray:
-        """A hash of each word: its bytes as digits, moved to one place."""
+        """A hash of each word: its bytes as digits from 1 on, moved to one place."""
         up, down = _powers_of(base, len(self._raw) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self._raw * up[: len(self._raw)], dtype=np.uint64)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self._raw.astype(np.uint64) + np.uint64(1)) * up[: len(self._raw)], dtype=np.uint64)))
         return _mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
     def words(self, first: int, last: int) -> str:

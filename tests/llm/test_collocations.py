@@ -64,6 +64,7 @@ DOCS = [
     (None, None),
     (" \t ,;. ", "de"),
     ("x\x1cy x\x1cy x\x1cy \x0b z \x0c z \r z", "odd\tlabel"),
+    ("a\x00 b a b, a\x00 b a b\x00 c; \x00 \x00 \x00", "nul"),
     ("日本 語 日本 語, 日本 語 \U0001f600 \U0001f600 \U0001f600", ""),
 ]
 
