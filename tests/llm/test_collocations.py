@@ -69,8 +69,7 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("shards,filter_bits", [(1, 64), (3, 1 << 10), (8, 1 << 20)])
-@pytest.mark.parametrize("support", [1, 2, 3])
+@pytest.mark.parametrize("support,shards,filter_bits", [(1, 8, 1 << 20), (2, 1, 64), (2, 3, 1 << 10), (3, 8, 1 << 20)])
 def test_equals_a_plain_count(rows, made, support, shards, filter_bits):
     assert found(rows, made(DOCS), support, shards=shards, filter_bits=filter_bits) == plain(DOCS, support)
 
