@@ -27,6 +27,26 @@ def test_special_strings_and_forgetting():
     assert [x.tolist() for x in small.encode(texts)] == [brute.ids(t) for t in texts]
 
 
+def test_distinct_words_are_encoded_once_and_many_at_once():
+    class Counting:
+        def __init__(self, own):
+            self.own, self.texts = own, []
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += texts
+            return self.own.encode_batch_fast(texts, **how)
+
+    own = packing.encoder(PATH).__class__(PATH, remember=4000)
+    own._tokenizer = Counting(own._tokenizer)
+    words = [f"w{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(500)]
+    first, second = " ".join(words) + ".", "\n".join(w + "!?" for w in words)
+    texts = [first, second, None, " \u00e9. a\u00a0 \u2003b <|endoftext|>. 's x's \u0085c", ""]
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(texts)] == [brute.ids(t) for t in texts]
+    assert len(own._tokenizer.texts) < 100
+    assert sum(len(t.split("\n")) for t in own._tokenizer.texts) < 1100
+
+
 def test_lengths_fill_their_classes():
     assert lengths(0, 8) == [] and lengths(5, 4) == [4, 1] and lengths(7, 8) == [4, 2, 1] and lengths(2048 * 2 + 682, 2048) == [2048, 2048, 682]
     assert lengths(1100, 2048) == [1024, 75, 1] and lengths(3001, 2000) == [2000, 1000, 1] and lengths(3, 1) == [1, 1, 1]
