@@ -30,8 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +47,8 @@ BLOCK_WORDS = 2_000
 SHARD_MARGIN = 2  # blocks meet in shards by a hash, so shards are planned for a part of their words
 SPLIT_WORDS = 200_000
 BROADCAST_ROWS = 1_000_000
-REMEMBER = 200_000
+HASHED_AT_ONCE = 1_000_000  # bytes of text
+_WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _GRAMS = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("lead", pa.bool_())])
 _SEGMENTS = pa.schema(
@@ -57,21 +57,35 @@ _SEGMENTS = pa.schema(
 _FOUND = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("gram", pa.int64())])
 
 
-class _Hashes(dict):
-    """64-bit hashes of words under one seed; forgets them all when there are too many."""
+class _Hashes:
+    """64-bit hashes of words under one seed: their bytes, each times a number of its place, added up and mixed."""
 
     def __init__(self, seed: int):
-        super().__init__()
-        self._seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, self._seed)
-        return value
+        self._from = np.uint64(seed + 1 << 40)
+        self._numbers = self._number(np.arange(256))
+
+    def _number(self, places: np.ndarray) -> np.ndarray:
+        return gram_hashes((places.astype(np.uint64) + self._from) * np.uint64(0x9E3779B97F4A7C15), 1)
+
+    def of_bytes(self, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of texts that stand behind each other, and where words begin; `borders` are those of the texts."""
+        inside = ~_WHITE[data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        at_text = borders[borders < len(data)]
+        begins[at_text] = inside[at_text]
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return np.empty(0, np.uint64), starts
+        lengths = np.diff(starts, append=len(data))
+        places = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
+        numbers = self._numbers[places] if lengths.max() <= len(self._numbers) else self._number(places)
+        # White space behind a word adds nothing.
+        numbers *= (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * inside[starts[0] :]
+        return gram_hashes(np.add.reduceat(numbers, starts - starts[0]), 1), starts
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        return self.of_bytes(np.frombuffer(b" ".join(words), np.uint8), np.zeros(1, np.int64))[0]
 
 
 def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -85,38 +99,54 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def _least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least value of every run of `width` values, the first of equal ones."""
+    places, known = np.arange(len(values)), 1
+    while known < width:
+        step = min(known, width - known)
+        left, right = places[:-step], places[step:]
+        places = np.where(values[right] < values[left], right, left)
+        known += step
+    return places
+
+
 def anchors(hashes: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `size` words, and for every window the place of its least one."""
     grams = gram_hashes(hashes, size)
     if len(hashes) < window:
         return grams, np.empty(0, np.int64)
-    places = sliding_window_view(grams, window - size + 1).argmin(axis=1)
-    return grams, places + np.arange(len(places))
+    return grams, _least_places(grams, window - size + 1)
 
 
 def _document_anchors(docs: DataFrame, window: int, size: int) -> DataFrame:
     """gram, key, pos of every anchor, and whether it is the document's first one of its words."""
 
+    def found(hashes: _Hashes, keys: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
+        borders = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[borders[0] : borders[-1]]
+        words, starts = hashes.of_bytes(data, borders[:-1] - borders[0])
+        first = np.searchsorted(starts, borders - borders[0])
+        grams, chosen = anchors(words, window, size)
+        text_of = np.repeat(np.arange(len(texts)), np.diff(first))
+        # A window lies in one text; places of later windows are never smaller.
+        chosen = chosen[text_of[: len(chosen)] == text_of[len(text_of) - len(chosen) :]]
+        chosen = chosen[np.diff(chosen, prepend=-1) > 0]
+        own, text = grams[chosen].view(np.int64), text_of[chosen]
+        order = np.lexsort((own, text))
+        lead = np.zeros(len(own), bool)
+        lead[order] = (np.diff(own[order], prepend=0) != 0) | (np.diff(text[order], prepend=-1) != 0)
+        return [own, keys[text], (chosen - first[text]).astype(np.int32), lead]
+
     def run(batches):
         hashes = _Hashes(0)
         for batch in batches:
-            grams, keys, places, leads = [], [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                words = text.encode().split() if text else []
-                if len(words) < window:
-                    continue
-                found, chosen = anchors(hashes.of(words), window, size)
-                chosen = np.unique(chosen)
-                own = found[chosen].view(np.int64)
-                lead = np.zeros(len(own), bool)
-                lead[np.unique(own, return_index=True)[1]] = True
-                grams.append(own)
-                places.append(chosen.astype(np.int32))
-                keys.append(np.full(len(chosen), key, np.int64))
-                leads.append(lead)
-            if grams:
-                columns = [np.concatenate(x) for x in (grams, keys, places, leads)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_GRAMS)
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
+            group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // HASHED_AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+            parts = [found(hashes, keys[a:b], texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if a < b]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=_GRAMS)
 
     return docs.mapInArrow(run, "gram long, key long, pos int, lead boolean")
 
@@ -134,15 +164,18 @@ def _cut(docs: DataFrame, hits: DataFrame, shards: int, before: int, after: int)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                words = row["text"].encode().split()
-                places = np.array([h["pos"] for h in row["hits"]], np.int64)
-                first = np.array([h["first"] for h in row["hits"]], np.int64)
-                place = np.array([h["place"] for h in row["hits"]], np.int64)
-                block = gram_hashes(first.view(np.uint64), 1) + (place // BLOCK_WORDS).astype(np.uint64)
-                shard = (gram_hashes(block, 1) % np.uint64(shards)).astype(np.int64)
-                role = ((first != row["key"]) | (place != places)).astype(np.int64)
+            rows, hits = [], batch.column("hits")
+            ends = hits.offsets.to_numpy()
+            flat = hits.values.slice(ends[0], ends[-1] - ends[0])
+            every, first, place = (flat.field(c).to_numpy().astype(np.int64) for c in ("pos", "first", "place"))
+            keys = batch.column("key").to_numpy()
+            block = gram_hashes(first.view(np.uint64), 1) + (place // BLOCK_WORDS).astype(np.uint64)
+            shards_of = (gram_hashes(block, 1) % np.uint64(shards)).astype(np.int64)
+            roles = ((first != np.repeat(keys, np.diff(ends))) | (place != every)).astype(np.int64)
+            borders = (ends - ends[0]).tolist()
+            for key, text, a, b in zip(keys.tolist(), batch.column("text").to_pylist(), borders, borders[1:]):
+                words = text.encode().split()
+                places, shard, role = every[a:b], shards_of[a:b], roles[a:b]
                 order = np.lexsort((places, role, shard))
                 group = shard[order] * 2 + role[order]
                 cuts = np.flatnonzero(np.diff(group)) + 1
@@ -150,7 +183,7 @@ def _cut(docs: DataFrame, hits: DataFrame, shards: int, before: int, after: int)
                     for start, stop, own in _spans(places[at], before, after, len(words)):
                         body = b" ".join(words[start:stop])
                         held = (own - start).astype("<i4").tobytes()
-                        rows.append((int(shard[at[0]]), int(role[at[0]]), row["key"], start, stop - start, body, held))
+                        rows.append((int(shard[at[0]]), int(role[at[0]]), key, start, stop - start, body, held))
             yield to_batch(rows, _SEGMENTS)
 
     grouped = hits.groupBy(F.col("key").alias("hit_key")).agg(F.collect_list(F.struct("pos", "first", "place")).alias("hits"))

@@ -1,6 +1,8 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +282,19 @@ def test_repeats_within_the_first_document(spark, make_docs):
             words += rng.choice(pool)[rng.randrange(5) :] + [f"u{rng.randrange(4)}"] * rng.randrange(3)
         docs.append((d, " ".join(words)))
     assert report(make_docs(docs, extra=False)) == brute.removed(docs)
+
+
+def test_words_of_many_texts_are_hashed_as_one_column():
+    texts = ["", "a b", " a", "  ", "b\ta\u00a0c\n", "\u00e9", "x" * 300 + " y", "b"]
+    column = pa.array(texts)
+    borders = np.frombuffer(column.buffers()[1], np.int32)[: len(texts)].astype(np.int64)
+    hashes = substring_dedup._Hashes(0)
+    found, starts = hashes.of_bytes(np.frombuffer(column.buffers()[2], np.uint8), borders)
+    words = [w for t in texts for w in t.encode().split()]
+    assert len(found) == len(starts) == len(words)
+    assert len(set(found.tolist())) == len(set(words)) == len(set(zip(words, found.tolist())))
+    assert hashes.of(words).tolist() == found.tolist()
+    values = np.array([3, 1, 1, 2, 1, 5, 5, 5, 0], np.uint64)
+    for width in (1, 2, 3, 4, 7, 9):
+        least = [i + int(values[i : i + width].argmin()) for i in range(len(values) - width + 1)]
+        assert substring_dedup._least_places(values, width).tolist() == least
