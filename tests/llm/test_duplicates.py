@@ -293,7 +293,8 @@ def test_words_of_many_texts_are_hashed_as_one_column():
     words = [w for t in texts for w in t.encode().split()]
     assert len(found) == len(starts) == len(words)
     assert len(set(found.tolist())) == len(set(words)) == len(set(zip(words, found.tolist())))
-    assert hashes.of(words).tolist() == found.tolist()
+    assert [h for own in hashes.of_each(column) for h in own.tolist()] == found.tolist()
+    assert [len(own) for own in hashes.of_each(column.slice(1))] == [len(t.encode().split()) for t in texts[1:]]
     values = np.array([3, 1, 1, 2, 1, 5, 5, 5, 0], np.uint64)
     for width in (1, 2, 3, 4, 7, 9):
         least = [i + int(values[i : i + width].argmin()) for i in range(len(values) - width + 1)]
