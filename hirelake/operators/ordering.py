@@ -49,7 +49,9 @@ def sequential_id(df: DataFrame, order_by: Sequence[str], names: Sequence[str] =
     them span several blocks, be they equal in every column or not.
     """
     if list(order_by) == [SEQ] and isinstance(df.schema[SEQ].dataType, StructType):
-        runs, count, whole = _file_runs(df)
+        # Staged, since every pass over the numbered rows asks for them.
+        runs = stage(_file_runs(df), "runs")
+        count, whole = _run_figures(runs)
         if whole:
             keys = {"file": "_seq.file", "block": "_seq.block"}
             return _numbered(df, runs, keys, "_seq.row", names, broadcast=count <= BROADCAST_ROWS)
@@ -70,15 +72,19 @@ def sequential_id(df: DataFrame, order_by: Sequence[str], names: Sequence[str] =
     return _numbered(staged, runs, {"_block": "_block"}, "_place", names, broadcast=True).drop("_block", "_place")
 
 
-def _file_runs(df: DataFrame) -> tuple[DataFrame, int, bool]:
-    """First row and row count per file split, their number, and whether each split is without gaps."""
+def _file_runs(df: DataFrame) -> DataFrame:
+    """First and last row and row count per file split."""
     place = F.col("_seq.row")
-    runs = df.groupBy(F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block")).agg(
+    return df.groupBy(F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block")).agg(
         F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("rows")
     )
+
+
+def _run_figures(runs: DataFrame) -> tuple[int, bool]:
+    """The number of file splits, and whether each is without gaps."""
     gap = F.col("last") - F.col("first") + 1 != F.col("rows")
     count, gaps = runs.agg(F.count(F.lit(1)), F.count_if(gap)).first()
-    return runs.drop("last"), count, gaps == 0
+    return count, gaps == 0
 
 
 def _numbered(
@@ -108,13 +114,14 @@ def collect_list_by_key(
     gathered at once. A key the sketch missed only takes more memory.
     """
     rows = df.filter(F.col(key).isNotNull()).select(
-        F.col(key), F.col(col).alias("_item"), F.struct(*order_by).alias("_order")
+        F.col(key), F.col(col).alias("_item"), *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order_by)]
     )
-    items = F.sort_array(F.collect_list(F.struct("_order", "_item"))).alias("_sorted")
+    orders = [f"_order_{i}" for i in range(len(order_by))]
+    items = F.sort_array(F.collect_list(F.struct(*orders, "_item"))).alias("_sorted")
     long = heavy_keys(rows, {"key": [key]}, least=max_items)["key"]
     parts = _plain_lists(rows.filter(long.salts([key]) == 1) if long else rows, key, items, max_items)
     if long:
-        parts = parts.unionByName(_numbered_lists(rows.filter(long.salts([key]) > 1), key, items, max_items, long))
+        parts = parts.unionByName(_numbered_lists(rows.filter(long.salts([key]) > 1), key, orders, items, max_items, long))
     return parts.select(key, F.col("_sorted._item").alias(col), "_part")
 
 
@@ -125,8 +132,10 @@ def _plain_lists(rows: DataFrame, key: str, items: Column, max_items: int) -> Da
     return whole.withColumn("_part", F.explode(starts)).withColumn("_sorted", part)
 
 
-def _numbered_lists(rows: DataFrame, key: str, items: Column, max_items: int, long: HeavyKeys) -> DataFrame:
-    numbered = sequential_id(rows, [key, "_order"], ["_number"])
+def _numbered_lists(
+    rows: DataFrame, key: str, orders: Sequence[str], items: Column, max_items: int, long: HeavyKeys
+) -> DataFrame:
+    numbered = sequential_id(rows, [key, *orders], ["_number"])
     starts = numbered.groupBy(key).agg(F.min("_number").alias("_first"))
     placed = left_join_default(numbered, starts, [key], heavy=long, salt_by=["_number"])
     part = F.floor((F.col("_number") - F.col("_first")) / max_items).cast("int")

@@ -59,9 +59,13 @@ def load_cleaned(spark: SparkSession, names: Layers, skip_empty: bool = True, sk
     cleaners = CLEANERS | ({"skills_industries": normalize_columns} if skills else {})
 
     def job(table: str, raw: DataFrame) -> int:
-        if table != "jobs" and SEQ in raw.columns:
-            raw = sequential_id(raw, [SEQ], [SEQ])
-        return commit.store(cleaners[table](raw), table, skip_empty)
+        if table == "jobs" or SEQ not in raw.columns:
+            df = cleaners[table](raw)
+        elif table == "salaries":  # keeps every row, and the passes for its cap need no numbers
+            df = sequential_id(cleaners[table](raw), [SEQ], [SEQ])
+        else:
+            df = cleaners[table](sequential_id(raw, [SEQ], [SEQ]))
+        return commit.store(df, table, skip_empty)
 
     raw = {t: layers.scan_table(spark, names.raw, t) for t in cleaners}
     with layers.Commit(spark, names.cleaned) as commit:

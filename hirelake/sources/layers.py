@@ -18,6 +18,8 @@ from hirelake.sources.versions import Commit, history, location, vacuum, validat
 
 __all__ = ["Commit", "history", "vacuum"]  # also reached from here
 RUNS = "run_history"
+#: A reader takes a CSV file with line breaks in quotes as one task, so files are to be many and not large.
+CSV_FILE_ROWS = 1_000_000
 RUN_COLUMNS = "run_id string, table_name string, row_count bigint, path string, recorded_at timestamp"
 Item, Result = TypeVar("Item"), TypeVar("Result")
 
@@ -97,7 +99,7 @@ def write_csv_backup(tables: Mapping[str, DataFrame], directory: str) -> dict[st
     """Each non-empty table to the folder `<directory>/<table>.csv`, with a header; a write that fails leaves the earlier copy."""
 
     def write(df: DataFrame, path: str) -> None:
-        options = {"header": True, "quote": '"', "escape": '"'}
+        options = {"header": True, "quote": '"', "escape": '"', "maxRecordsPerFile": CSV_FILE_ROWS}
         replace_folder(df, path, lambda rows, aside: rows.write.options(**options).csv(aside))
 
     return _write_nonempty(tables, lambda name: f"{directory}/{name}.csv", write)

@@ -210,6 +210,22 @@ def test_rows_are_numbered_in_file_order(spark, tmp_path, mode):
     assert ids == list(range(300))
 
 
+def test_numbered_rows_are_not_gone_through_again_for_the_numbers(spark, tmp_path, capsys):
+    (tmp_path / "t.csv").write_text("id\n1\n2\n")
+    numbered = ordering.sequential_id(csv.read_csv(spark, str(tmp_path / "t.csv")), ["_seq"], ["n"])
+    capsys.readouterr()
+    numbered.explain()
+    assert capsys.readouterr().out.count("FileScan csv") == 1
+
+
+def test_large_tables_are_copied_to_several_csv_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layers, "CSV_FILE_ROWS", 10)
+    paths = layers.write_csv_backup({"t": spark.range(0, 95, 1, 2)}, str(tmp_path))
+    df = csv.read_csv(spark, paths["t"])
+    assert len(df.inputFiles()) == 10
+    assert [int(r.id) for r in ordering.sequential_id(df, ["_seq"], ["n"]).orderBy("n").collect()] == list(range(95))
+
+
 def test_rows_taken_out_are_not_counted(spark, tmp_path):
     (tmp_path / "t.csv").write_text("id\n" + "".join(f"{i}\n" for i in range(50)))
     df = csv.read_csv(spark, str(tmp_path)).filter("id % 5 <> 0")
