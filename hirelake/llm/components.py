@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from hirelake.sources.staging import stage
 
 MAX_ROUNDS = 100
+BROADCAST_EDGES = 100_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link neighbours of each node u to the least of them and u: the larger ones, or the smaller ones and u."""
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """Link neighbours of each node u to the least of them and u: the larger ones, or the smaller ones and u.
+
+    Links of large groups name few nodes, so their files say little of the rows; unless there are few
+    of them, they are joined by shuffle.
+    """
     if large:
         pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         pairs = edges
     least = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    linked = pairs.join(least, "a")
+    linked = pairs.join(least if few else least.hint("merge"), "a")
     if large:
         moved = linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -46,7 +51,8 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        edges = stage(_star(stage(_star(edges, True), "links"), False), "links")
+        few = mark[0] <= BROADCAST_EDGES  # neither step makes more than twice as many
+        edges = stage(_star(stage(_star(edges, True, few), "links"), False, few), "links")
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -84,7 +84,8 @@ def close_pairs(values: DataFrame, max_bits: int, largest_bucket: int = LARGEST_
     """a, b: pairs of the distinct bigint `value`s that differ in at most `max_bits` bits.
 
     Pairs may repeat. Buckets of one value are dropped; those up to `largest_bucket` are joined with
-    themselves and compared inside the join; larger ones are cut further by their open bits.
+    themselves and compared inside the join; larger ones are cut further by their open bits. No join
+    here takes its rows through the driver, whatever Spark makes of their size.
     """
     start = {"care": F.lit(0), "must": F.lit(0), "rest": F.lit(_signed(ALL)), "left": F.lit(max_bits)}
     rows = values.select("value").withColumns({k: v.cast("int" if k == "left" else "bigint") for k, v in start.items()})
@@ -93,7 +94,8 @@ def close_pairs(values: DataFrame, max_bits: int, largest_bucket: int = LARGEST_
     while kinds:
         spread = _spread(rows, kinds)
         sizes = spread.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        live = stage(spread.join(sizes, bucket), "buckets")
+        # Spark sizes what is exploded by the rows before, and would send all of it to the driver.
+        live = stage(spread.join(sizes.hint("merge"), bucket), "buckets")
         found = stage(_within(live.filter(F.col("size") <= largest_bucket), bucket, max_bits), "pairs")
         links = found if links is None else links.unionByName(found)
         large = live.filter((F.col("size") > largest_bucket) & (F.col("rest") != 0))
@@ -111,7 +113,8 @@ def _within(live: DataFrame, bucket: list[str], max_bits: int) -> DataFrame:
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits)
     same = [F.col(c) == F.col(f"_{c}") for c in bucket]
     same_one = differ.bitwiseAND(F.col("must")) == F.col("must")
-    return left.join(right, [*same, near, same_one]).select("a", "b")
+    # Rows of a bucket stand together, so their files are far smaller than the rows in memory.
+    return left.join(right.hint("merge"), [*same, near, same_one]).select("a", "b")
 
 
 def _grouped(prints: DataFrame, max_bits: int) -> DataFrame:

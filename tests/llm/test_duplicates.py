@@ -6,10 +6,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from hirelake.llm import components as components_module
 from hirelake.llm import decontamination, simhash, substring_dedup
 from hirelake.llm.automaton import SuffixAutomaton
 from hirelake.llm.components import components
 from hirelake.llm.queries import ORACLES, op3_benchmark_decontamination, op8_substring_dedup, op9_simhash_near_dedup
+from hirelake.sources.staging import stage
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -101,6 +103,46 @@ def test_close_pairs_lose_none(spark, bits, largest):
     assert found == {(a, b) for a in signed for b in signed if a < b and distance(a, b) <= bits}
 
 
+@pytest.fixture
+def staged_plans(monkeypatch):
+    """(label, plan as Spark made it from its estimates) of all that is staged in a test."""
+    plans = []
+
+    def noted(df, label, *session):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, label, *session)
+
+    for module in (simhash, components_module, decontamination):
+        monkeypatch.setattr(module, "stage", noted)
+    return plans
+
+
+def test_variants_are_never_broadcast(spark, tmp_path, staged_plans):
+    rng = random.Random(8)
+    values = [rng.getrandbits(63) for _ in range(500)]
+    values += [v ^ 5 for v in values[:50]] + [v ^ (1 << 40) for v in values[50:80]]
+    spark.createDataFrame([(v,) for v in values], "value long").write.parquet(f"{tmp_path}/values")
+    found = simhash.close_pairs(spark.read.parquet(f"{tmp_path}/values"), 2, 8)
+    assert {tuple(sorted(r)) for r in found.collect()} >= {tuple(sorted((v, v ^ 5))) for v in values[:50]}
+    # The files are of a few kB, but each value has 34 variants and a bucket's pairs are many.
+    assert [label for label, _ in staged_plans[:2]] == ["buckets", "pairs"]
+    assert all("SortMergeJoin" in plan and "Broadcast" not in plan for _, plan in staged_plans)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_links_are_joined_by_shuffle(spark, monkeypatch, staged_plans):
+    links = [(a, b) for a in range(40) for b in range(a)] + [(100 + i, 101 + i) for i in range(20)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    expected = {n: 0 for n in range(40)} | {n: 100 for n in range(100, 121)}
+    assert {r["node"]: r["root"] for r in components(frame).collect()} == expected
+    assert any("Broadcast" in plan for _, plan in staged_plans)
+    staged_plans.clear()
+    monkeypatch.setattr(components_module, "BROADCAST_EDGES", 30)
+    assert {r["node"]: r["root"] for r in components(frame).collect()} == expected
+    joined = [plan for _, plan in staged_plans if "Join" in plan]
+    assert joined and not any("Broadcast" in plan for plan in joined)
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(3)
     order = list(range(200))
