@@ -83,7 +83,8 @@ def sketches(items: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THR
     hashes = items.select("item", F.explode(shingle_hashes(F.col("text"), [size])).alias("hash"))
     often = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
     heavy = heavy_keys(hashes, {"hash": ["hash"]})["hash"]
-    ranked = left_join_default(hashes, often, ["hash"], heavy=heavy, salt_by=["item"])
+    # Spark sizes what is exploded by the texts before; neither here nor below may it choose to broadcast it.
+    ranked = left_join_default(hashes, often.hint("merge"), ["hash"], heavy=heavy, salt_by=["item"])
     own = ranked.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("often", "hash"))).alias("own"))
     needed = F.lit(None).cast("int")
     for c in range(_CLASSES):  # class c: sizes from 2^c to 2^(c+1) - 1
@@ -108,11 +109,11 @@ def _named(items: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Broadcast what was counted to have at most so many rows and `BROADCAST_BYTES` of text."""
+    """Broadcast what was counted to have at most so many rows and `BROADCAST_BYTES` of text, else join by shuffle."""
     texts = [F.octet_length(c) for c, t in df.dtypes if t == "string"]
     size = F.sum(reduce(Column.__add__, texts)) if texts else F.lit(0)
     rows, held = df.agg(F.count(F.lit(1)), size).first()
-    return F.broadcast(df) if rows <= broadcast_rows and (held or 0) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows <= broadcast_rows and (held or 0) <= BROADCAST_BYTES else df.hint("merge")
 
 
 def _text_hash(text: Column) -> Column:
@@ -143,7 +144,7 @@ def _found(docs: DataFrame, texts: DataFrame, size: int, threshold: float, broad
     wanted = pairs.join(_small(parts, broadcast_rows), "item")
     wanted = wanted.withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash"))
-    shared = held.join(wanted, same & (F.col("own") == F.col("shingle")))
+    shared = held.join(wanted.hint("merge"), same & (F.col("own") == F.col("shingle")))
     counted = shared.groupBy("doc_id", "text_hash", "item").agg(F.count_distinct("own").alias("n_shared"))
     counted = counted.join(_small(sizes, broadcast_rows), "item")
     return counted.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))

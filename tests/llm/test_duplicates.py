@@ -341,3 +341,18 @@ def test_words_of_many_texts_are_hashed_as_one_column():
     for width in (1, 2, 3, 4, 7, 9):
         least = [i + int(values[i : i + width].argmin()) for i in range(len(values) - width + 1)]
         assert substring_dedup._least_places(values, width).tolist() == least
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_shingles_of_documents_are_never_broadcast(spark, make_docs, tmp_path, staged_plans, broadcast_rows):
+    text = " ".join(f"w{i}" for i in range(40))
+    make_docs([(1, text), (2, "before it " + text), (3, text[:60]), (None, None)], extra=False).write.parquet(f"{tmp_path}/docs")
+    items = spark.createDataFrame([(7, text), (8, text[100:])], "item_id long, text string")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    kept = decontamination.remove_contaminated(docs, items, broadcast_rows)
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 3]
+    plans = dict(staged_plans)
+    assert "SortMergeJoin" in plans["item-sketches"] and "Broadcast" not in plans["item-sketches"]
+    assert ("Broadcast" in plans["candidate-pairs"]) == (broadcast_rows > 0)
+    # Words of the documents are on the left here; what is broadcast is counted and on the right.
+    assert "SortMergeJoin" in plans["leaks"] and "BuildLeft" not in plans["leaks"]
